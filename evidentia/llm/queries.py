@@ -1,0 +1,42 @@
+"""The queries of the operators in this folder, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evidentia.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.repeated_lines import repeated_lines
+
+    return repeated_lines(table(spark, sf_dir, "article")).select("source_key", "line")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without the lines of p4_found."""
+    from evidentia.llm.repeated_lines import repeated_lines, without_lines
+
+    articles = table(spark, sf_dir, "article")
+    return without_lines(articles, repeated_lines(articles))
+
+
+def queries() -> dict[str, Query]:
+    return {name: fn for name, fn in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p4_found": P4_SQL}
+
+
+P4_SQL = r"""
+WITH d AS (SELECT DISTINCT article_id, source_key, unnest(string_split(text, chr(10))) AS raw FROM article WHERE text IS NOT NULL AND source_key IS NOT NULL AND article_id IS NOT NULL),
+l AS (SELECT DISTINCT article_id, source_key, regexp_replace(regexp_replace(raw, '^[\s\p{Z}\x0b\x1c-\x1f\x{85}]+|[\s\p{Z}\x0b\x1c-\x1f\x{85}]+$', '', 'g'), '[0-9]+', '#', 'g') AS line FROM d),
+n AS (SELECT source_key, count(DISTINCT article_id) AS total FROM article WHERE text IS NOT NULL GROUP BY 1)
+SELECT source_key, line FROM l JOIN n USING (source_key) WHERE line <> '' GROUP BY source_key, line, total
+HAVING count(*) >= 5 AND count(*) >= 0.15 * total
+"""
