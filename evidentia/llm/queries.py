@@ -11,6 +11,19 @@ from evidentia.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.residue import residue
+
+    return residue(table(spark, sf_dir, "article")).select("article_id")
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows left for analysis."""
+    from evidentia.llm.residue import without_residue
+
+    return without_residue(table(spark, sf_dir, "article")).select("article_id", "arrival", "fetch_status")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.repeated_lines import repeated_lines
 
