@@ -38,6 +38,23 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(articles, repeated_lines(articles))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.leakage import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.where("leak = 'verbatim'").select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each test item leaked: documents, the longest run and the highest shares."""
+    from pyspark.sql import functions as F
+
+    from evidentia.llm.leakage import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run").alias("longest_run"), F.max("item_share").alias("item_share"), F.sum((F.col("leak") == "paraphrase").cast("long")).alias("n_paraphrases"))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
