@@ -55,6 +55,19 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run").alias("longest_run"), F.max("item_share").alias("item_share"), F.sum((F.col("leak") == "paraphrase").cast("long")).alias("n_paraphrases"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.pii import occurrences
+
+    return occurrences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos", "pii_type")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders; the key is a parameter of the operator, here a fixed one for the test."""
+    from evidentia.llm.pii import redacted
+
+    return redacted(table(spark, sf_dir, "documents"), "test key")
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
