@@ -24,6 +24,28 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "article")).select("article_id", "arrival", "fetch_status")
 
 
+def _markup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from evidentia.llm.markup import cleaned
+
+    hosts = table(spark, sf_dir, "source_registry").select("source_key", "host")
+    records = table(spark, sf_dir, name).join(F.broadcast(hosts), "source_key", "left")
+    return cleaned(records, "docid", "docclob", "host").select(F.lit(name).alias("table_name"), "docid", "clean_text", "markups")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    both = _markup(spark, sf_dir, "nfra_detail").unionByName(_markup(spark, sf_dir, "detail_1001"))
+    return both.where("docid is not null").select("table_name", "docid", F.explode("markups").alias("markup")).distinct()
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean texts."""
+    return _markup(spark, sf_dir, "nfra_detail").unionByName(_markup(spark, sf_dir, "detail_1001")).select("table_name", "docid", "clean_text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.repeated_lines import repeated_lines
 
