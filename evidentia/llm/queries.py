@@ -60,6 +60,19 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(articles, repeated_lines(articles))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.pages import furniture_lines
+
+    return furniture_lines(table(spark, sf_dir, "article"))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, of whole pages only the policy."""
+    from evidentia.llm.pages import main_bodies
+
+    return main_bodies(table(spark, sf_dir, "article"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.leakage import leaks
 
