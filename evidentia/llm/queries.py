@@ -11,6 +11,19 @@ from evidentia.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.encodings import garbled_values
+
+    return garbled_values(table(spark, sf_dir, "article"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled values with what could be put back."""
+    from evidentia.llm.encodings import repaired
+
+    return repaired(table(spark, sf_dir, "article"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.residue import residue
 
