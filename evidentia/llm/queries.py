@@ -86,6 +86,27 @@ def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_bodies(table(spark, sf_dir, "article"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from evidentia.llm.encodings import garbled_values
+    from evidentia.llm.lookalikes import disguised
+
+    articles = table(spark, sf_dir, "article")
+    found = disguised(articles, "article_id", ("text", "docno"))
+    found = found.join(garbled_values(articles), ["article_id", "field_name"], "left_anti")
+    claims = disguised(table(spark, sf_dir, "claim"), "claim_id", ("text",))
+    one = found.select(F.lit("article").alias("table_name"), F.col("article_id").alias("record_id"), "field_name")
+    return one.unionByName(claims.select(F.lit("claim").alias("table_name"), F.col("claim_id").alias("record_id"), "field_name"))
+
+
+def p6_docnos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document numbers in one consistent form."""
+    from evidentia.llm.lookalikes import consistent
+
+    return consistent(table(spark, sf_dir, "article"), "arrival", "docno")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.leakage import leaks
 
