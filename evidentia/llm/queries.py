@@ -107,6 +107,19 @@ def p6_docnos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent(table(spark, sf_dir, "article"), "arrival", "docno")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.near_duplicates import near_duplicate_pairs
+
+    return near_duplicate_pairs(table(spark, sf_dir, "article"))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of the same policy."""
+    from evidentia.llm.near_duplicates import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "article"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.leakage import leaks
 
