@@ -137,6 +137,24 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run").alias("longest_run"), F.max("item_share").alias("item_share"), F.sum((F.col("leak") == "paraphrase").cast("long")).alias("n_paraphrases"))
 
 
+#: The tokenizer that problem 9 counts with; a path, never part of this repository.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.mixing import draws
+
+    return draws(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZER)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actual share of each source."""
+    from evidentia.llm.mixing import draws, shares
+
+    targets = table(spark, sf_dir, "mix_target")
+    return shares(draws(table(spark, sf_dir, "documents"), targets, TOKENIZER), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.pii import occurrences
 
