@@ -53,7 +53,11 @@ def tokens(claims: DataFrame) -> DataFrame:
     text = comparable(F.col("text"))
     bare = F.regexp_replace(text, DATE, "")
     each = [("docno", F.transform(F.regexp_extract_all(plain, F.lit(DOCNO), 0), lambda x: F.element_at(F.split(x, INTRODUCED), -1))), ("date", F.regexp_extract_all(text, F.lit(DATE), 0)), ("amount", F.regexp_extract_all(text, F.lit(AMOUNT), 0)), ("number", F.regexp_extract_all(bare, F.lit(NUMBER), 0))]
-    pairs = F.concat(*[F.transform(F.array_distinct(found), lambda x, label=label: F.struct(F.lit(label).alias("label"), x.alias("token"))) for label, found in each])
+
+    def labelled(label: str, found: Column) -> Column:
+        return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(label).alias("label"), x.alias("token")))
+
+    pairs = F.concat(*[labelled(*x) for x in each])
     return claims.where("kind = 'fact'").select("claim_id", F.explode(pairs).alias("x")).select("claim_id", "x.label", "x.token").distinct()
 
 

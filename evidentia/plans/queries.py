@@ -473,3 +473,75 @@ def stm_windows(spark, d):
 @query("set03_attempt_slices", "SELECT article_id, count(*) AS n FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1")
 def set03(spark, d):
     return tries.by_article(table(spark, d, "attempt")).select("article_id", F.size("attempts").cast("long").alias("n"))
+
+
+# Connectors, by round trips through their formats
+
+
+def _escaped(c: str):
+    return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+@query("src05_feed", "SELECT arrival, left(regexp_replace(title, '^[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{85}]+|[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{85}]+$', '', 'g'), 300) AS title, url AS link, pub_date AS date FROM article WHERE length(regexp_replace(title, '^[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{85}]+|[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\x{85}]+$', '', 'g')) >= 8 AND url <> ''")
+def src05(spark, d):
+    from evidentia.sources.feeds import feed
+
+    item = F.concat(F.lit("<rss><channel><item><title>"), _escaped("title"), F.lit("</title><link>"), _escaped("url"), F.lit("</link><pubDate>"), F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("")), F.lit("</pubDate></item></channel></rss>"))
+    return feed(table(spark, d, "article").where("title is not null and url <> ''").select("arrival", "url", item.alias("payload"))).select("arrival", "title", "link", "date")
+
+
+@query("src06_sitemap", f"SELECT arrival, url AS link, pub_date AS date FROM article WHERE url <> '' AND regexp_matches(url, '/[a-z]+/') AND (pub_date IS NULL OR pub_date >= DATE '{SINCE}')")
+def src06(spark, d):
+    from evidentia.sources.feeds import sitemap
+
+    block = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), _escaped("url"), F.lit("</loc><lastmod>"), F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("")), F.lit("</lastmod></url></urlset>"))
+    captured = table(spark, d, "article").where("url <> ''").select("arrival", block.alias("payload"))
+    return sitemap(captured, pattern="/[a-z]+/", since=SINCE).select("arrival", "link", "date")
+
+
+@query("src04_html_listing", "SELECT arrival, url AS link FROM article WHERE url <> '' AND length(docno) >= 8 AND regexp_matches(docno, '^[A-Za-z0-9〔〕/\\x{4e00}-\\x{9fff}-]+$')")
+def src04(spark, d):
+    from evidentia.sources.listings import html_links
+
+    rows = table(spark, d, "article").where("url <> ''").where(F.col("docno").rlike(r"^[A-Za-z0-9〔〕/\x{4e00}-\x{9fff}-]+$"))
+    page = F.concat(F.lit("<html><body><nav><a href='/x'>short</a></nav><ul><li><a href='"), F.col("url"), F.lit("'>"), _escaped("docno"), F.lit("</a></li></ul></body></html>"))
+    return html_links(rows.select("arrival", F.concat("url", F.lit("#"), F.col("arrival").cast("string")).alias("url"), page.alias("payload"))).select("arrival", "link")
+
+
+@query("src12_decoded", "SELECT arrival, title FROM article WHERE title IS NOT NULL")
+def src12(spark, d):
+    from evidentia.functions.bytes import decoded
+
+    return table(spark, d, "article").where("title is not null").select("arrival", decoded(F.encode("title", "UTF-8"), F.lit(None).cast("string")).alias("title"))
+
+
+@query("htm05_bodies")
+def htm05(spark, d):
+    from evidentia.functions.html import extracted
+
+    rows = table(spark, d, "nfra_detail").where("docclob <> ''").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("docid", extracted(F.col("docclob"), least=100).alias("x")).select("docid", "x.title", F.length("x.text").alias("chars"), "x.how")
+
+
+@query("snk03_archive", "SELECT arrival, md5(concat('## ', coalesce(nullif(title, ''), '-'), chr(10), chr(10), '- ', coalesce(nullif(url, ''), '-'), chr(10), '- ', coalesce(nullif(source, ''), '-'), chr(10), '- ', coalesce(CAST(pub_date AS VARCHAR), '-'), chr(10), '- ', coalesce(nullif(fetch_status, ''), '-'), chr(10), chr(10), CASE WHEN coalesce(text, '') = '' THEN concat('(no text) ', coalesce(notes, '')) ELSE text END, chr(10))) AS digest FROM article")
+def snk03(spark, d):
+    from evidentia.operators.snapshots import archive_sections
+
+    return archive_sections(table(spark, d, "article")).select("arrival", F.md5("section").alias("digest"))
+
+
+@query("prj14_attempt_counts", "SELECT a.arrival, coalesce(n, 0) AS tries FROM article a LEFT JOIN (SELECT article_id, count(*) AS n FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1) USING (article_id)")
+def prj14(spark, d):
+    per = table(spark, d, "attempt").distinct().groupBy("article_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "article").join(per, "article_id", "left").select("arrival", F.coalesce("n", F.lit(0)).alias("tries"))
+
+
+@query("doc07_version_changes", "SELECT url, count(*) AS versions, count(DISTINCT text) AS bodies FROM article WHERE url <> '' GROUP BY 1 HAVING count(*) > 1")
+def doc07(spark, d):
+    per = table(spark, d, "article").where("url <> ''").groupBy("url").agg(F.count("*").alias("versions"), F.count_distinct("text").alias("bodies"))
+    return per.where("versions > 1")
+
+
+@query("stm05_first_deliveries", "SELECT DISTINCT attempt_id, article_id FROM attempt")
+def stm05(spark, d):
+    return table(spark, d, "attempt").select("attempt_id", "article_id").dropDuplicates(["attempt_id"])
