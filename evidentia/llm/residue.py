@@ -41,16 +41,16 @@ EXEMPLARS: dict[str, list[str]] = {
         "Dorum vexit alumen trabis, quolet nares impunda.", "Sevit ormanda plicta noris velum ester.",
     ],
     "error": [
-        "后端网关无响应，跟踪号 1，请联系维护人员", "安全检查进行中，请勿关闭窗口。节点 1", "该资源正在维护，预计 1 时恢复。", "服务器内部错误 数据库连接超时，节点 1",
-        "系统繁忙，请稍后再试（错误代码：1）", "抱歉，您没有权限查看该栏目。", "正文加载中……请稍候", "访问过于频繁，请完成滑块验证后继续。会话 1",
+        "后端网关无响应，跟踪号", "安全检查进行中，请勿关闭窗口。", "该资源正在维护，预计 1 时恢复。", "服务器内部错误 数据库连接超时，节点 1",
+        "系统繁忙，请稍后再试（错误代码：1）", "抱歉，您没有权限查看该栏目。", "正文加载中……请稍候", "访问过于频繁，请完成滑块验证后继续。",
         "页面不存在 您访问的地址 /", "已被删除或更名，1 秒后返回首页。", "登录状态已失效，请重新登录后查看 /", "附件加载失败：未找到资源（代码 1）",
         "Too many requests from your network. Retry after 1 s.", "Loading… please wait", "Gateway did not answer in time upstream 1",
         "Something went wrong on our side (code 1). Try again later.", "Checking that you are not a robot… Ticket",
         "Fatal: call to a member on null in render step 1 trace", "Down for maintenance until 1:1.", "You do not have permission to open this folder.",
         "Page not found The address /", "could not be matched to any document.", "Your session has ended. Sign in again to read /",
-        "Annex failed to load: resource missing (1)", "HTTP Error 404 – File or directory not found", "HTTP 500 – Internal Server Error", "503 Service Temporarily Unavailable",
-        "Erreur interne, code 1", "Page introuvable L’adresse /", "Votre session a expiré (1).", "Échec du chargement de l’annexe (1)",
-        "Interner Fehler, Kennung 1", "Seite nicht gefunden Der Pfad /", "Ihre Sitzung ist abgelaufen (1).", "Anlage konnte nicht geladen werden (1)",
+        "Annex failed to load: resource missing (", "HTTP Error 404 – File or directory not found", "HTTP 500 – Internal Server Error", "503 Service Temporarily Unavailable",
+        "Erreur interne, code", "Page introuvable L’adresse /", "Votre session a expiré (", "Échec du chargement de l’annexe (",
+        "Interner Fehler, Kennung", "Seite nicht gefunden Der Pfad /", "Ihre Sitzung ist abgelaufen (", "Anlage konnte nicht geladen werden (",
     ],
     "script": [
         "请开启浏览器脚本功能后重新加载本页 事件编号 1", "请开启浏览器脚本功能后重新加载本页", "您的浏览器不支持或已禁用脚本，部分内容无法显示，请启用后刷新。", "请启用浏览器脚本以查看附件内容。",
@@ -62,14 +62,14 @@ EXEMPLARS: dict[str, list[str]] = {
 }
 
 #: Opening signs of placeholders, then what each form is read as.
-_SIGNS = ("{{", "{%", "${", "#{", "<%", "%%", "@@", "__", "[[")
+_SIGNS = ("{{", "{%", "${", "#{", "<%", "%", "@@", "__", "[[")
 _FORMS = [
     (re.compile(r"\{\{[^{}\n]*\}\}"), "{{x}}"),
     (re.compile(r"\{%[^%\n]*%\}"), "{%x%}"),
     (re.compile(r"\$\{[^{}\n]*\}"), "${x}"),
     (re.compile(r"#\{[^{}\n]*\}"), "#{x}"),
     (re.compile(r"<%[^%\n]*%>"), "<%x%>"),
-    (re.compile(r"%%[A-Za-z]\w*%%"), "%%x%%"),
+    (re.compile(r"%%[A-Za-z]\w*%%|%[A-Z][A-Z0-9_]{2,}%"), "%%x%%"),
     (re.compile(r"@@[A-Za-z]\w*@@"), "@@x@@"),
     (re.compile(r"\[\[[A-Z][A-Z0-9_]*\]\]"), "[[x]]"),
     (re.compile(r"__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__"), "__x__"),
