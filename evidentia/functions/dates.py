@@ -56,9 +56,8 @@ def any_date(text: Column, window: int | None = 2000) -> Column:
 
 def publication_date(text: Column) -> Column:
     """A labelled date, even if it isn't valid, else that of the last line that is only a date."""
-    last = F.element_at(F.filter(F.split(text, "\n"), lambda x: x.rlike(ONLY_DATE)), -1)
-    last = F.when(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(ONLY_DATE))) > 0, last)
-    return F.when(text.rlike(PUBLISHED), _found(text, PUBLISHED)).otherwise(any_date(last))
+    last = F.try_element_at(F.filter(F.split(text, "\n"), lambda x: x.rlike(ONLY_DATE)), F.lit(-1))
+    return F.when(text.rlike(PUBLISHED), _found(text, PUBLISHED)).otherwise(_found(last, f"{CHINESE}|{DASHED}|{SLASHED}"))
 
 
 def effective_date(text: Column) -> Column:

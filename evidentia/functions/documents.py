@@ -66,22 +66,31 @@ def blocked_by(html: Column, text: Column) -> Column:
 
 
 def is_shell(html: Column, text: Column) -> Column:
-    marks = [F.left(html, F.lit(20_000)).rlike(p) for p in SHELLS]
-    return (F.length(text) < 200) & (marks[0] | marks[1] | marks[2] | marks[3])
+    return (F.length(text) < 200) & F.left(html, F.lit(20_000)).rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in SHELLS))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often `use` names it: a one-item array binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def is_navigation(text: Column, least: int = 200) -> Column:
     """A list of links rather than a body: nearly all lines short, or an archive's toolbar."""
-    body = F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, rf"^{WS}+|{WS}+$", "")), lambda x: x != "")
-    brief = F.size(F.filter(lines, lambda x: F.length(x) <= 12))
-    head = F.left(body, F.lit(4000))
-    marks = sum((F.when(head.rlike(p), 1).otherwise(0) for p in TOOLBARS), F.lit(0))
-    return ((F.size(lines) >= 12) & (brief >= 0.8 * F.size(lines))) | ((marks >= 2) & (F.length(body) < max(2 * least, 500)))
+
+    def toolbar(body: Column) -> Column:
+        marks = sum((F.when(F.left(body, F.lit(4000)).rlike(p), 1).otherwise(0) for p in TOOLBARS), F.lit(0))
+        return (marks >= 2) & (F.length(body) < max(2 * least, 500))
+
+    edges = rf"^{WS}+|{WS}+$"
+    lengths = F.filter(F.transform(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, edges, ""))), lambda n: n > 0)
+    brief = bound(lengths, lambda x: (F.size(x) >= 12) & (F.size(F.filter(x, lambda n: n <= 12)) >= 0.8 * F.size(x)))
+    return brief | bound(F.regexp_replace(text, edges, ""), toolbar)
 
 
 def status(html: Column, text: Column, least: int = 200, most: int = 0) -> Column:
     """blocked, listing_only, partial or full, the only verdict on how complete a body is."""
     html, text = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
-    out = F.when(blocked_by(html, text).isNotNull() | is_shell(html, text), "blocked").when(F.length(text) < least, "listing_only").when(is_navigation(text, least), "listing_only")
+    hay = F.concat(F.left(html, F.lit(4000)), F.lit("\n"), F.left(text, F.lit(2000)))
+    blocked = hay.rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in BLOCKED))  # the mark itself is blocked_by()
+    out = F.when(blocked | is_shell(html, text), "blocked").when(F.length(text) < least, "listing_only").when(is_navigation(text, least), "listing_only")
     return (out.when(F.length(text) >= most, "partial") if most else out).otherwise("full")

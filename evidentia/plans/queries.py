@@ -545,3 +545,65 @@ def doc07(spark, d):
 @query("stm05_first_deliveries", "SELECT DISTINCT attempt_id, article_id FROM attempt")
 def stm05(spark, d):
     return table(spark, d, "attempt").select("attempt_id", "article_id").dropDuplicates(["attempt_id"])
+
+
+# Tiers and a whole run
+
+
+def _outcomes(spark, d):
+    from evidentia.operators import tiers
+
+    details = table(spark, d, "nfra_detail").where("code = 200").dropDuplicates(["docid"])
+    payload = F.to_json(F.struct(F.struct(F.col("doctitle").alias("docTitle"), F.col("documentno").alias("documentNo"), F.col("publishdate").alias("publishDate"), F.col("docclob").alias("docClob")).alias("data")))
+    captured = details.select((F.col("docid") - 5000000).alias("article_id"), payload.alias("payload"))
+    articles = table(spark, d, "article").where("text <> ''").dropDuplicates(["article_id"]).select("article_id", F.col("text").alias("payload"))
+    return tiers.judged(tiers.from_api(captured)).unionByName(tiers.judged(tiers.from_html(articles)))
+
+
+@query("cls04_api_tier")
+def cls04(spark, d):
+    return _outcomes(spark, d).where("tier = 'api'").select("article_id", "status", "pub_date", "docno", F.length("text").alias("chars"))
+
+
+@query("cls10_best_outcome")
+def cls10(spark, d):
+    from evidentia.operators import tiers
+
+    return tiers.best(_outcomes(spark, d)).select("article_id", "tier", "status", "method")
+
+
+@query("run_collect")
+def run_collect(spark, d):
+    from evidentia.operators.collect import Options, collect
+
+    run = collect(table(spark, d, "article"), _outcomes(spark, d), table(spark, d, "source_registry"), Options(since=SINCE, budget=40))
+    return run.counters
+
+
+@query("pln_requests", "SELECT layer, source_type, count(*) AS sources, sum(CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END) AS most_items FROM source_registry WHERE enabled GROUP BY 1, 2")
+def pln(spark, d):
+    most = F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20))
+    return table(spark, d, "source_registry").where("enabled").groupBy("layer", "source_type").agg(F.count("*").alias("sources"), F.sum(most).alias("most_items"))
+
+
+@query("str10_urls", "SELECT DISTINCT claim_id, unnest(evidence) AS url FROM claim")
+def str10(spark, d):
+    return table(spark, d, "claim").select("claim_id", F.explode("evidence").alias("url")).distinct()
+
+
+@query("num03_amounts", r"SELECT arrival, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)')) AS n FROM article WHERE text IS NOT NULL")
+def num03(spark, d):
+    return table(spark, d, "article").where("text is not null").select("arrival", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)"), 0)).cast("long").alias("n"))
+
+
+@query("num01_plain_numbers", "SELECT arrival, md5(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g')) AS digest FROM article WHERE text IS NOT NULL AND NOT regexp_matches(text, '[0-9],[0-9],')")
+def num01(spark, d):
+    return table(spark, d, "article").where("text is not null").where(~F.col("text").rlike("[0-9],[0-9],")).select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
+
+
+@query("lim05_newest_first", "SELECT arrival, row_number() OVER (ORDER BY pub_date DESC NULLS LAST, arrival) AS place FROM (SELECT * FROM article ORDER BY pub_date DESC NULLS LAST, arrival LIMIT 50)")
+def lim05(spark, d):
+    from pyspark.sql import Window
+
+    top = table(spark, d, "article").select("arrival", "pub_date").orderBy(F.col("pub_date").desc_nulls_last(), "arrival").limit(50)
+    return top.select("arrival", F.row_number().over(Window.orderBy(F.col("pub_date").desc_nulls_last(), "arrival")).cast("long").alias("place"))

@@ -223,3 +223,37 @@ def test_entry_points(spark):
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and entry.entry(spark).count() > 0
+
+
+def test_tiers(spark):
+    from evidentia.operators import tiers
+
+    body = "<p>" + "第一条　应当报送材料。" * 30 + "</p>"
+    api = spark.createDataFrame([(1, '{"data": {"docTitle": "关于某事的通知", "documentNo": "东财办〔2024〕1号", "publishDate": "2024-05-06 10:00:00", "docClob": "%s"}}' % body), (2, '{"data": [{"docTitle": "短", "docClob": "短"}]}'), (3, "broken")], "article_id long, payload string")
+    page = spark.createDataFrame([(1, f"<div class='article'>{body}</div>"), (2, f"<div>{body}</div>"), (4, "<title>Just a moment</title>")], "article_id long, payload string")
+    outcomes = tiers.judged(tiers.from_api(api)).unionByName(tiers.judged(tiers.from_html(page)))
+    got = {r.article_id: (r.tier, r.status) for r in tiers.best(outcomes).collect()}
+    assert got == {1: ("api", "full"), 2: ("html", "partial"), 4: ("html", "blocked")}
+    first = outcomes.where("article_id = 1 and tier = 'api'").first()
+    assert first.text.startswith("关于某事的通知\n东财办〔2024〕1号\n") and first.pub_date == dt.date(2024, 5, 6)
+
+
+def test_grading(spark):
+    from evidentia.operators.grading import complaints
+
+    expected = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "case_id int, n_items int")
+    reviews = spark.createDataFrame([(1, 1, True, "x"), (1, 2, True, "x"), (2, 1, False, ""), (9, 1, True, "x")], "case_id int, item int, passed boolean, rationale string")
+    got = {(r.case_id, r.complaint) for r in complaints(expected, reviews, "Ann", "ann ").collect()}
+    assert got == {(2, "failed or ungraded"), (2, "no rationale"), (3, "case not executed"), (3, "rubric incomplete"), (9, "unknown case"), (None, "producer and reviewer must be two persons")}
+
+
+def test_claims_file(tmp_path):
+    from evidentia.__main__ import claims_of
+
+    path = tmp_path / "claims.json"
+    path.write_text('﻿{"schema_version": 1, "claims": [{"id": "a", "text": "t", "kind": "fact", "importance": "core", "evidence": ["http://a.example"]}]}', encoding="utf-8")
+    assert claims_of(str(path)) == [(1, "a", "t", "fact", "core", ["http://a.example"])]
+    for bad in ('{"schema_version": true, "claims": []}', '{"schema_version": 1, "schema_version": 1, "claims": []}', '{"schema_version": 1, "claims": [{"id": "a"}]}', '{"schema_version": NaN, "claims": []}'):
+        path.write_text(bad, encoding="utf-8")
+        with pytest.raises(ValueError):  # noqa: PT011
+            claims_of(str(path))
