@@ -46,7 +46,9 @@ UNKNOWN = ["", "无", "无文号", "未标明", "无/未标明", "未确认", "
 def docno(text: Column, declared: Column | None = None) -> Column:
     """The declared number (80 characters), else the first form found in the first 6000 characters, else empty."""
     head = F.left(text, F.lit(6000))
-    found = [F.nullif(F.regexp_extract(head, p, 0), F.lit("")) for p in DOCNOS]
+    # What each Chinese form can't do without is looked for first: it is found or ruled out in one quick scan.
+    gates = [rf"[〔\[（(【]{WS}*20[0-9]{{2}}{WS}*[〕\]）)】]{WS}*[0-9]", "令", "公告|通知", *[None] * (len(DOCNOS) - 3)]
+    found = [F.nullif(F.regexp_extract(head, p, 0), F.lit("")) if g is None else F.when(head.rlike(g), F.nullif(F.regexp_extract(head, p, 0), F.lit(""))) for p, g in zip(DOCNOS, gates, strict=True)]
     clean = F.trim(F.regexp_replace(F.coalesce(*found), rf"{WS}+", " "))
     given = F.left(F.nullif(F.trim(declared), F.lit("")), F.lit(80)) if declared is not None else F.lit(None).cast("string")
     return F.coalesce(given, clean, F.lit(""))

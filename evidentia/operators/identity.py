@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.documents import UNKNOWN
 from evidentia.functions.text import fold
 from evidentia.operators.components import components
-from evidentia.session import cut
+from evidentia.session import cut, spread
 
 
 def aliases(articles: DataFrame, row: str = "arrival") -> DataFrame:
@@ -30,7 +30,7 @@ def identity(articles: DataFrame, row: str = "arrival") -> DataFrame:
     Each alias links its rows to its first row, so a hot alias costs its rows and no pairs; groups are the components of these
     links. A row without aliases is a group of its own.
     """
-    named = cut(aliases(articles, row))
+    named = cut(aliases(spread(articles.select(row, "url", "text", "docno", "issuer")), row))
     first = named.groupBy("alias").agg(F.min("row").alias("first"))
     links = named.join(first, "alias").select(F.col("row").alias("a"), F.col("first").alias("b"))
     groups = components(links)

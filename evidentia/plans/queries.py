@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import dates, documents, text, urls
 from evidentia.operators import attempts as tries
 from evidentia.operators import audit, identity, ledger, listing
-from evidentia.session import table
+from evidentia.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,7 +80,7 @@ _BLOCKED = "coalesce(" + ", ".join(f"nullif(regexp_extract({_HAY}, {_q(p)}, 0),
 @query("flt08_blocked", f"SELECT arrival, {_BLOCKED} AS mark FROM article WHERE {_BLOCKED} IS NOT NULL")
 def flt08(spark, d):
     mark = documents.blocked_by(F.lit(""), F.coalesce("text", F.lit("")))
-    return table(spark, d, "article").select("arrival", mark.alias("mark")).where("mark is not null")
+    return spread(table(spark, d, "article")).select("arrival", mark.alias("mark")).where("mark is not null")
 
 
 _TRIM = f"'^{text.WS}+|{text.WS}+$', '', 'g'"
@@ -91,13 +91,13 @@ _NAV = f"((len({_LINES}) >= 12 AND len(list_filter({_LINES}, lambda x: length(x)
 
 @query("flt10_navigation", f"SELECT arrival FROM article WHERE {_NAV}")
 def flt10(spark, d):
-    return table(spark, d, "article").where(documents.is_navigation(F.coalesce("text", F.lit("")))).select("arrival")
+    return spread(table(spark, d, "article")).where(documents.is_navigation(F.coalesce("text", F.lit("")))).select("arrival")
 
 
 @query("cls01_status", f"SELECT arrival, CASE WHEN {_BLOCKED} IS NOT NULL THEN 'blocked' WHEN length(coalesce(text, '')) < coalesce(min_body_chars, 200) THEN 'listing_only' WHEN {_NAV} THEN 'listing_only' ELSE 'full' END AS status FROM article JOIN source_registry USING (source_key)")
 def cls01(spark, d):
     sources = table(spark, d, "source_registry").select("source_key", F.coalesce("min_body_chars", F.lit(200)).alias("least"))
-    rows = table(spark, d, "article").join(sources, "source_key")
+    rows = spread(table(spark, d, "article")).join(sources, "source_key")
     body = F.coalesce("text", F.lit(""))
     verdict = F.when(documents.blocked_by(F.lit(""), body).isNotNull(), "blocked").when(F.length(body) < F.col("least"), "listing_only")
     return rows.select("arrival", verdict.when(documents.is_navigation(body), "listing_only").otherwise("full").alias("status"))
@@ -134,7 +134,7 @@ def prj06(spark, d):
 @query("prj08_head_tail", f"SELECT arrival, CASE WHEN length(t) <= 400 THEN t ELSE left(t, 200) END AS head, CASE WHEN length(t) <= 400 THEN t ELSE right(t, 200) END AS tail FROM (SELECT arrival, trim(regexp_replace(coalesce(text, ''), '{text.WS}+', ' ', 'g')) AS t FROM article)")
 def prj08(spark, d):
     head, tail = text.head_tail(F.col("text"))
-    return table(spark, d, "article").select("arrival", head.alias("head"), tail.alias("tail"))
+    return spread(table(spark, d, "article")).select("arrival", head.alias("head"), tail.alias("tail"))
 
 
 @query("prj10_page_targets", "SELECT source_key, page, (page - 1) * 20 AS start FROM source_registry, range(1, 4) r(page)")
@@ -159,7 +159,7 @@ def str01(spark, d):
 
 @query("str02_title_key")
 def str02(spark, d):
-    return table(spark, d, "article").select("arrival", text.title_key(F.col("title")).alias("title_key"))
+    return spread(table(spark, d, "article")).select("arrival", text.title_key(F.col("title")).alias("title_key"))
 
 
 _NORMAL = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{{200b}}\x{{feff}}]', '', 'g'), '[A-Za-z0-9+/=_-]{{40,}}', ' ', 'g'), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '[ \t\x{{3000}}]+', ' ', 'g'), {_TRIM})), lambda x: x <> '')"
@@ -167,7 +167,7 @@ _NORMAL = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(reg
 
 @query("str03_normalized", f"SELECT arrival, md5(array_to_string({_NORMAL}, chr(10))) AS digest FROM article")
 def str03(spark, d):
-    return table(spark, d, "article").select("arrival", F.md5(text.normalized(F.col("text"))).alias("digest"))
+    return spread(table(spark, d, "article")).select("arrival", F.md5(text.normalized(F.col("text"))).alias("digest"))
 
 
 @query("str07_clean_url", "SELECT arrival, trim(CASE WHEN contains(url, 'utm_') OR contains(url, 'spm=') THEN replace(replace(regexp_replace(regexp_replace(url, '([?&])(?:utm_[^&#]*|spm=[^&#]*|from=[^&#]*|share_[^&#]*)', '\\1', 'g'), '[?&]+$', ''), '?&', '?'), '&&', '&') ELSE coalesce(url, '') END) AS url FROM article")
@@ -198,17 +198,17 @@ _ANY = "coalesce(" + ", ".join([*(_sql_date(_PLAIN, p) for p in (dates.LABELLED,
 
 @query("dat02_any_date", f"SELECT arrival, {_ANY} AS found FROM article WHERE text IS NOT NULL")
 def dat02(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", dates.any_date(F.col("text")).alias("found"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", dates.any_date(F.col("text")).alias("found"))
 
 
 @query("dat04_effective", f"SELECT arrival, CASE WHEN regexp_matches(text, {_q(dates.EFFECTIVE)}) THEN {_sql_date('text', dates.EFFECTIVE)} ELSE {_sql_date('left(text, 4000)', dates.EFFECTIVE_EN, (3, 2, 1), True)} END AS found FROM article WHERE text IS NOT NULL")
 def dat04(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", dates.effective_date(F.col("text")).alias("found"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", dates.effective_date(F.col("text")).alias("found"))
 
 
 @query("dat03_publication")
 def dat03(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", dates.publication_date(F.col("text")).alias("found"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", dates.publication_date(F.col("text")).alias("found"))
 
 
 @query("dat05_listed", "SELECT docid, try_cast(left(publishdate, 10) AS DATE) AS found FROM nfra_detail WHERE regexp_matches(publishdate, '^20[0-9]{2}-[0-9]{2}-[0-9]{2}')")
@@ -221,7 +221,7 @@ _DOCNO = "coalesce(" + ", ".join(f"nullif(regexp_extract(left(text, 6000), {_q(p
 
 @query("tok01_docno", f"SELECT arrival, coalesce(trim(regexp_replace({_DOCNO}, '{text.WS}+', ' ', 'g')), '') AS docno FROM article WHERE text IS NOT NULL")
 def tok01(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", documents.docno(F.col("text")).alias("docno"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", documents.docno(F.col("text")).alias("docno"))
 
 
 _ISSUER = "coalesce(" + ", ".join(f"nullif(regexp_extract(left(text, 3000), {_q(p)}, 1), '')" for p in (documents.ISSUER_LABEL, documents.ISSUER_LINE)) + ")"
@@ -229,17 +229,17 @@ _ISSUER = "coalesce(" + ", ".join(f"nullif(regexp_extract(left(text, 3000), {_q(
 
 @query("tok03_issuer", f"SELECT arrival, coalesce(left(regexp_replace({_ISSUER}, '{text.WS}+', '', 'g'), 60), '') AS issuer FROM article WHERE text IS NOT NULL")
 def tok03(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", documents.issuer(F.col("text")).alias("issuer"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", documents.issuer(F.col("text")).alias("issuer"))
 
 
 @query("hsh01_content_hash")
 def hsh01(spark, d):
-    return ledger.index_entry(table(spark, d, "article")).select("arrival", "content_hash")
+    return ledger.index_entry(spread(table(spark, d, "article"))).select("arrival", "content_hash")
 
 
 @query("hsh02_snapshot_id", "SELECT arrival, left(sha256(concat(coalesce(url, ''), chr(10), coalesce(text, ''))), 16) AS snapshot_id FROM article")
 def hsh02(spark, d):
-    return table(spark, d, "article").select("arrival", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"))
+    return spread(table(spark, d, "article")).select("arrival", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"))
 
 
 @query("map01_params", "SELECT arrival, params['docId'] AS doc_id, lower(coalesce(params['lang'], '')) AS lang, cardinality(params) AS n FROM article WHERE params IS NOT NULL")
@@ -487,7 +487,7 @@ def src05(spark, d):
     from evidentia.sources.feeds import feed
 
     item = F.concat(F.lit("<rss><channel><item><title>"), _escaped("title"), F.lit("</title><link>"), _escaped("url"), F.lit("</link><pubDate>"), F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("")), F.lit("</pubDate></item></channel></rss>"))
-    return feed(table(spark, d, "article").where("title is not null and url <> ''").select("arrival", "url", item.alias("payload"))).select("arrival", "title", "link", "date")
+    return feed(spread(table(spark, d, "article")).where("title is not null and url <> ''").select("arrival", "url", item.alias("payload"))).select("arrival", "title", "link", "date")
 
 
 @query("src06_sitemap", f"SELECT arrival, url AS link, pub_date AS date FROM article WHERE url <> '' AND regexp_matches(url, '/[a-z]+/') AND (pub_date IS NULL OR pub_date >= DATE '{SINCE}')")
@@ -495,7 +495,7 @@ def src06(spark, d):
     from evidentia.sources.feeds import sitemap
 
     block = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), _escaped("url"), F.lit("</loc><lastmod>"), F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("")), F.lit("</lastmod></url></urlset>"))
-    captured = table(spark, d, "article").where("url <> ''").select("arrival", block.alias("payload"))
+    captured = spread(table(spark, d, "article")).where("url <> ''").select("arrival", block.alias("payload"))
     return sitemap(captured, pattern="/[a-z]+/", since=SINCE).select("arrival", "link", "date")
 
 
@@ -503,7 +503,7 @@ def src06(spark, d):
 def src04(spark, d):
     from evidentia.sources.listings import html_links
 
-    rows = table(spark, d, "article").where("url <> ''").where(F.col("docno").rlike(r"^[A-Za-z0-9〔〕/\x{4e00}-\x{9fff}-]+$"))
+    rows = spread(table(spark, d, "article")).where("url <> ''").where(F.col("docno").rlike(r"^[A-Za-z0-9〔〕/\x{4e00}-\x{9fff}-]+$"))
     page = F.concat(F.lit("<html><body><nav><a href='/x'>short</a></nav><ul><li><a href='"), F.col("url"), F.lit("'>"), _escaped("docno"), F.lit("</a></li></ul></body></html>"))
     return html_links(rows.select("arrival", F.concat("url", F.lit("#"), F.col("arrival").cast("string")).alias("url"), page.alias("payload"))).select("arrival", "link")
 
@@ -527,7 +527,7 @@ def htm05(spark, d):
 def snk03(spark, d):
     from evidentia.operators.snapshots import archive_sections
 
-    return archive_sections(table(spark, d, "article")).select("arrival", F.md5("section").alias("digest"))
+    return archive_sections(spread(table(spark, d, "article"))).select("arrival", F.md5("section").alias("digest"))
 
 
 @query("prj14_attempt_counts", "SELECT a.arrival, coalesce(n, 0) AS tries FROM article a LEFT JOIN (SELECT article_id, count(*) AS n FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1) USING (article_id)")
@@ -593,12 +593,12 @@ def str10(spark, d):
 
 @query("num03_amounts", r"SELECT arrival, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)')) AS n FROM article WHERE text IS NOT NULL")
 def num03(spark, d):
-    return table(spark, d, "article").where("text is not null").select("arrival", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)"), 0)).cast("long").alias("n"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)"), 0)).cast("long").alias("n"))
 
 
 @query("num01_plain_numbers", "SELECT arrival, md5(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g')) AS digest FROM article WHERE text IS NOT NULL AND NOT regexp_matches(text, '[0-9],[0-9],')")
 def num01(spark, d):
-    return table(spark, d, "article").where("text is not null").where(~F.col("text").rlike("[0-9],[0-9],")).select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
+    return spread(table(spark, d, "article")).where("text is not null").where(~F.col("text").rlike("[0-9],[0-9],")).select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
 
 
 @query("lim05_newest_first", "SELECT arrival, row_number() OVER (ORDER BY pub_date DESC NULLS LAST, arrival) AS place FROM (SELECT * FROM article ORDER BY pub_date DESC NULLS LAST, arrival LIMIT 50)")
