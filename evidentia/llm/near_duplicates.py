@@ -10,6 +10,8 @@
    right at the similarity threshold stays under `miss`. By the pigeonhole principle a pair that differs in no more than
    sum(t + 1) - 1 positions is always found, and the chance of a miss falls fast above the threshold.
 4. Probes are all ways of leaving t symbols out. Classes that share a probe are compared by 128-bit sketches and then exactly.
+   Classes of probes that more than HOT share (boilerplate) are paired otherwise: two that agree on at least m of all symbols
+   share one of their POSITIONS - m + 1 rarest, so only these are joined, and boilerplate symbols, being frequent, come last.
 
 Defined results: NULL keys and texts, and texts shorter than `least` characters, take part in nothing; texts of any length
 are read whole; rows that share a key are versions of one record, which matches where any version does, but never with itself; an empty table gives
@@ -41,6 +43,9 @@ BITS, COUNTERS, PROBE_COST = 4, 1024, 0.15
 #: The 128-bit sketches may differ in this many bits: at similarity 0.7 they do in 19 on average, with deviation 4.
 SKETCH_BITS = 35
 
+#: Classes that may share a probe before its pairs are sought by their rarest symbols instead.
+HOT = 1_000
+
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -170,7 +175,7 @@ def candidate_estimates(classes: DataFrame, parts: list[list[int]]) -> tuple[np.
             for (i, j, q), v in sums.items():
                 yield i, j, q, 0, v.astype(np.float32).tobytes()
 
-    def square(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def square(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pd.DataFrame({"i": [-1], "j": [0], "v": [float(pdf["n"].sum())]})
         total = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in pdf["v"])
@@ -220,7 +225,32 @@ def allocate(estimates: np.ndarray, n: int, similarity: float, miss: float, grai
     return out[::-1]
 
 
-def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
+def least_agreement(similarity: float, miss: float) -> int:
+    """Symbols that two texts at the similarity agree on at least, but for the chance of a miss."""
+    return next(m for m in range(POSITIONS, -1, -1) if m == 0 or binomial_tail(POSITIONS, similarity, m - 1) <= miss)
+
+
+def _hot_pairs(classes: DataFrame, hot: DataFrame, similarity: float, miss: float) -> DataFrame:
+    """Pairs of hot classes that share one of their rarest symbols, by the pigeonhole principle over whole signatures."""
+    from pyspark.sql import Window
+    from pyspark.sql.types import StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                salted = _salted(_matrix(b.column(1).to_pylist()))
+                for p in range(POSITIONS):
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(salted[:, p].view(np.int64))], names=["c", "symbol"])
+
+    symbols = cut(classes.join(small(hot), "c", "left_semi").select("c", "sig").mapInArrow(run, StructType.fromDDL("c long, symbol long")))
+    counts = symbols.groupBy("symbol").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("c").orderBy("n", "symbol")  # a group is one signature
+    prefix = symbols.join(counts, "symbol").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= POSITIONS - least_agreement(similarity, miss) + 1)
+    shared = cut(prefix.where("n > 1").select("c", "symbol"))
+    return shared.alias("x").join(shared.alias("y"), F.expr("x.symbol = y.symbol and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
+def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
     """Pairs of classes that share a probe and whose sketches are close."""
     from pyspark.sql.types import StructType
 
@@ -241,7 +271,11 @@ def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int
     shared = cut(probes.groupBy("probe").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     # Nearly all shared probes have two classes: those are pairs already. The rest are looked up again.
     pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    many = shared.where("n > 2").select("probe")
+    many = shared.where(F.col("n").between(3, HOT)).select("probe")
+    if not shared.where(F.col("n") > HOT).isEmpty():
+        crowded = cut(shared.where(F.col("n") > HOT).select("probe"))
+        hot = cut(probes.join(small(crowded), "probe", "left_semi").select("c").distinct())
+        pairs = pairs.unionByName(_hot_pairs(classes, hot, similarity, miss))
     if not many.isEmpty():
         again = cut(probes.join(small(many, 2_000_000), "probe", "left_semi"))
         pairs = pairs.unionByName(again.alias("x").join(again.alias("y"), F.expr("x.probe = y.probe and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
@@ -257,7 +291,7 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
     members, classes = _signed_docs(df, key, text, n, least)
     parts = correlated_partitions(classes)
     estimates, count = candidate_estimates(classes, parts)
-    pairs = _candidates(classes, parts, allocate(estimates, max(1, count), similarity, miss))
+    pairs = _candidates(classes, parts, allocate(estimates, max(1, count), similarity, miss), similarity, miss)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     chosen = cut(members.join(small(wanted), "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")))
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").where(F.length("t") >= least)

@@ -173,7 +173,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL, "p8_found": P8_SQL}
 
 
 P4_SQL = r"""
@@ -183,3 +183,11 @@ n AS (SELECT source_key, count(DISTINCT article_id) AS total FROM article WHERE
 SELECT source_key, line FROM l JOIN n USING (source_key) WHERE line <> '' GROUP BY source_key, line, total
 HAVING count(*) >= 5 AND count(*) >= 0.15 * total
 """
+
+P8_SQL = r"""
+WITH i AS (SELECT item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t FROM eval_item),
+d AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, substr(t, p, 50) AS run FROM i, unnest(range(1, length(t) - 48)) AS r(p)),
+w AS (SELECT doc_id, substr(t, p, 50) AS run FROM d, unnest(range(1, length(t) - 48)) AS r(p))
+SELECT DISTINCT doc_id, item_id FROM w JOIN g USING (run)
+"""

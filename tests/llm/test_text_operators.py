@@ -122,9 +122,13 @@ def test_lookalikes(spark):
     assert all(out[i] == t for i, t in plain + fine)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
+    from evidentia.llm import near_duplicates
     from evidentia.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+
     rng = random.Random(6)
     texts = ["".join(sentence(rng, 14) for _ in range(20)) for _ in range(60)]
     rows = []
@@ -144,6 +148,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(groups[i] == groups[j] for i, j in got)
 
 
+def test_boilerplate_makes_no_pairs(spark):
+    """A crowd of texts with half their length in common is hot in every probe, yet gives few candidates and no pairs."""
+    from evidentia.llm import near_duplicates as nd
+
+    rng = random.Random(9)
+    common = "".join(sentence(rng, 14) for _ in range(12))
+    rows = [(i, common + "".join(sentence(rng, 14) for _ in range(12))) for i in range(300)]
+    _, classes = nd._signed_docs(spark.createDataFrame(rows, "article_id long, text string"), "article_id", "text", 8, 400)
+    pairs = nd._hot_pairs(classes, classes.select("c"), 0.7, 1e-3)
+    assert pairs.count() < 300 * 299 / 2 / 20
+
+
 def test_leaks_equal_brute_force(spark):
     from evidentia.llm.leakage import fold, leaks
 
