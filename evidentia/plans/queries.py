@@ -607,3 +607,80 @@ def lim05(spark, d):
 
     top = table(spark, d, "article").select("arrival", "pub_date").orderBy(F.col("pub_date").desc_nulls_last(), "arrival").limit(50)
     return top.select("arrival", F.row_number().over(Window.orderBy(F.col("pub_date").desc_nulls_last(), "arrival")).cast("long").alias("place"))
+
+
+# Further columns and aggregates
+
+
+@query("agg03_ledger_rate", "SELECT count(*) AS total, count(DISTINCT url) AS urls, round(avg((fetch_status = 'full')::INT), 4) AS rate FROM article")
+def agg03(spark, d):
+    return table(spark, d, "article").agg(F.count("*").alias("total"), F.count_distinct("url").alias("urls"), F.round(F.avg((F.col("fetch_status") == "full").cast("double")), 4).alias("rate"))
+
+
+@query("agg07_quotes", "SELECT kind, sum(len(regexp_extract_all(text, '「[^」]+」|“[^”]+”'))) AS quotes FROM claim GROUP BY 1")
+def agg07(spark, d):
+    return table(spark, d, "claim").groupBy("kind").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit("「[^」]+」|“[^”]+”"), 0))).alias("quotes"))
+
+
+@query("agg11_duplicates_by_kept")
+def agg11(spark, d):
+    return identity.dropped(table(spark, d, "article")).groupBy("kept_row", "kept_url").agg(F.count("*").alias("n"))
+
+
+@query("str04_halved", "SELECT arrival, translate(docno, '０１２３４５６７８９（）〔〕【】', '0123456789()[][]') AS docno FROM article WHERE docno <> ''")
+def str04(spark, d):
+    return table(spark, d, "article").where("docno <> ''").select("arrival", F.translate("docno", "０１２３４５６７８９（）〔〕【】", "0123456789()[][]").alias("docno"))
+
+
+@query("str05_fragments")
+def str05(spark, d):
+    from evidentia.operators.tiers import fragment_text
+
+    rows = spread(table(spark, d, "detail_1001").where("docclob <> ''").select("docid", "docclob"))
+    return rows.select("docid", F.length(fragment_text(F.col("docclob"))).alias("chars"))
+
+
+@query("str13_paragraphs", r"SELECT doc_id, len(regexp_split_to_array(text, '\n\s*\n')) AS paragraphs, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL")
+def str13(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.split("text", r"\n\s*\n")).cast("long").alias("paragraphs"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+
+
+@query("str15_source_dirs", "SELECT DISTINCT source_key, left(regexp_replace(source_key, '[^A-Za-z0-9_-]+', '_', 'g'), 40) AS dir FROM article")
+def str15(spark, d):
+    return table(spark, d, "article").select("source_key", F.left(F.regexp_replace("source_key", "[^A-Za-z0-9_-]+", "_"), F.lit(40)).alias("dir")).distinct()
+
+
+_TOKENS = r"[\x{4e00}-\x{9fa5}]{1,12}(?:发|办|函|公告|令|规|字|号)?[〔\[（(【]20[0-9]{2}[〕\]）)】][0-9]{1,4}号"
+
+
+@query("tok02_docno_tokens", f"SELECT DISTINCT claim_id, unnest(regexp_extract_all(text, {_q(_TOKENS)})) AS token FROM claim")
+def tok02(spark, d):
+    return table(spark, d, "claim").select("claim_id", F.explode(F.regexp_extract_all("text", F.lit(_TOKENS), 0)).alias("token")).distinct()
+
+
+@query("hsh03_version_hash", "SELECT arrival, left(sha256(concat_ws('|', coalesce(title, ''), coalesce(docno, ''), coalesce(issuer, ''), coalesce(CAST(pub_date AS VARCHAR), ''), coalesce(policy_status, ''), coalesce(fetch_status, ''), coalesce(fetch_method, ''), coalesce(evidence_layer, ''), coalesce(notes, ''))), 12) AS version FROM article")
+def hsh03(spark, d):
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "docno", "issuer", "pub_date", "policy_status", "fetch_status", "fetch_method", "evidence_layer", "notes")]
+    return table(spark, d, "article").select("arrival", F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(12)).alias("version"))
+
+
+@query("jn10_foreign_evidence", "SELECT a.claim_id, count(*) AS n FROM (SELECT DISTINCT claim_id, unnest(evidence) AS url FROM claim) a WHERE NOT EXISTS (SELECT 1 FROM article b WHERE b.url = a.url AND b.fetch_status = 'full') GROUP BY 1")
+def jn10(spark, d):
+    cited = table(spark, d, "claim").select("claim_id", F.explode("evidence").alias("url")).distinct()
+    full = table(spark, d, "article").where("fetch_status = 'full'").select("url").distinct()
+    return cited.join(full, "url", "left_anti").groupBy("claim_id").agg(F.count("*").alias("n"))
+
+
+@query("flt11_pdf_links", "SELECT attempt_id, url FROM (SELECT DISTINCT * FROM attempt) WHERE ends_with(lower(url), '.pdf') OR contains(lower(url), '.pdf?') OR contains(lower(url), '/resource/file?') OR tier = 'pdf'")
+def flt11(spark, d):
+    return table(spark, d, "attempt").distinct().where(urls.is_pdf(F.col("url")) | (F.col("tier") == "pdf")).select("attempt_id", "url")
+
+
+@query("lim09_short_errors", "SELECT attempt_id, left(error, 200) AS error FROM (SELECT DISTINCT * FROM attempt) WHERE error <> ''")
+def lim09(spark, d):
+    return table(spark, d, "attempt").distinct().where("error <> ''").select("attempt_id", F.left("error", F.lit(200)).alias("error"))
+
+
+@query("agg16_latency", "SELECT source_key, min(elapsed_ms) AS least, max(elapsed_ms) AS most, sum(elapsed_ms) AS total FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1")
+def agg16(spark, d):
+    return table(spark, d, "attempt").distinct().groupBy("source_key").agg(F.min("elapsed_ms").alias("least"), F.max("elapsed_ms").alias("most"), F.sum("elapsed_ms").alias("total"))

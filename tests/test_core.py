@@ -257,3 +257,17 @@ def test_claims_file(tmp_path):
         path.write_text(bad, encoding="utf-8")
         with pytest.raises(ValueError):  # noqa: PT011
             claims_of(str(path))
+
+
+def test_ledger_stream(spark, tmp_path):
+    from evidentia.streaming import ledger as kept
+
+    schema = "article_id long, arrival long, url string, text string, fetch_status string, first_seen date, fetched_at timestamp"
+    for day, body in ((1, "甲"), (2, "乙"), (3, "乙")):
+        spark.createDataFrame([(1, day, "u", body, "full", dt.date(2024, 1, day), dt.datetime(2024, 1, day))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = kept.keep(stream, str(tmp_path), str(tmp_path / "ck"))
+        q.processAllAvailable()
+        q.stop()
+    row = snapshots.load_index(spark, str(tmp_path), kept.SCHEMA).first()
+    assert row.first_seen == dt.date(2024, 1, 1) and len(row.history) == 1 and row.fetched_at == dt.datetime(2024, 1, 3)
