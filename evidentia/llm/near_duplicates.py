@@ -277,7 +277,7 @@ def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int
         hot = cut(probes.join(small(crowded), "probe", "left_semi").select("c").distinct())
         pairs = pairs.unionByName(_hot_pairs(classes, hot, similarity, miss))
     if not many.isEmpty():
-        again = cut(probes.join(small(many, 2_000_000), "probe", "left_semi"))
+        again = cut(probes.join(small(many), "probe", "left_semi"))
         pairs = pairs.unionByName(again.alias("x").join(again.alias("y"), F.expr("x.probe = y.probe and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
     pairs = pairs.distinct()
     left = classes.select(F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
