@@ -38,7 +38,8 @@ def collect(items: DataFrame, outcomes: DataFrame, sources: DataFrame, options:
     inside = listing.in_window(F.col("pub_date"), options.since, options.until)
     passing = items.where(inside).where(listing.keywords_pass(F.col("title"), F.col("summary"), options.keywords, options.unwanted))
     first = listing.keep_first(passing, ["source_key", "url"])
-    listed = cut(listing.cap(first.join(caps, "source_key"), "source_key", F.col("_most")).drop("_most"))
+    ceiling = caps.agg(F.max("_most")).first()[0]
+    listed = cut(listing.cap(first.join(caps, "source_key"), "source_key", F.col("_most"), ceiling=ceiling).drop("_most"))
     queued = listing.queue(listed, options.budget, eligible=F.col("fetch_status") == "listing_only").select("article_id")
     chosen = cut(listed.join(queued.distinct(), "article_id", "left_semi"))
     rest = listed.join(chosen.select("arrival"), "arrival", "left_anti")

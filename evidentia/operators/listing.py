@@ -32,10 +32,14 @@ def keep_first(df: DataFrame, keys: list[str], order: str = "arrival") -> DataFr
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def cap(df: DataFrame, by: str, most: int | Column, order: str = "arrival") -> DataFrame:
-    """At most so many rows of each source, the first in arrival order."""
+def cap(df: DataFrame, by: str, most: int | Column, order: str = "arrival", ceiling: int | None = None) -> DataFrame:
+    """At most so many rows of each source, the first in arrival order.
+
+    Where `most` is a column, name its largest value as `ceiling`: a literal lets tasks drop the surplus before the shuffle.
+    """
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    rows = df.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return (rows if ceiling is None else rows.where(F.col("_rank") <= ceiling)).drop("_rank")
 
 
 def interleaved(df: DataFrame, by: str = "source_key", order: str = "arrival") -> DataFrame:

@@ -377,7 +377,8 @@ def win06(spark, d):
 @query("lim01_source_cap", "SELECT arrival FROM (SELECT a.arrival, row_number() OVER (PARTITION BY source_key ORDER BY arrival) AS k, CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END AS most FROM article a JOIN source_registry USING (source_key)) WHERE k <= most")
 def lim01(spark, d):
     most = table(spark, d, "source_registry").select("source_key", F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20)).alias("most"))
-    return listing.cap(table(spark, d, "article").join(most, "source_key"), "source_key", F.col("most")).select("arrival")
+    ceiling = most.agg(F.max("most")).first()[0]
+    return listing.cap(table(spark, d, "article").join(most, "source_key"), "source_key", F.col("most"), ceiling=ceiling).select("arrival")
 
 
 @query("lim02_fetch_queue", "SELECT arrival, turn FROM (SELECT arrival, source_key, row_number() OVER (PARTITION BY source_key ORDER BY arrival) AS turn, fetch_status FROM article) WHERE fetch_status = 'listing_only' ORDER BY turn, source_key, arrival LIMIT 40")

@@ -16,6 +16,8 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = os.path.join(tempfile.gettempdir(), "evidentia-checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
