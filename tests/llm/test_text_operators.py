@@ -13,9 +13,13 @@ def sentence(rng, n=12):
     return "".join(rng.choice(WORDS) for _ in range(n)) + "。"
 
 
-def test_garbled_text_comes_back(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_garbled_text_comes_back(spark, monkeypatch, limit):
+    from evidentia.llm import encodings
     from evidentia.llm.encodings import repaired
 
+    monkeypatch.setattr(encodings, "TABLE", limit)  # as a table in the tasks, or joined value by value
+
     rng = random.Random(1)
     rows, truth = [], {}
     for i in range(400):
@@ -34,9 +38,13 @@ def test_garbled_text_comes_back(spark):
     assert found[900].restored == "L’été à Genève, numéro 51." and found[900].complete and not found[901].complete
 
 
-def test_repeated_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_repeated_lines_equal_brute_force(spark, monkeypatch, limit):
+    from evidentia.llm import repeated_lines as module
     from evidentia.llm.repeated_lines import line_key, repeated_lines, without_lines
 
+    monkeypatch.setattr(module, "SET_LINES", limit)  # as sets in the tasks, or joined
+
     rng = random.Random(2)
     rows = []
     for i in range(300):
