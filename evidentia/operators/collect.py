@@ -43,7 +43,7 @@ def collect(items: DataFrame, outcomes: DataFrame, sources: DataFrame, options:
     queued = listing.queue(listed, options.budget, eligible=F.col("fetch_status") == "listing_only").select("article_id")
     chosen = cut(listed.join(queued.distinct(), "article_id", "left_semi"))
     rest = listed.join(chosen.select("arrival"), "arrival", "left_anti")
-    after = tiers.upgraded(chosen, outcomes).unionByName(rest).where(inside)
+    after = cut(tiers.upgraded(chosen, outcomes).unionByName(rest).where(inside))
     grouped = cut(identity.identity(after))
     kept = grouped.where("is_kept")
     return Run(listed, kept, grouped.where("not is_kept"), ledger.source_counters(kept, sources))
