@@ -281,7 +281,7 @@ def jn16(spark, d):
 # Aggregates
 
 
-@query("agg01_source_counters", "SELECT s.source_key, coalesce(kept, 0) AS kept, coalesce(f, 0) AS full, coalesce(p, 0) AS partial, coalesce(l, 0) AS listing_only, coalesce(c, 0) AS scanned_pdf, coalesce(b, 0) AS blocked FROM source_registry s LEFT JOIN (SELECT source_key, count(*) AS kept, count_if(fetch_status = 'full') AS f, count_if(fetch_status = 'partial') AS p, count_if(fetch_status = 'listing_only') AS l, count_if(fetch_status = 'scanned_pdf') AS c, count_if(fetch_status = 'blocked') AS b FROM article GROUP BY 1) USING (source_key)")
+@query("agg01_source_counters", "SELECT s.source_key, coalesce(kept, 0) AS kept, CAST(coalesce(f, 0) AS BIGINT) AS full, CAST(coalesce(p, 0) AS BIGINT) AS partial, CAST(coalesce(l, 0) AS BIGINT) AS listing_only, CAST(coalesce(c, 0) AS BIGINT) AS scanned_pdf, CAST(coalesce(b, 0) AS BIGINT) AS blocked FROM source_registry s LEFT JOIN (SELECT source_key, count(*) AS kept, count_if(fetch_status = 'full') AS f, count_if(fetch_status = 'partial') AS p, count_if(fetch_status = 'listing_only') AS l, count_if(fetch_status = 'scanned_pdf') AS c, count_if(fetch_status = 'blocked') AS b FROM article GROUP BY 1) USING (source_key)")
 def agg01(spark, d):
     return ledger.source_counters(table(spark, d, "article"), table(spark, d, "source_registry"))
 
@@ -325,7 +325,7 @@ def agg10(spark, d):
     return rows.groupBy("source_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "url"))), lambda x: x.url), "; ").alias("urls"))
 
 
-@query("agg12_attempt_totals", "SELECT source_key, tier, count(*) AS tries, count_if(ok) AS good, sum(elapsed_ms) AS elapsed_ms FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1, 2")
+@query("agg12_attempt_totals", "SELECT source_key, tier, count(*) AS tries, CAST(count_if(ok) AS BIGINT) AS good, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1, 2")
 def agg12(spark, d):
     return table(spark, d, "attempt").distinct().groupBy("source_key", "tier").agg(F.count("*").alias("tries"), F.count_if("ok").alias("good"), F.sum("elapsed_ms").alias("elapsed_ms"))
 
@@ -333,7 +333,7 @@ def agg12(spark, d):
 _STRONG = "coalesce(a.fetch_status = 'full' AND a.evidence_layer IN ('L1', 'L2') AND a.text <> '', false)"
 
 
-@query("agg13_core_coverage", f"WITH core AS (SELECT DISTINCT claim_id FROM claim WHERE importance = 'core' AND kind IN ('fact', 'inference')), per AS (SELECT c.claim_id, bool_and({_STRONG}) AS strong FROM {_CITED} c LEFT JOIN {_LATEST} a USING (url) WHERE c.importance = 'core' AND c.kind IN ('fact', 'inference') GROUP BY 1) SELECT count(*) AS core_claims, count_if(coalesce(strong, false)) AS covered, count_if(coalesce(strong, false)) / nullif(count(*), 0) AS share FROM core LEFT JOIN per USING (claim_id)")
+@query("agg13_core_coverage", f"WITH core AS (SELECT DISTINCT claim_id FROM claim WHERE importance = 'core' AND kind IN ('fact', 'inference')), per AS (SELECT c.claim_id, bool_and({_STRONG}) AS strong FROM {_CITED} c LEFT JOIN {_LATEST} a USING (url) WHERE c.importance = 'core' AND c.kind IN ('fact', 'inference') GROUP BY 1) SELECT count(*) AS core_claims, CAST(count_if(coalesce(strong, false)) AS BIGINT) AS covered, count_if(coalesce(strong, false)) / nullif(count(*), 0) AS share FROM core LEFT JOIN per USING (claim_id)")
 def agg13(spark, d):
     return audit.core_coverage(table(spark, d, "claim"), table(spark, d, "article"))
 
@@ -581,7 +581,7 @@ def run_collect(spark, d):
     return run.counters
 
 
-@query("pln_requests", "SELECT layer, source_type, count(*) AS sources, sum(CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END) AS most_items FROM source_registry WHERE enabled GROUP BY 1, 2")
+@query("pln_requests", "SELECT layer, source_type, count(*) AS sources, CAST(sum(CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END) AS BIGINT) AS most_items FROM source_registry WHERE enabled GROUP BY 1, 2")
 def pln(spark, d):
     most = F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20))
     return table(spark, d, "source_registry").where("enabled").groupBy("layer", "source_type").agg(F.count("*").alias("sources"), F.sum(most).alias("most_items"))
@@ -618,7 +618,7 @@ def agg03(spark, d):
     return table(spark, d, "article").agg(F.count("*").alias("total"), F.count_distinct("url").alias("urls"), F.round(F.avg((F.col("fetch_status") == "full").cast("double")), 4).alias("rate"))
 
 
-@query("agg07_quotes", "SELECT kind, sum(len(regexp_extract_all(text, '「[^」]+」|“[^”]+”'))) AS quotes FROM claim GROUP BY 1")
+@query("agg07_quotes", "SELECT kind, CAST(sum(len(regexp_extract_all(text, '「[^」]+」|“[^”]+”'))) AS BIGINT) AS quotes FROM claim GROUP BY 1")
 def agg07(spark, d):
     return table(spark, d, "claim").groupBy("kind").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit("「[^」]+」|“[^”]+”"), 0))).alias("quotes"))
 
@@ -682,6 +682,6 @@ def lim09(spark, d):
     return table(spark, d, "attempt").distinct().where("error <> ''").select("attempt_id", F.left("error", F.lit(200)).alias("error"))
 
 
-@query("agg16_latency", "SELECT source_key, min(elapsed_ms) AS least, max(elapsed_ms) AS most, sum(elapsed_ms) AS total FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1")
+@query("agg16_latency", "SELECT source_key, min(elapsed_ms) AS least, max(elapsed_ms) AS most, CAST(sum(elapsed_ms) AS BIGINT) AS total FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1")
 def agg16(spark, d):
     return table(spark, d, "attempt").distinct().groupBy("source_key").agg(F.min("elapsed_ms").alias("least"), F.max("elapsed_ms").alias("most"), F.sum("elapsed_ms").alias("total"))
