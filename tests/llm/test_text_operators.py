@@ -230,3 +230,21 @@ def test_feistel_round_trip(digits):
     bare = number.replace(" ", "")
     assert re.fullmatch(r"\d{6} \d{8} \d{3}[\dX]", number) and check_digit(bare[:17]) == bare[17]
     assert len({feistel(f"{i:03d}", key) for i in range(1000)}) == 1000
+
+
+@pytest.mark.parametrize("wrong", [("utf-8", "latin-1"), ("utf-8", "gb18030"), ("gb18030", "latin-1")])
+def test_a_third_of_the_corpus_in_a_wrong_encoding(spark, wrong):
+    from evidentia.llm.encodings import repaired
+
+    rng = random.Random(8)
+    rows, truth = [], {}
+    for i in range(300):
+        text = "\n".join(sentence(rng) for _ in range(4))
+        if i % 3 == 0:  # one source of three: its characters are no rarer than those of the others
+            truth[i] = text
+            text = text.encode(wrong[0]).decode(wrong[1], "replace")
+        rows.append((i, i, "标题", text))
+    found = {r.arrival: r for r in repaired(spark.createDataFrame(rows, "article_id long, arrival long, title string, text string")).collect()}
+    assert set(found) == set(truth)
+    whole = [i for i in truth if "�" not in rows[i][3]]
+    assert all(found[i].restored == truth[i] for i in whole)
