@@ -2,7 +2,8 @@
 
 First pass: each task keeps one Misra-Gries summary per source. A summary of k counters misses no line that
 occurs in more than n / (k + 1) of the n lines it saw, and summaries merge by adding counters and errors.
-Second pass: the lines that may reach the threshold are counted exactly, one count a document.
+Second pass: the lines that may reach the threshold are counted exactly, one count a document. Where a source has so many lines
+that one pruned from every summary may still reach it, all lines of the source are counted exactly.
 
 Defined results: a row with a NULL key, source or text counts nowhere and keeps its text; an empty text counts
 as a document without lines; several rows with one key are one document, whose lines are those of all its rows;
@@ -78,8 +79,13 @@ def repeated_lines(df: DataFrame, key: str = "article_id", source: str = "source
     tasks = seen.where("kind = 1").groupBy("s").agg(F.count("*").alias("tasks"))
     bound = cut(totals.join(errors, "s").join(tasks, "s").select("s", (F.col("need") - F.col("error") - F.col("tasks")).alias("from_n")))
     counted = seen.where("kind = 0").groupBy("s", "line").agg(F.sum("n").alias("n"))
-    heavy = cut(counted.join(small(bound), "s").where("n >= from_n").select("s", "line"))
-    exact = _hits(docs, heavy).distinct().groupBy("s", "line").agg(F.count("*").alias("n"))
+    heavy = cut(counted.join(small(bound), "s").where("from_n > 0 and n >= from_n").select("s", "line"))
+    hits = _hits(docs, heavy)
+    # A line in no summary may occur as often as the errors and left-out ones add up to.
+    open_ = {r.s for r in bound.where("from_n <= 0").select("s").collect()}
+    if open_:
+        hits = hits.unionByName(_all_lines(docs.where(F.col("s").isin(open_))))
+    exact = hits.distinct().groupBy("s", "line").agg(F.count("*").alias("n"))
     kept = exact.join(small(totals), "s").where("n >= need")
     return kept.select(F.col("s").alias(source), "line", F.col("n").alias("n_docs"), F.col("total").alias("n_source"))
 
@@ -102,14 +108,19 @@ def _hits(docs: DataFrame, heavy: DataFrame) -> DataFrame:
                         yield source, line, key
 
         return map_rows(docs, run, "s string, line string, k long")
+    return _all_lines(docs).join(heavy, ["s", "line"], "left_semi")
+
+
+def _all_lines(docs: DataFrame) -> DataFrame:
+    """s, line, k for each line of docs."""
 
     def lines(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
             for key, source, text in zip(b["k"], b["s"], b["t"], strict=True):
-                for line in {line_key(x) for x in text.split("\n")}:
+                for line in {line_key(x) for x in text.split("\n")} - {""}:
                     yield source, line, key
 
-    return map_rows(docs, lines, "s string, line string, k long").join(heavy, ["s", "line"], "left_semi")
+    return map_rows(docs, lines, "s string, line string, k long")
 
 
 #: Lines up to which the candidate or confirmed lines go to the tasks as sets; beyond it they are joined.

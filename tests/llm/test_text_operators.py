@@ -248,3 +248,14 @@ def test_a_third_of_the_corpus_in_a_wrong_encoding(spark, wrong):
     assert set(found) == set(truth)
     whole = [i for i in truth if "�" not in rows[i][3]]
     assert all(found[i].restored == truth[i] for i in whole)
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_lines_pruned_from_every_summary_are_counted(spark, monkeypatch, limit):
+    from evidentia.llm import repeated_lines as module
+
+    monkeypatch.setattr(module, "SET_LINES", limit)
+    # The line is in a fifth of the documents, but many others push it out of each summary.
+    rows = [(i, i, "s", "\n".join([f"{'甲乙丙丁'[i % 4]}{chr(0x4E00 + i)}{chr(0x4E00 + j)}" for j in range(60)] + ["共有的行"] * (i % 5 == 0 and i < 280))) for i in range(300)]
+    df = spark.createDataFrame(rows, "article_id long, arrival long, source_key string, text string")
+    assert [(r.line, r.n_docs, r.n_source) for r in module.repeated_lines(df, k=16).collect()] == [("共有的行", 56, 300)]
