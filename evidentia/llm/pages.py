@@ -44,6 +44,13 @@ _LINES = {
     "fr": ["Mentions légales | Plan du site | Accessibilité : partielle", "Nous suivre : flux, lettre, vidéo", "Nous déposons des témoins pour mesurer l’audience. Accepter | Refuser", "{org} – tous droits réservés, dossier {n}", "Télécharger ({n} ko)", "Gérer mes préférences de confidentialité", "Article précédent : {title}", "Article suivant : {title}", "Taille du texte A A A", "Ce site utilise des cookies. Accepter | Refuser"],
     "de": ["Impressum | Datenschutz | Übersicht | Leichte Sprache", "Folgen Sie uns: Feed, Rundbrief", "Diese Seite setzt Cookies ein. Annehmen | Ablehnen | Einstellungen", "Herunterladen ({n} kB)", "Ihre Auswahl zum Datenschutz können Sie jederzeit ändern.", "{org} – Stand {n}", "Voriger Beitrag: {title}", "Nächster Beitrag: {title}", "Schriftgröße A A A", "Alle Rechte vorbehalten, {org}, Besucher {n}"],
 }
+#: Furniture of over 160 characters is laid out from several of these.
+_LONG = {
+    "zh": ["本网站使用 Cookie 保存您的浏览设置并统计访问量，继续浏览即表示您同意我们的隐私声明。", "您可以随时在浏览器中更改 Cookie 设置，拒绝统计类和营销类 Cookie 不影响必要功能的使用。", "版权所有 {org}，未经许可不得转载，网站地图、联系我们和免责声明见页面底部。", "主办：{org}　承办：{org}信息科　网站标识码 1{n}　京ICP备{n}号。", "建议使用分辨率 1280 以上的浏览器访问本网站，您是第 {n} 位访客。"],
+    "en": ["We use cookies to remember your settings, to measure visits and to improve this website.", "You can accept or reject cookies at any time in your browser or in our privacy settings.", "By continuing to browse this site you agree to our cookie policy, privacy notice and terms of use.", "Copyright 2019-2026 {org}. All rights reserved. Legal notice, imprint, accessibility and site map are linked below."],
+    "fr": ["Ce site utilise des cookies pour mesurer l’audience et retenir vos préférences de navigation.", "Vous pouvez accepter ou refuser les cookies à tout moment dans les réglages de confidentialité.", "{org}, tous droits réservés, mentions légales, plan du site et accessibilité en bas de page."],
+    "de": ["Diese Website verwendet Cookies, um Ihre Einstellungen zu speichern und Besuche zu zählen.", "Sie können Cookies jederzeit in den Einstellungen zum Datenschutz annehmen oder ablehnen.", "Alle Rechte vorbehalten, {org}, Impressum, Datenschutz und Übersicht finden Sie unten."],
+}
 _HEADS = {
     "zh": "最新发布 本栏目推荐 热门文章 相关阅读 猜你想看 相关链接 推荐阅读 热点排行".split(),
     "en": "Related items|Most read|Latest from this desk|In this section|You may also like|Related links|Popular now|More like this".split("|"),
@@ -121,6 +128,7 @@ def coarse(line: str) -> str:
     return "other"
 
 
+@functools.lru_cache(200_000)
 def _id(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
@@ -138,14 +146,13 @@ def _short(line: str, tags: str) -> tuple[str, tuple[int, ...]]:
 def _features(line: str, tags: str) -> tuple[str, tuple[int, ...]]:
     shape = coarse(line)
     out = [f"c={shape}", f"t={tags}", f"l={min(9, len(line) // 12)}", f"e={line[-1:] if line[-1:] in '。.：:；;）)℃次' else ''}", f"s={min(4, len(_SEPARATOR.findall(line)))}", f"d={min(4, sum(c.isdigit() for c in line) // 3)}", f"g={min(4, len(_ODD.findall(line)) * 8 // len(line))}"]
-    if len(line) <= 160 and shape != "clause":
-        low = line.lower()
-        words = _WORD.findall(low)
-        out += [f"w={w}" for w in words[:14] if not _HAN.match(w)]
-        for run in _HAN.findall(line)[:8]:
-            out += [f"b={run[i : i + 2]}" for i in range(min(12, len(run) - 1))]
-        out += [f"f={line[:2]}", f"x={line}" if len(line) < 24 else "x"]
-    return shape, tuple(_id(x) for x in out)
+    # Words and bigrams of the whole block, each once.
+    seen = {f"w={w}" for w in _WORD.findall(line.lower()) if not _HAN.match(w)}
+    for run in _HAN.findall(line):
+        seen.update(f"b={run[i : i + 2]}" for i in range(len(run) - 1))
+    out += sorted(seen)
+    out += [f"f={line[:2]}", f"x={line}" if len(line) < 24 else "x"]
+    return shape, tuple(map(_id, out))
 
 
 @functools.lru_cache(20_000)
@@ -161,7 +168,7 @@ def _around(before2: str, before: str, shape: str, after: str, after2: str, plac
 
 def features(blocks: list[tuple[str, str]]) -> list[tuple[int, ...]]:
     """Feature numbers of each (ancestor tags, text) block of a page."""
-    own = [_own(text if len(text) <= 200 else text[:100] + text[-100:], tags) for tags, text in blocks]
+    own = [_own(text, tags) for tags, text in blocks]
     shapes = ["start", "start", *[x[0] for x in own], "end", "end"]
     body = [i for i, (s, _) in enumerate(own) if s in ("clause", "long")]
     first, last = (body[0], body[-1]) if body else (len(own), -1)
@@ -193,7 +200,17 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[str]
         def listing(lang: str = lang) -> list[str]:
             return [rng.choice(_HEADS[lang]), *[fill(rng.choice(_TITLES[lang])) for _ in range(rng.randint(1, 5))]]
 
+        def long(lang: str = lang) -> list[str]:
+            if rng.random() < 0.3:
+                return [rng.choice([" | ", " · ", "　"]).join(rng.sample(_WORDS[lang] * 3, min(45, len(_WORDS[lang]) * 3)))]
+            text = ""
+            while len(text) <= 160:
+                text += ("" if lang == "zh" or not text else " ") + fill(rng.choice(_LONG[lang]))
+            return [text]
+
         def furniture(lang: str = lang) -> list[str]:
+            if rng.random() < 0.08:
+                return long()
             return rng.choice([menu, listing, *[lambda: [fill(rng.choice(_LINES[lang]))]] * 4, lambda: [fill(rng.choice(_CRUMBS[lang]))], lambda: [rng.choice(_WORDS[lang])]])()
 
         lines: list[tuple[str, int]] = []

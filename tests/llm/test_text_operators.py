@@ -259,3 +259,13 @@ def test_lines_pruned_from_every_summary_are_counted(spark, monkeypatch, limit):
     rows = [(i, i, "s", "\n".join([f"{'甲乙丙丁'[i % 4]}{chr(0x4E00 + i)}{chr(0x4E00 + j)}" for j in range(60)] + ["共有的行"] * (i % 5 == 0 and i < 280))) for i in range(300)]
     df = spark.createDataFrame(rows, "article_id long, arrival long, source_key string, text string")
     assert [(r.line, r.n_docs, r.n_source) for r in module.repeated_lines(df, k=16).collect()] == [("共有的行", 56, 300)]
+
+
+def test_long_furniture_inside_the_body():
+    from evidentia.llm.pages import FURNITURE, MAIN, label_lines, model
+
+    clause = "A firm must lodge its papers on client money within 30 days, and the office may refuse the renewal."
+    long = "This text concerns how a firm must keep its ledger, and the office may at any time ask for the papers that belong to it. " * 2
+    cookies = "Our website stores cookies on your device to remember settings and to measure visits. You may accept or reject these cookies in the privacy settings of your browser. Read our cookie policy, imprint and terms of use for more."
+    lines = ["Home | About | Notices | Contact", "Home > News > Notices", "Rules for client money", f"1. {clause}", f"2. {long.strip()}", cookies, f"3. {clause}", f"4. {clause}", "Privacy | Terms | Accessibility | Site map"]
+    assert label_lines("\n".join(lines), model()) == [FURNITURE] * 2 + [MAIN] * 3 + [FURNITURE] + [MAIN] * 2 + [FURNITURE]
