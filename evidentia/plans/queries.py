@@ -504,7 +504,7 @@ def src06(spark, d):
 def src04(spark, d):
     from evidentia.sources.listings import html_links
 
-    rows = spread(table(spark, d, "article")).where("url <> ''").where(F.col("docno").rlike(r"^[A-Za-z0-9〔〕/\x{4e00}-\x{9fff}-]+$"))
+    rows = spread(table(spark, d, "article")).where("url <> '' and docno <> ''")
     page = F.concat(F.lit("<html><body><nav><a href='/x'>short</a></nav><ul><li><a href='"), F.col("url"), F.lit("'>"), _escaped("docno"), F.lit("</a></li></ul></body></html>"))
     return html_links(rows.select("arrival", F.concat("url", F.lit("#"), F.col("arrival").cast("string")).alias("url"), page.alias("payload"))).select("arrival", "link")
 
@@ -599,7 +599,7 @@ def num03(spark, d):
 
 @query("num01_plain_numbers", "SELECT arrival, md5(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g')) AS digest FROM article WHERE text IS NOT NULL AND NOT regexp_matches(text, '[0-9],[0-9],')")
 def num01(spark, d):
-    return spread(table(spark, d, "article")).where("text is not null").where(~F.col("text").rlike("[0-9],[0-9],")).select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
+    return spread(table(spark, d, "article")).where("text is not null").select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
 
 
 @query("lim05_newest_first", "SELECT arrival, row_number() OVER (ORDER BY pub_date DESC NULLS LAST, arrival) AS place FROM (SELECT * FROM article ORDER BY pub_date DESC NULLS LAST, arrival LIMIT 50)")

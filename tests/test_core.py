@@ -271,3 +271,22 @@ def test_ledger_stream(spark, tmp_path):
         q.stop()
     row = snapshots.load_index(spark, str(tmp_path), kept.SCHEMA).first()
     assert row.first_seen == dt.date(2024, 1, 1) and len(row.history) == 1 and row.fetched_at == dt.datetime(2024, 1, 3)
+
+
+def _articles(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "article.parquet"))
+    return str(tmp_path)
+
+
+def test_plain_numbers_and_listings_take_every_row(spark, tmp_path):
+    import hashlib
+    import re
+
+    from evidentia.plans.queries import QUERIES
+
+    texts = ["1,234 and 5", "items 1,2,3, and 4,5,6", "no number", ",1,", None]
+    docnos = ["东财办〔2024〕12号", "东财办 〔２０２４〕１２号", "Réf: A & B <9>/2024", "short", None]
+    d = _articles(spark, tmp_path, [(i, f"http://h.example/{i}", t, n) for i, (t, n) in enumerate(zip(texts, docnos, strict=True))], "arrival long, url string, text string, docno string")
+    got = {r.arrival: r.digest for r in QUERIES["num01_plain_numbers"](spark, d).collect()}
+    assert got == {i: hashlib.md5(re.sub("(?<=[0-9]),(?=[0-9])", "", t).encode()).hexdigest() for i, t in enumerate(texts) if t is not None}
+    assert {r.arrival for r in QUERIES["src04_html_listing"](spark, d).collect()} == {0, 1, 2}
