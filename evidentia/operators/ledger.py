@@ -42,6 +42,21 @@ def upserted(ledger: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame
     )
 
 
+def folded(rows: DataFrame, key: str = "url", order: str = "arrival") -> DataFrame:
+    """The ledger after all rows were upserted one by one in their order, by one ordered pass per key.
+
+    rows have key, order, snapshot_id, fetch_status, first_seen and fetched_at; the result is that of upserted().
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    before = lambda c: F.lag(c).over(by)
+    changed = before("snapshot_id").isNotNull() & (before("snapshot_id") != F.col("snapshot_id"))
+    past = F.struct(F.col(order).alias("at"), before("snapshot_id").alias("snapshot_id"), before("fetch_status").alias("fetch_status"), before("fetched_at").alias("fetched_at"))
+    each = rows.select("*", F.when(changed, past).alias("_past"))
+    last = lambda c: F.max_by(c, order).alias(c)
+    history = F.transform(F.array_sort(F.collect_list("_past")), lambda x: x.dropFields("at")).alias("history")
+    return each.groupBy(key).agg(last("snapshot_id"), last("fetch_status"), F.min("first_seen").alias("first_seen"), last("fetched_at"), history)
+
+
 def version_chain(articles: DataFrame) -> DataFrame:
     """Each version of a URL with the one before it."""
     order = Window.partitionBy("url").orderBy(F.col("fetched_at").asc_nulls_first(), "arrival")

@@ -455,12 +455,8 @@ def val02(spark, d):
 
 @query("snk04_upsert", "WITH v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrival) AS k FROM article WHERE url <> ''), o AS (SELECT * FROM v WHERE k = 1), n AS (SELECT * FROM v WHERE k = 2), h AS (SELECT *, left(sha256(concat(url, chr(10), coalesce(text, ''))), 16) AS sid FROM v) SELECT o.url, coalesce(n.fetch_status, o.fetch_status) AS fetch_status, least(o.first_seen, n.first_seen) AS first_seen, CASE WHEN n.url IS NOT NULL AND a.sid <> b.sid THEN 1 ELSE 0 END AS n_history FROM o LEFT JOIN n USING (url) JOIN h a ON a.url = o.url AND a.k = 1 LEFT JOIN h b ON b.url = o.url AND b.k = 2")
 def snk04(spark, d):
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("url").orderBy("arrival"))
-    history = F.array().cast("array<struct<snapshot_id:string,fetch_status:string,fetched_at:timestamp_ntz>>" if dict(table(spark, d, "article").dtypes)["fetched_at"] == "timestamp_ntz" else "array<struct<snapshot_id:string,fetch_status:string,fetched_at:timestamp>>")
-    rows = table(spark, d, "article").where("url <> ''").select("url", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"), "fetch_status", "first_seen", "fetched_at", history.alias("history"), k.alias("k"))
-    after = ledger.upserted(rows.where("k = 1"), rows.where("k = 2"))
+    rows = table(spark, d, "article").where("url <> ''").select("url", "arrival", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"), "fetch_status", "first_seen", "fetched_at")
+    after = ledger.folded(rows)
     return after.select("url", "fetch_status", "first_seen", F.size("history").alias("n_history"))
 
 

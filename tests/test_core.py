@@ -290,3 +290,22 @@ def test_plain_numbers_and_listings_take_every_row(spark, tmp_path):
     got = {r.arrival: r.digest for r in QUERIES["num01_plain_numbers"](spark, d).collect()}
     assert got == {i: hashlib.md5(re.sub("(?<=[0-9]),(?=[0-9])", "", t).encode()).hexdigest() for i, t in enumerate(texts) if t is not None}
     assert {r.arrival for r in QUERIES["src04_html_listing"](spark, d).collect()} == {0, 1, 2}
+
+
+def test_upsert_folds_every_version(spark, tmp_path):
+    from evidentia.operators import ledger
+    from evidentia.plans.queries import QUERIES
+
+    day = lambda n: dt.date(2025, 1, n)
+    rows = [(i, "http://h.example/a", x, s, day(9 - i), dt.datetime(2025, 1, i + 1)) for i, (x, s) in enumerate([("x", "partial"), ("x", "full"), ("y", "blocked"), ("x", "full"), ("z", "partial")])]
+    rows.append((9, "http://h.example/b", "q", "full", day(3), dt.datetime(2025, 1, 1)))
+    schema = "arrival long, url string, text string, fetch_status string, first_seen date, fetched_at timestamp"
+    d = _articles(spark, tmp_path, rows, schema)
+    got = {(r.url[-1], r.fetch_status, r.first_seen, r.n_history) for r in QUERIES["snk04_upsert"](spark, d).collect()}
+    assert got == {("a", "partial", day(5), 3), ("b", "full", day(3), 0)}
+    one = spark.createDataFrame(rows, schema).withColumnRenamed("text", "snapshot_id")
+    batches = one.withColumn("history", F.array().cast("array<struct<snapshot_id:string,fetch_status:string,fetched_at:timestamp>>"))
+    want = batches.where("arrival = 9").drop("arrival")
+    for i in range(5):
+        want = ledger.upserted(want, batches.where(F.col("arrival") == i).drop("arrival"))
+    assert sorted(map(tuple, ledger.folded(one).collect())) == sorted(map(tuple, want.collect()))
