@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table counts as small enough for a broadcast join.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON text) up to which a table counts as small enough for a broadcast join.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of input up to which spread() may shuffle; larger inputs have enough splits of their own.
+SPREAD_BYTES = 2 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,28 +28,62 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables below the shared one; it is deleted when the application ends."""
+    where = f"{shared_dir(spark)}/evidentia-{spark.sparkContext.applicationId}"
+    if where not in _MARKED:
+        path, fs = _hadoop(spark, where)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(where)
+    return where
+
+
+_MARKED: set[str] = set()
+
+
+def _hadoop(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has cut so far. Results that were not written yet can't be read any more."""
+    where = run_dir(spark)
+    path, fs = _hadoop(spark, where)
+    fs.delete(path, True)
+    _MARKED.discard(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again.
 
     This ends the lineage, survives the loss of any executor and gives the optimizer the true size.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; looks at no more rows than that."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (size or 0) <= most
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `limit` rows, else df as it is: the join then shuffles.
+    """df marked for broadcast if its rows and bytes are within the limits, else df as it is: the join then shuffles.
 
-    Give it tables that cut() has written: their rows are counted from the file footers.
+    Give it tables that cut() has written, as it reads them once for the check.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if its files give far fewer partitions than there are cores."""
+    """df over all cores, if it is a small input whose files give far fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+    few = df.rdd.getNumPartitions() * 2 < cores
+    return df.repartition(cores) if few and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
