@@ -4,11 +4,11 @@ Each body is parsed to blocks, every block with its element path (tag and class,
 merged into a site style tree: by path, how often each sequence of child tags (presentation) and each digit-folded text
 (content) occurs. The importance of a branch blends the entropy of its presentation with the mean entropy of the contents
 below it; a branch seen on enough pages whose importance is low shows the same everywhere, and is cut from each page.
-The blocks that stay are written as clean text. The markups are those whose blocks the parser built.
+The blocks that stay are written as clean text, and their markups are the record's.
 
 Defined results: a NULL or empty body has no markup and gives NULL or an empty text; broken markup is read as far as it goes
-and never fails; records that share a key give one row each for clean texts, and one row a key and markup for kinds; a
-NULL host is a host of its own; other columns are not read.
+and never fails; records that share a key give one row each for clean texts, and one row a key and markup for kinds; records
+without a host form one host; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.frames import Columns, map_rows
@@ -31,7 +31,7 @@ _TAGS = (
     "meta nav ol p pre s section select small span strike strong style script sub sup table tbody td tfoot th thead title tr u ul o:p"
 ).split()
 _TAG = re.compile(rf"</?(?:{'|'.join(sorted(_TAGS, key=len, reverse=True))})(?:\s[^<>]*)?/?>|<!--.*?-->|<!doctype", re.I | re.S)
-_ESCAPED = re.compile(rf"&(?:amp;)*lt;/?(?:{'|'.join(sorted(_TAGS, key=len, reverse=True))})(?:\s.{{0,400}}?)?/?&(?:amp;)*gt;|&(?:amp;)*lt;!--", re.I | re.S)
+_ESCAPED = re.compile(rf"&(?:amp;)*lt;/?(?:{'|'.join(sorted(_TAGS, key=len, reverse=True))})(?:\s(?:(?!&(?:amp;)*[lg]t;).)*)?/?&(?:amp;)*gt;|&(?:amp;)*lt;!--", re.I | re.S)
 _ENTITY = re.compile(r"&(?:#[0-9]{2,7}|#x[0-9a-f]{2,6}|[a-z][a-z0-9]{1,30});", re.I)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col"}
 _INLINE = {"a", "abbr", "b", "code", "del", "em", "font", "i", "ins", "label", "s", "small", "span", "strike", "strong", "sub", "sup", "u", "img", "o:p", "input"}
@@ -128,9 +128,15 @@ _WEAK = re.compile(r"^# \S|^(?:\* \S.*\n)+\* \S|^(?:[0-9]+\. \S.*\n)+[0-9]+\. .*
 _FENCE = re.compile(r"^(```|~~~).*?^\1\s*$|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}|<(syntaxhighlight|source|pre|nowiki)\b.*?</\3>", re.M | re.S)
 
 
+#: Without any of these a text holds no markup of the kinds below.
+_SIGNS = re.compile(r"[\\$`*#_=\[{'|>~+]|--|^- ", re.M)
+
+
 def text_kinds(text: str) -> set[str]:
     """The markups other than HTML that a text holds; what stands in code blocks is not looked at."""
-    kinds = set()
+    kinds: set[str] = set()
+    if not _SIGNS.search(text):
+        return kinds
     bare = _FENCE.sub("\n", text)
     if bare is not text and any(m.group(1) for m in _FENCE.finditer(text)):
         kinds.add(MARKDOWN)
@@ -145,34 +151,38 @@ def text_kinds(text: str) -> set[str]:
     return kinds
 
 
-def parse(body: str) -> tuple[list[tuple[tuple[str, ...], str, str]], list[tuple[str, str]], set[str]]:
-    """Blocks, styles and markups of a body."""
-    kinds: set[str] = set()
+Block = tuple[str, str, str, list[str]]
+
+
+def parse(body: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
+    """Blocks (path, kind, text, markups of the text) and styles of a body, and whether it is HTML."""
+    is_html = False
     for _ in range(3):
-        if not _ESCAPED.search(body):
+        if "lt;" not in body or not _ESCAPED.search(body):
             break
-        kinds.add(HTML)
+        is_html = True
         body = html.unescape(body)
-    if _TAG.search(body):
-        kinds.add(HTML)
+    if "<" in body and _TAG.search(body):
+        is_html = True
         page = _Page()
         page.feed(body)
         page.finish()
         blocks, styles = page.blocks, page.styles
     else:
-        if any(html.unescape(m.group()) != m.group() for m in _ENTITY.finditer(body)):
-            kinds.add(HTML)
+        if "&" in body and any(html.unescape(m.group()) != m.group() for m in _ENTITY.finditer(body)):
+            is_html = True
             body = html.unescape(body)
         blocks, styles = [((), "p", body)], []
-    out = []
-    for path, kind, text in blocks:
+    out: list[Block] = []
+    for steps, kind, text in blocks:
+        path = "/".join(steps)
         if kind in _HIDDEN or kind == "pre":
-            out.append((path, kind, text))
+            out.append((path, kind, text, []))
             continue
         own = text_kinds(text)
-        kinds |= own
-        out += [(path, k, t) for k, t in _lines(text, kind, own)] if own or kind == "p" else [(path, kind, text)]
-    return out, styles, kinds
+        marks = sorted(own)
+        out += [(path, k, t, marks) for k, t in _lines(text, kind, own)] if own or kind == "p" else [(path, kind, text, marks)]
+    return out, styles, is_html
 
 
 _TEX = [
@@ -260,12 +270,17 @@ def _plain(text: str) -> str:
     return re.sub(r"\*\*|__|(?<!`)`(?!`)", "", text)
 
 
-def render(blocks: list[tuple[tuple[str, ...], str, str]], low: set[str]) -> str:
+def _branches(path: str) -> list[str]:
+    """A path and all paths above it."""
+    return [path[:i] for i, c in enumerate(path) if c == "/"] + [path] if path else []
+
+
+def render(blocks: list[Block], low: set[str]) -> str:
     """The clean text of the blocks that stand in no branch of `low`."""
     out: list[str] = []
     code = False
-    for path, kind, text in blocks:
-        if kind in _HIDDEN or low and any("/".join(path[: i + 1]) in low for i in range(len(path))):
+    for path, kind, text, _ in blocks:
+        if kind in _HIDDEN or low and not low.isdisjoint(_branches(path)):
             continue
         if code != (kind == "pre"):
             out.append("```")
@@ -279,53 +294,68 @@ def render(blocks: list[tuple[tuple[str, ...], str, str]], low: set[str]) -> str
     return "\n".join([*out, *["```"] * code])
 
 
-_RUN = re.compile("[0-9]+")
+_PARSED = "k {kind}, h string, is_html boolean, blocks array<struct<path:string,kind:string,text:string,marks:array<string>>>, styles array<struct<path:string,style:string>>"
 
 
-def style_tree(docs: DataFrame, gamma: float = 0.5) -> DataFrame:
-    """host, path, pages, importance of every branch of the merged pages."""
+def parsed(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """k, h and the parse of every record: each body is parsed once, what follows works on this table."""
+    docs = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(host), F.lit("")).alias("h")))
 
-    def nodes(batches: Iterator[Columns]) -> Iterator[tuple]:
+    def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
-            for host, body in zip(b["h"], b["t"], strict=True):
-                blocks, styles, _ = parse(body)
-                for path in {"/".join(path[: i + 1]) for path, _, _ in blocks for i in range(len(path))}:
-                    yield host, path, "page", None
-                for path, style in styles:
-                    yield host, path, "style", style[:200]
-                for path, _, text in blocks:
-                    if path:
-                        yield host, "/".join(path), "text", _RUN.sub("#", text.strip())
-
-    rows = map_rows(docs, nodes, "h string, path string, kind string, value string")
-    each = cut(rows.groupBy("h", "path", "kind", F.xxhash64("value").alias("v")).agg(F.count("*").alias("n")))
+            for k, t, h in zip(b["k"], b["t"], b["h"], strict=True):
+                blocks, styles, is_html = parse(t) if t else (None if t is None else [], [], False)
+                yield k, h, is_html, blocks, styles
+
+    return cut(map_rows(docs, run, _PARSED.format(kind=dict(docs.dtypes)["k"]), chunk=500))
+
+
+def _above(path: Column) -> Column:
+    """A path and all paths above it."""
+    steps = F.split(path, "/")
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
+
+
+def style_tree(pages: DataFrame, gamma: float = 0.5) -> DataFrame:
+    """h, path, pages, importance of every branch of the merged pages, which parsed() gives."""
+    nodes = pages.where("is_html")
+    seen = nodes.select("h", F.explode(F.array_distinct(F.flatten(F.transform("blocks.path", _above)))).alias("path"), F.lit("page").alias("kind"), F.lit(0).cast("long").alias("v"))
+    style = nodes.select("h", F.explode("styles").alias("x")).select("h", "x.path", F.lit("style").alias("kind"), F.xxhash64("x.style").alias("v"))
+    text = nodes.select("h", F.explode("blocks").alias("x")).where("x.path <> ''").select("h", "x.path", F.lit("text").alias("kind"), F.xxhash64(F.regexp_replace(F.trim("x.text"), "[0-9]+", "#")).alias("v"))
+    each = seen.unionByName(style).unionByName(text).groupBy("h", "path", "kind", "v").agg(F.count("*").alias("n"))
     totals = each.groupBy("h", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     # -sum(p ln p) / ln m, with p = n / m: 0 where all are alike, 1 where all differ or there is but one
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    by_kind = totals.select("h", "path", "kind", "m", entropy.alias("e"))
-    pages = by_kind.where("kind = 'page'").select("h", "path", F.col("m").alias("pages"))
-    style = by_kind.where("kind = 'style'").select("h", "path", F.col("e").alias("style_e"))
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    content = by_kind.where("kind = 'text'").select("h", F.explode(above).alias("path"), "m", "e").groupBy("h", "path").agg((F.sum(F.col("m") * F.col("e")) / F.sum("m")).alias("text_e"))
-    joined = pages.join(style, ["h", "path"], "left").join(content, ["h", "path"], "left")
+    by_kind = cut(totals.select("h", "path", "kind", "m", entropy.alias("e")))
+    content = by_kind.where("kind = 'text'").select("h", F.explode(_above(F.col("path"))).alias("path"), "m", "e").groupBy("h", "path").agg((F.sum(F.col("m") * F.col("e")) / F.sum("m")).alias("text_e"))
+    own = by_kind.groupBy("h", "path").agg(F.max(F.when(F.col("kind") == "page", F.col("m"))).alias("pages"), F.max(F.when(F.col("kind") == "style", F.col("e"))).alias("style_e"))
+    joined = own.where("pages is not null").join(content, ["h", "path"], "left")
     importance = F.when(F.col("text_e").isNull(), F.col("style_e")).otherwise(gamma * F.least("style_e", "text_e") + (1 - gamma) * F.col("text_e"))
     return joined.select("h", "path", "pages", F.coalesce(importance, F.lit(1.0)).alias("importance"))
 
 
+def _with_low(pages: DataFrame, importance: float, least: int, gamma: float) -> DataFrame:
+    """The parsed pages with `low`, the branches of their host that show the same everywhere."""
+    tree = style_tree(pages, gamma)
+    low = cut(tree.where((F.col("importance") < importance) & (F.col("pages") >= least)).groupBy("h").agg(F.collect_set("path").alias("low")))
+    return pages.join(small(low), "h", "left").withColumn("low", F.coalesce("low", F.array().cast("array<string>")))
+
+
+def markups(df: DataFrame, key: str, text: str, host: str, importance: float = 0.25, pages: int = 10, gamma: float = 0.5) -> DataFrame:
+    """key, markup: the kinds of each record's content; what stands only in branches that are cut is the site's, not the record's."""
+    rows = _with_low(parsed(df, key, text, host), importance, pages, gamma)
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(_above(b["path"]), F.col("low")))
+    own = F.array_union(F.flatten(F.transform(kept, lambda b: b["marks"])), F.when(F.col("is_html"), F.array(F.lit(HTML))).otherwise(F.array().cast("array<string>")))
+    return rows.where("k is not null").select(F.col("k").alias(key), F.explode(own).alias("markup")).distinct()
+
+
 def cleaned(df: DataFrame, key: str, text: str, host: str, importance: float = 0.25, pages: int = 10, gamma: float = 0.5) -> DataFrame:
-    """key, clean text and the array of markups, for every record."""
-    docs = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(host), F.lit("")).alias("h")))
-    tree = style_tree(docs.where("t <> ''").select("h", "t"), gamma)
-    low = cut(tree.where((F.col("importance") < importance) & (F.col("pages") >= pages)).groupBy("h").agg(F.collect_set("path").alias("low")))
+    """key and clean text of every record."""
+    rows = _with_low(parsed(df, key, text, host), importance, pages, gamma)
 
     def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
-            for k, t, paths in zip(b["k"], b["t"], b["low"], strict=True):
-                if not t:
-                    yield k, t, []
-                    continue
-                blocks, _, kinds = parse(t)
-                yield k, render(blocks, set(paths or ())), sorted(kinds)
-
-    return map_rows(docs.join(small(low), "h", "left").select("k", "t", "low"), run, f"`{key}` {dict(docs.dtypes)['k']}, clean_text string, markups array<string>")
+            for k, blocks, low in zip(b["k"], b["blocks"], b["low"], strict=True):
+                yield k, None if blocks is None else render([(x["path"], x["kind"], x["text"], ()) for x in blocks], set(low))
+
+    return map_rows(rows.select("k", "blocks", "low"), run, f"`{key}` {dict(rows.dtypes)['k']}, clean_text string")

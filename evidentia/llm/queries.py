@@ -37,26 +37,31 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "article")).select("article_id", "arrival", "fetch_status")
 
 
-def _markup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from evidentia.llm.markup import cleaned
+def _records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from evidentia.session import small
 
     hosts = table(spark, sf_dir, "source_registry").select("source_key", "host")
-    records = table(spark, sf_dir, name).join(F.broadcast(hosts), "source_key", "left")
-    return cleaned(records, "docid", "docclob", "host").select(F.lit(name).alias("table_name"), "docid", "clean_text", "markups")
+    return table(spark, sf_dir, name).join(small(hosts), "source_key", "left")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _both(spark: SparkSession, sf_dir: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     from pyspark.sql import functions as F
 
-    both = _markup(spark, sf_dir, "nfra_detail").unionByName(_markup(spark, sf_dir, "detail_1001"))
-    return both.where("docid is not null").select("table_name", "docid", F.explode("markups").alias("markup")).distinct()
+    one, two = (fn(_records(spark, sf_dir, name)).withColumn("table_name", F.lit(name)) for name in ("nfra_detail", "detail_1001"))
+    return one.unionByName(two)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm.markup import markups
+
+    return _both(spark, sf_dir, lambda d: markups(d, "docid", "docclob", "host")).select("table_name", "docid", "markup")
 
 
 def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean texts."""
-    return _markup(spark, sf_dir, "nfra_detail").unionByName(_markup(spark, sf_dir, "detail_1001")).select("table_name", "docid", "clean_text")
+    from evidentia.llm.markup import cleaned
+
+    return _both(spark, sf_dir, lambda d: cleaned(d, "docid", "docclob", "host")).select("table_name", "docid", "clean_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,8 +93,8 @@ def test_residue_and_talk_about_it(spark):
 def test_markups(body, kinds, part):
     from evidentia.llm.markup import parse, render
 
-    blocks, _, found = parse(body)
-    assert found == kinds and part in render(blocks, set())
+    blocks, _, is_html = parse(body)
+    assert {m for *_, marks in blocks for m in marks} | ({"html"} if is_html else set()) == kinds and part in render(blocks, set())
 
 
 def test_repeated_branches_are_cut(spark):
@@ -106,6 +106,27 @@ def test_repeated_branches_are_cut(spark):
     assert all("联系我们" not in r.clean_text and len(r.clean_text) > 10 for r in out)
 
 
+def test_only_furniture_is_cut(spark):
+    """Over pages of three layouts with labelled parts: every repeated part goes, every own part stays."""
+    from evidentia.llm.markup import cleaned, markups
+
+    rng = random.Random(14)
+    rows, own = [], {}
+    for i in range(120):
+        parts = [sentence(rng) for _ in range(3)]
+        own[i] = parts
+        host = "abc"[i % 3]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        head, foot = f"<div class='menu'><ul><li>首页{host}</li><li>**关于**</li></ul></div>", f"<div class='foot'><span>版权所有 {host} 第{i}号</span></div>"
+        rows.append((i, [head + f"<article>{body}</article>" + foot, f"<div class='page'><div class='text'>{body}</div>{foot}</div>", f"<table><tr><td>{head}</td></tr></table><div class='main'>{body}</div>"][i % 3], host))
+    df = spark.createDataFrame(rows, "docid long, docclob string, host string")
+    out = {r.docid: r.clean_text for r in cleaned(df, "docid", "docclob", "host").collect()}
+    assert all(x in out[i] for i, parts in own.items() for x in parts)
+    assert not any("版权所有" in t or "首页" in t for t in out.values())
+    # The menu's emphasis is the site's, not the record's.
+    assert {(r.docid, r.markup) for r in markups(df, "docid", "docclob", "host").collect()} == {(i, "html") for i in own}
+
+
 def test_crf_on_held_out_pages():
     from evidentia.llm.pages import features, labelled_pages, model
 
