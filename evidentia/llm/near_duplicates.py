@@ -9,7 +9,8 @@
    sketches. Dynamic programming picks thresholds with the fewest candidates and probes whose joint chance of missing a pair
    right at the similarity threshold stays under `miss`. By the pigeonhole principle a pair that differs in no more than
    sum(t + 1) - 1 positions is always found, and the chance of a miss falls fast above the threshold.
-4. Probes are all ways of leaving t symbols out. Classes that share a probe are compared by 128-bit sketches and then exactly.
+4. Probes are all ways of leaving t symbols out. Pairs of classes that share a probe are compared by 128-bit sketches, then by their
+   whole signatures, and what is left, hardly more than the result, by the exact sets of substrings.
    Classes of probes that more than HOT share (boilerplate) are paired otherwise: two that agree on at least m of all symbols
    share one of their POSITIONS - m + 1 rarest, so only these are joined, and boilerplate symbols, being frequent, come last.
 
@@ -21,8 +22,10 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,8 @@ BITS, COUNTERS, PROBE_COST = 4, 1024, 0.15
 #: The 128-bit sketches may differ in this many bits: at similarity 0.7 they do in 19 on average, with deviation 4.
 SKETCH_BITS = 35
 
+#: Probes that one task counts, about.
+PROBES_A_TASK = 500_000
 #: Classes that may share a probe before its pairs are sought by their rarest symbols instead.
 HOT = 1_000
 
@@ -91,8 +96,8 @@ def _signed_docs(df: DataFrame, key: str, text: str, n: int, least: int) -> tupl
 
     signed = cut(map_rows(docs, run, f"k {kind}, c long, sig binary, s1 long, s2 long"))
     members = signed.select("k", "c").distinct()
-    one = signed.groupBy("c").agg(F.min("k").alias("k"))
-    classes = signed.join(one, ["c", "k"], "left_semi").groupBy("c").agg(F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    # Rows of a class have equal texts, so any row's signature is the class's.
+    classes = signed.groupBy("c").agg(F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     return members, cut(classes)
 
 
@@ -192,14 +197,12 @@ def candidate_estimates(classes: DataFrame, parts: list[list[int]]) -> tuple[np.
 
 def binomial_tail(n: int, p: float, t: int) -> float:
     """The chance of at most t in n."""
-    from math import comb
-
     return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(t + 1))
 
 
 def allocate(estimates: np.ndarray, n: int, similarity: float, miss: float, grain: float = 0.02) -> list[int]:
     """The threshold of each partition (-1: none), by dynamic programming over the log-chance of a miss."""
-    from math import comb, log
+    from math import log
 
     need = int(np.ceil(-log(miss) / grain))
     options = [(-1, 0, 0.0)]
@@ -217,6 +220,7 @@ def allocate(estimates: np.ndarray, n: int, similarity: float, miss: float, grai
         best = new
         back.append(choice)
     if not np.isfinite(best[need]):
+        warnings.warn(f"no thresholds keep the chance of a miss at similarity {similarity} under {miss}; the widest are used", stacklevel=2)
         return [max(THRESHOLDS)] * len(estimates)
     out, at = [], need
     for choice in reversed(back):
@@ -250,25 +254,48 @@ def _hot_pairs(classes: DataFrame, hot: DataFrame, similarity: float, miss: floa
     return shared.alias("x").join(shared.alias("y"), F.expr("x.symbol = y.symbol and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
-def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
-    """Pairs of classes that share a probe and whose sketches are close."""
+def _all_probes(salted: np.ndarray, parts: list[list[int]], thresholds: list[int]) -> Iterator[np.ndarray]:
+    for part, t in zip(parts, thresholds, strict=True):
+        if t >= 0:
+            yield from _probes(salted, part, t)
+
+
+def _shared_probes(classes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """probe, lo, hi, n of the probes that more than one class has. A batch sends one row a probe, so a crowd meets pre-counted;
+    the tasks are as many as the probes need, whatever their number. hi and n are NULL in the many rows of one class."""
     from pyspark.sql.types import StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            c = b.column(0)
-            salted = _salted(_matrix(b.column(1).to_pylist()))
-            for part, t in zip(parts, thresholds, strict=True):
-                if t < 0:
-                    continue
-                for h in _probes(salted, part, t):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), c], names=["probe", "c"])
+            c = b.column(0).to_numpy()
+            for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
+                h = h.view(np.int64)
+                order = np.lexsort((c, h))
+                g, own = h[order], c[order]
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                n = np.diff(np.append(first, len(g)))
+                one = n == 1
+                yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(own[first]), pa.array(own[first + n - 1], mask=one), pa.array(n, mask=one)], names=["probe", "lo", "hi", "n"])
+
+    tasks = max(1, -(-classes.count() * sum(comb(PARTITION, t) for t in thresholds if t >= 0) // PROBES_A_TASK))
+    rows = classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, lo long, hi long, n long")).repartition(tasks, "probe")
+    return rows.groupBy("probe").agg(F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"), F.sum(F.coalesce("n", F.lit(1))).alias("n")).where("n > 1")
+
+
+def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
+    """Pairs of classes that share a probe and whose sketches and signatures are close."""
+    from pyspark.sql.types import StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0)], names=["probe", "c"])
 
     probes = classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, c long"))
-    # Probes that a second class shares; the others, nearly all, end here.
-    shared = cut(probes.groupBy("probe").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    shared = cut(_shared_probes(classes, parts, thresholds))
     # Nearly all shared probes have two classes: those are pairs already. The rest are looked up again.
     pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     many = shared.where(F.col("n").between(3, HOT)).select("probe")
@@ -277,13 +304,24 @@ def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int
         hot = cut(probes.join(small(crowded), "probe", "left_semi").select("c").distinct())
         pairs = pairs.unionByName(_hot_pairs(classes, hot, similarity, miss))
     if not many.isEmpty():
-        again = cut(probes.join(small(many), "probe", "left_semi"))
+        again = cut(probes.join(many, "probe", "left_semi"))
         pairs = pairs.unionByName(again.alias("x").join(again.alias("y"), F.expr("x.probe = y.probe and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
     pairs = pairs.distinct()
     left = classes.select(F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     right = classes.select(F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     near = F.expr(f"bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {SKETCH_BITS}")
-    return cut(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+    close = cut(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+    least = least_agreement(similarity, miss / 10)
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = (_matrix(b.column(2).to_pylist()) == _matrix(b.column(3).to_pylist())).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same >= least))
+
+    sig = lambda x: classes.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"))
+    both = close.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
+    return cut(both.mapInArrow(agree, StructType.fromDDL("a long, b long")))
 
 
 def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text", n: int = 8, similarity: float = 0.7, least: int = 400, miss: float = 1e-3) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +331,7 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
     estimates, count = candidate_estimates(classes, parts)
     pairs = _candidates(classes, parts, allocate(estimates, max(1, count), similarity, miss), similarity, miss)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    chosen = cut(members.join(small(wanted), "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")))
+    chosen = cut(members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")))
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").where(F.length("t") >= least)
 
     def fold(batches: Iterator[Columns]) -> Iterator[tuple]:
@@ -303,8 +341,8 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
                 yield int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), bare
 
     # A key may have several versions: the class is taken anew from the text.
-    bodies = map_rows(texts.join(small(chosen.select("k").distinct()), "k", "left_semi").select("t"), fold, "c long, t string")
-    bodies = cut(bodies.join(small(wanted), "c", "left_semi").dropDuplicates(["c"]))
+    bodies = map_rows(texts.join(chosen.select("k").distinct(), "k", "left_semi").select("t"), fold, "c long, t string")
+    bodies = cut(bodies.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
     both = pairs.join(bodies.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(bodies.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
 
     def verify(batches: Iterator[Columns]) -> Iterator[tuple]:
