@@ -1,10 +1,11 @@
 """Personal information in free text: found by format and context, replaced by typed placeholders.
 
 Mail and street addresses, phone numbers, identity numbers and names are found by patterns for Chinese, English, French and
-German text; identity numbers with a check digit must have the right one. In the clean text each stands as
-[TYPE:pseudonym]. Numbers keep their format: a keyed Feistel network permutes the digits among the numbers of that length,
-a birth date inside an identity number among the dates of a century, and the check digit is made anew. Names and
-addresses get a keyed code. Equal values thus stay linked across documents, and only the key holder can undo a number.
+German text; 18-character identity numbers must have the right check digit. In the clean text each stands as
+[TYPE:pseudonym]. Numbers keep their format: a keyed Feistel network permutes the digits among the numbers of that length, a
+birth date, inside an identity number or free in the text, among the dates of its century, and check digits are made
+anew. Names and addresses get a keyed code. Equal values thus stay linked across documents, and only the key holder can undo a
+number. Every occurrence comes with its pseudonym.
 
 Defined results: NULL and empty texts hold nothing and stay as they are; texts of any length are searched whole; rows that
 repeat a key give each occurrence once; other columns are not read.
@@ -53,12 +54,14 @@ _NIR = re.compile(r"[12] [0-9]{2} [0-9]{2} [0-9]{2} [0-9]{3} [0-9]{3}(?: [0-9]{2
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]|[A-Z]{2}[0-9]{7}|[EGDS][0-9]{8})(?![A-Za-z0-9])")
 
 _ROAD_ZH = r"[一-鿿]{1,5}?(?:大道|大街|胡同|街|路|弄|巷|道)"
-_REST_ZH = r"[0-9]{1,5}号(?:楼)?(?:[0-9]{1,4}(?:号楼|幢|栋|座|单元))?(?:[0-9]{1,4}(?:单元|层|楼))?(?:[0-9]{1,5}室?)?"
+_REST_ZH = r"[0-9]{1,5}号(?:院|楼)?(?:[0-9]{1,4}(?:号院))?(?:[0-9]{1,4}(?:号楼|幢|栋|座|单元))?(?:[0-9]{1,4}(?:单元|层|楼))?(?:[0-9]{1,5}室?)?"
 _PART_ZH = r"(?:[一-鿿]{2,3}?(?:街道|镇|乡))?"
 _ADDRESS_ZH = re.compile(rf"(?:(?:(?<=住址)|(?<=地址)|(?<=寄至)|(?<=寄往)|(?<=送至)|(?<=住在)|(?<=居住于))[一-鿿]{{2,12}}?(?:新区|市|县|区)|[一-鿿]{{2}}(?:新区|市|县|区)){_PART_ZH}{_ROAD_ZH}{_REST_ZH}|(?:(?<=住址)|(?<=地址)|(?<=寄至)|(?<=寄往)|(?<=送至)|(?<=住在)|(?<=[：:，,])){_PART_ZH}{_ROAD_ZH}{_REST_ZH}")
 _ADDRESS_EN = re.compile(
     r"(?<![\w,.])(?:(?:Flat|Apartment|Apt|Unit|Suite|Room) [0-9]{1,4}[A-Z]?, )?[0-9]{1,5}[A-Z]? (?:[A-Z][\w’'-]+ ){1,3}(?:Street|Road|Avenue|Lane|Close|Row|Walk|Drive|Court|Place|Square|Terrace|Way|Gardens|Crescent|Hill|Mews|Quay|Boulevard|Parade)\b"
     r"(?:, [A-Z][\w’'-]+(?: [A-Z][\w’'-]+)?)?(?: [A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}\b)?"
+    # Whatever the street is called, a postcode after the town tells.
+    r"|(?<![\w,.])(?:(?:Flat|Apartment|Apt|Unit|Suite|Room) [0-9]{1,4}[A-Z]?, )?[0-9]{1,5}[A-Z]? (?:[A-Z][\w’'-]+ ?){1,4}, [A-Z][\w’'-]+(?: [A-Z][\w’'-]+)?,? [A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}\b"
 )
 _ADDRESS_FR = re.compile(r"(?<![\w,.])[0-9]{1,4}(?: (?:bis|ter|quater))?,? (?:rue|avenue|boulevard|quai|impasse|allée|place|chemin|route|cours|square|passage|sentier|faubourg)\b[^,;:\n]{2,40}?, [0-9]{5} [A-ZÀ-Ý][\w’-]+")
 _ADDRESS_DE = re.compile(r"[0-9]{1,4} ?[a-z]?, [0-9]{5} [A-ZÄÖÜ]\w+")
@@ -79,6 +82,8 @@ _NAMES_ZH = [
     re.compile(rf"(?:代表|代理人|联系人|申请人|负责人)[为是]({_NAME_ZH})(?=[与和、，,。；])"),
     re.compile(rf"(?<=[与和、])({_NAME_ZH})(?=[，,](?:通讯|住址|地址|联系|电话))"),
     re.compile(rf"({_NAME_ZH})(?=代表.{{0,8}}(?:签字|签名|确认|出席))"),
+    re.compile(rf"(?:我叫|我是|本人|姓名(?:为|是)?[：:]?\s?|署名[：:]\s?)({_NAME_ZH})(?=[（(，,；;。、\s]|$)"),
+    re.compile(rf"(?:^|(?<=[。；，,\n]))({_NAME_ZH})(?=于[0-9]{{1,4}}[年月]|(?:来电|来信|来函|致电|反映|投诉|举报)(?:称|说|，|：))", re.M),
 ]
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’'-]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _FULL = rf"{_CAP}(?: (?:[A-Z]\.|{_CAP}|von|van|de|du|der))*? {_CAP}"
@@ -91,9 +96,11 @@ _NAMES = [
     re.compile(rf"\bfor {_TITLES}*({_CAP} (?:[A-Z]\. )?{_CAP})(?= to (?:collect|sign|pick|fetch))"),
     re.compile(rf"(?<!\w)({_CAP} (?:[A-Z]\. )?{_CAP})(?= (?:told|said|wrote|stated|replied|argued|complained|testified|explained|asked|informed|a signé|a déclaré|a écrit|erklärte|schrieb|sagte|unterzeichnete)\b)"),
     re.compile(rf"(?:de|d’|von|by|from) {_TITLES}*({_CAP} (?:[A-Z]\. )?{_CAP})(?=, (?:demeurant|domicilié|wohnhaft|residing|resident|living))"),
+    re.compile(rf"(?:[Mm]y name is|I am called|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m’appelle|[Jj]e soussignée?,?|[Nn]ame:|[Nn]om :) {_TITLES}*({_FULL})(?!\w)"),
+    re.compile(rf"(?:[Yy]ours (?:sincerely|faithfully|truly)|[Kk]ind regards|[Bb]est regards|[Mm]it freundlichen Grüßen|[Hh]ochachtungsvoll|[Cc]ordialement|[Vv]euillez agréer[^.\n]{{0,80}}),?\s+{_TITLES}*({_FULL})(?=[,;.\n]|\s*$)"),
 ]
-_CUES_ZH = re.compile("人|同志|先生|女士|小姐|收[。；，]|交|联系|致电|代表")
-_CUES = re.compile(r"Contact|Kontakt|Ansprech|Att|Dr|M[rsm]|Prof|Sir|Frau|Herr|M\.|Mlle|Me |ant,|witness|petitioner|ask for|care of|c/o| to | told| said| wrote| stated| replied| argued| complain| testif| explain| asked| informed| a | erklär| schrieb| sagte| unterz|demeurant|domicilié|wohnhaft|resid|living")
+_CUES_ZH = re.compile("人|同志|先生|女士|小姐|收[。；，]|交|联系|致电|代表|我叫|我是|姓名|署名|于[0-9]|来电|来信|来函|反映|投诉|举报")
+_CUES = re.compile(r"Contact|Kontakt|Ansprech|Att|Dr|M[rsm]|Prof|Sir|Frau|Herr|M\.|Mlle|Me |ant,|witness|petitioner|ask for|care of|c/o| to | told| said| wrote| stated| replied| argued| complain| testif| explain| asked| informed| a | erklär| schrieb| sagte| unterz|demeurant|domicilié|wohnhaft|resid|living|ame is|called|Name|heiße|appelle|soussign|Nom |Yours|yours|egards|Grüßen|ochacht|ordialement|agréer")
 
 
 def check_digit(first17: str) -> str:
@@ -181,9 +188,6 @@ def feistel(digits: str, key: bytes, undo: bool = False) -> str:
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 36_524
-
-
 def permuted_date(yyyymmdd: str, key: bytes, undo: bool = False) -> str:
     """A date of 1900 to 1999 permuted among those dates, any other among its own century's."""
     try:
@@ -199,6 +203,42 @@ def permuted_date(yyyymmdd: str, key: bytes, undo: bool = False) -> str:
             return (first + datetime.timedelta(n)).strftime("%Y%m%d")
 
 
+#: What introduces a birth date, and its forms: year, month and day in the group order given.
+_MONTHS = "January February March April May June July August September October November December janvier février mars avril mai juin juillet août septembre octobre novembre décembre Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
+_BORN = r"(?:出生日期(?:为|是)?[：:]?\s?|生日[：:]?\s?|出生于|生于|[Bb]orn (?:on )?|[Dd]ate of birth:? |[Nn]ée? le |[Gg]eboren am )"
+_BIRTHS = [
+    (re.compile(_BORN + r"((?:19|20)[0-9]{2})([年./-])([0-9]{1,2})([月./-])([0-9]{1,2})(日?)"), "ymd"),
+    (re.compile(_BORN + r"([0-9]{1,2})(\. ?|[ ./-])([0-9]{1,2})([ ./-]|\. ?)((?:19|20)[0-9]{2})()"), "dmy"),
+    (re.compile(_BORN + rf"([0-9]{{1,2}})(\. |er | )({'|'.join(dict.fromkeys(_MONTHS))})( )((?:19|20)[0-9]{{2}})()"), "dny"),
+]
+
+
+def births_permuted(text: str, key: bytes) -> str:
+    """The text with every introduced birth date permuted among the dates of its century, written as it was."""
+    for pattern, order in _BIRTHS:
+
+        def new(m: re.Match[str], order: str = order) -> str:
+            year, month, day = (m[1], m[3], m[5]) if order == "ymd" else (m[5], m[3], m[1])
+            names = [x for i in range(0, 36, 12) if month in (x := _MONTHS[i : i + 12])] if order == "dny" else []
+            number = names[0].index(month) + 1 if names else int(month)
+            old = f"{year}{number:02d}{int(day):02d}"
+            got = permuted_date(old, key)
+            if got == old:
+                return m[0]
+            width = lambda was, now: f"{int(now):02d}" if len(was) == 2 else str(int(now))
+            said = names[0][int(got[4:6]) - 1] if names else width(month, got[4:6])
+            parts = (got[:4], said, width(day, got[6:])) if order == "ymd" else (width(day, got[6:]), said, got[:4])
+            return m[0][: m.start(1) - m.start()] + parts[0] + m[2] + parts[1] + m[4] + parts[2] + m[6]
+
+        text = pattern.sub(new, text)
+    return text
+
+
+def nir_key(first13: str) -> str:
+    """The key of a French insurance number: 97 less the rest of the first 13 digits by 97."""
+    return f"{97 - int(first13) % 97:02d}"
+
+
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     plain = value.translate(_WIDE)
     if kind == "id_number" and (m := _ID18.fullmatch(plain)):
@@ -208,7 +248,12 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
         tail = re.search(r"(?:转|分机|ext\.?|Ext\.?|poste|Durchwahl)", plain)
         body, rest = (plain[: tail.start()], plain[tail.start() :]) if tail else (plain, "")
         lead = re.match(r"\+[0-9]{1,2}(?![0-9])|", body).group()
-        digits = iter(feistel("".join(c for c in body[len(lead) :] if c.isdigit()), key))
+        given = "".join(c for c in body[len(lead) :] if c.isdigit())
+        if kind == "id_number" and len(given) == 15 and _NIR.fullmatch(plain):
+            same = feistel(given[1:13], key)  # the first digit, 1 or 2, stays
+            digits = iter(given[0] + same + nir_key(given[0] + same))
+        else:
+            digits = iter(feistel(given, key))
         return lead + "".join(next(digits) if c.isdigit() else c for c in body[len(lead) :]) + rest
     same = re.sub(r"\s", "", plain).lower().replace("＠", "@").replace("[at]", "@").replace("[dot]", ".")
     return hashlib.blake2s(same.encode("utf-8", "surrogatepass"), key=key).hexdigest()[:10]
@@ -217,26 +262,26 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
 def redact(text: str, key: bytes) -> str:
     out, last = [], 0
     for start, end, kind in find(text):
-        out += [text[last:start], f"[{kind.upper()}:{pseudonym(text[start:end], kind, key)}]"]
+        out += [births_permuted(text[last:start], key), f"[{kind.upper()}:{pseudonym(text[start:end], kind, key)}]"]
         last = end
-    return "".join([*out, text[last:]])
+    return "".join([*out, births_permuted(text[last:], key)])
 
 
 def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
 
-def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start_pos (counted from 1), end_pos (inclusive), pii_type of every occurrence."""
-    docs = _docs(df, key, text).where("k is not null and t <> ''")
+def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = "") -> DataFrame:
+    """key, start_pos (counted from 1), end_pos (inclusive), pii_type and pseudonym of every occurrence; `secret` keys the pseudonyms."""
+    docs, own = _docs(df, key, text).where("k is not null and t <> ''"), hashlib.sha256(secret.encode()).digest()
 
     def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
             for k, t in zip(b["k"], b["t"], strict=True):
                 for start, end, kind in find(t):
-                    yield k, start + 1, end, kind
+                    yield k, start + 1, end, kind, pseudonym(t[start:end], kind, own)
 
-    return map_rows(docs, run, f"`{key}` {dict(docs.dtypes)['k']}, start_pos long, end_pos long, pii_type string").distinct()
+    return map_rows(docs, run, f"`{key}` {dict(docs.dtypes)['k']}, start_pos long, end_pos long, pii_type string, pseudonym string").distinct()
 
 
 def redacted(df: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
