@@ -1,9 +1,10 @@
 """Sources mixed to target shares of tokens, with a cap on how often a document is used.
 
-Weights are the target shares to the power of an exponent. Without a budget the exponent is 1 and the budget is the largest
-that no source's cap forbids, so every source gives exactly its share. With a larger budget the exponent is bisected towards 0
-(equal weights) until every source can give its part, or until the weights reach a wanted entropy; sources without
-target shares can be weighted by their own token shares in the same way. A source's budget is used up by whole passes over the
+Weights are shares to the power of an exponent: the target shares, or without any the sources' own shares of the tokens. The
+exponent is 1, or less where a budget or an entropy is wanted: it is bisected towards 0 (equal weights) until the weights reach
+the entropy, and until no source would be repeated more often than its cap allows. Without a budget, it is the largest that no
+cap forbids, so every source gives exactly its share. If no exponent serves the budget, the most that any allows is drawn, with
+a warning. A source's part is used up by whole passes over the
 source and then by a keyed permutation: blocks of documents in permuted order, up to the block at the edge, whose documents
 are taken in permuted order. Only block sums are gathered; documents meet in no group larger than a block.
 
@@ -17,13 +18,14 @@ from __future__ import annotations
 import base64
 import functools
 import math
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.frames import Columns, map_rows
-from evidentia.session import cut, spread
+from evidentia.session import cut, small, spread
 
 #: Documents in a block, about.
 BLOCK = 2_000
@@ -63,7 +65,7 @@ def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
     return {s: x / total for s, x in raw.items()}
 
 
-def bisect(good, low: float, high: float, steps: int = 60) -> float:
+def bisect(good: Callable[[float], bool], low: float, high: float, steps: int = 60) -> float:
     """The largest value in [low, high] that is good, if low is and good ones lie below bad ones."""
     if good(high):
         return high
@@ -73,37 +75,63 @@ def bisect(good, low: float, high: float, steps: int = 60) -> float:
     return low
 
 
-def plan(tokens: dict[str, int], shares: dict[str, float], repeats: dict[str, int], budget: float | None = None, least_entropy: float | None = None) -> tuple[dict[str, float], float]:
-    """Weight of each source and the tokens to draw in all."""
-    there = {s: x for s, x in shares.items() if x > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 1) > 0}
+def serving_exponent(shares: dict[str, float], room: dict[str, float], budget: float, start: float) -> float | None:
+    """The largest exponent up to `start` at which every source has room for its part of the budget; None if there is none.
+
+    A source's part is log-concave in the exponent, so the exponents that ask too much of it are an interval: a source that lacks
+    room at the exponent in hand moves it to the lower end of that interval, found by bisection.
+    """
+    lacking = lambda e: [s for s, w in tempered(shares, e).items() if w * budget > room[s] * (1 + 1e-9)]
+    e = start
+    while short := lacking(e):
+        for s in short:
+            asked = lambda x, s=s: tempered(shares, x)[s] * budget
+            if asked(0.0) > room[s]:  # the interval holds all from 0 to e
+                return None
+            e = min(e, bisect(lambda x, s=s: asked(x, s) <= room[s], 0.0, e))
+        if e <= 0:
+            return None if lacking(0.0) else 0.0
+    return e
+
+
+def plan(tokens: dict[str, int], shares: dict[str, float] | None, repeats: dict[str, int], budget: float | None = None, least_entropy: float | None = None) -> tuple[dict[str, float], float]:
+    """Weight of each source and the tokens to draw in all. Without shares, those of the tokens count."""
+    shares = {s: float(n) for s, n in tokens.items() if s in repeats} if shares is None else shares
+    there = tempered({s: x for s, x in shares.items() if x > 0 and tokens.get(s, 0) > 0 and repeats.get(s, 1) > 0}, 1.0)
     if not there:
         return {}, 0.0
-    most = lambda w: min(repeats.get(s, 1) * tokens[s] / x for s, x in w.items())
+    room = {s: float(repeats.get(s, 1) * tokens[s]) for s in there}
+    most = lambda w: min(room[s] / x for s, x in w.items())
     exponent = 1.0
     if least_entropy is not None:
         exponent = bisect(lambda e: entropy(tempered(there, e)) >= least_entropy, 0.0, 1.0)
-    if budget is not None and most(tempered(there, exponent)) < budget:
-        # Which exponent serves most is not monotone: look along the way from 1 to 0 for the first that serves.
-        tried = [exponent * (1 - i / 200) for i in range(201)]
-        exponent = next((e for e in tried if most(tempered(there, e)) >= budget), max(tried, key=lambda e: most(tempered(there, e))))
+    if budget is not None:
+        served = serving_exponent(there, room, budget, exponent)
+        if served is None:
+            exponent = max((exponent * i / 200 for i in range(201)), key=lambda e: most(tempered(there, e)))
+            warnings.warn(f"the caps allow no more than {most(tempered(there, exponent)):.0f} of {budget:.0f} tokens", stacklevel=2)
+        else:
+            exponent = served
     weights = tempered(there, exponent)
     return weights, most(weights) if budget is None else min(budget, most(weights))
 
 
-def draws(docs: DataFrame, targets: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", source: str = "source", share: str = "target_share", repeat: str = "max_repeat", budget: float | None = None, least_entropy: float | None = None, seed: int = 17) -> DataFrame:
-    """key, source, tokens, uses of every drawn document."""
-    wanted = targets.groupBy(F.col(source).alias("s")).agg(F.sum(share).alias("share"), F.min(repeat).alias("repeat")).where("s is not null and share > 0")
+def draws(docs: DataFrame, targets: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", source: str = "source", share: str | None = "target_share", repeat: str = "max_repeat", budget: float | str | None = None, least_entropy: float | None = None, seed: int = 17) -> DataFrame:
+    """key, source, tokens, uses of every drawn document. Without a share column the sources' token shares count; the budget is in
+    tokens, "all" for as many as the sources have; the entropy is in nats."""
+    wanted = targets.groupBy(F.col(source).alias("s")).agg(F.sum(F.lit(1.0) if share is None else F.col(share)).alias("share"), F.min(repeat).alias("repeat")).where("s is not null and share > 0")
     picked = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t")).where("k is not null and t <> ''")
     rows = wanted.collect()  # the targets are a short list that a person wrote
     picked = spread(picked.where(F.col("s").isin([r.s for r in rows])) if rows else picked.limit(0))
     counted = cut(token_counts(picked, tokenizer).where("n > 0"))
     sums = {r.s: (r.tokens, r.docs) for r in counted.groupBy("s").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).collect()}
-    weights, total = plan({s: n for s, (n, _) in sums.items()}, {r.s: r.share for r in rows}, {r.s: r.repeat or 1 for r in rows}, budget, least_entropy)
+    tokens = {s: n for s, (n, _) in sums.items()}
+    weights, total = plan(tokens, None if share is None else {r.s: r.share for r in rows}, {r.s: r.repeat or 1 for r in rows}, float(sum(tokens.values())) if budget == "all" else budget, least_entropy)
     table = [(s, min(int(total * w + 1e-6), sums[s][0] * next(r.repeat or 1 for r in rows if r.s == s)), sums[s][0], max(1, sums[s][1] // BLOCK)) for s, w in weights.items()]
     spark = docs.sparkSession
     budgets = spark.createDataFrame(table, "s string, budget long, total long, blocks long")
     hashed = F.xxhash64(F.lit(seed), F.col("k").cast("string"), "s")
-    blocks = counted.join(F.broadcast(budgets), "s").withColumn("h", hashed).withColumn("block", F.pmod("h", "blocks")).withColumn("order", F.xxhash64(F.lit(seed + 1), "block", "s"))
+    blocks = counted.join(small(budgets), "s").withColumn("h", hashed).withColumn("block", F.pmod("h", "blocks")).withColumn("order", F.xxhash64(F.lit(seed + 1), "block", "s"))
     # The block that a source's budget ends in: sums by block, in the permuted order.
     by_block = blocks.groupBy("s", "budget", "total", "block", "order").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("s").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1))

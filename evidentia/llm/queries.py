@@ -152,6 +152,13 @@ def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZER)
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources by their own token shares, made even enough for an entropy of 2.45 nats (13 equal sources have 2.56)."""
+    from evidentia.llm.mixing import draws
+
+    return draws(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), TOKENIZER, share=None, least_entropy=2.45)
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The actual share of each source."""
     from evidentia.llm.mixing import draws, shares
@@ -166,6 +173,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos", "pii_type")
 
 
+def p10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links documents: each pseudonym with the documents and places it stands in, if more than one holds it."""
+    from pyspark.sql import functions as F
+
+    from evidentia.llm.pii import occurrences
+
+    found = occurrences(table(spark, sf_dir, "documents"), secret="test key")
+    return found.groupBy("pii_type", "pseudonym").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n")).where("n_docs > 1")
+
+
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with placeholders; the key is a parameter of the operator, here a fixed one for the test."""
     from evidentia.llm.pii import redacted
