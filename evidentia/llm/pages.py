@@ -4,9 +4,11 @@ A page is a chain of leaf blocks: the text blocks of its DOM with their ancestor
 tags are gone. Each block is main body, site notice (reprint and share lines, bylines, which also occur outside whole pages)
 or page furniture (menus, breadcrumbs, cookie notices, sidebars, footers). Weights of block features and transitions are
 trained by gradient ascent on the log-likelihood of labelled pages; Viterbi decodes the best chain. A text holds a whole
-page if at least `least` of its blocks are furniture; then all blocks that are not main body are reported.
+page if at least `least` of its blocks are furniture and none of the lines that its source repeats; then all blocks that are not
+main body are reported.
 
-The labelled pages (TRAIN_PAGES of them, the bound of the training sample) are laid out from the labelled blocks below.
+The labelled pages (TRAIN_PAGES of them, the bound of the training sample) are laid out from the labelled blocks below, as lines
+and as the blocks of several page layouts with their tags.
 
 Defined results: NULL and empty texts hold no page; blank lines in a page are not main body; texts of any length are decoded
 whole; rows that share a key give each line once; an empty table gives no rows; other columns are not read.
@@ -25,69 +27,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.frames import Columns, map_rows
-from evidentia.session import spread
+from evidentia.llm.repeated_lines import line_key
+from evidentia.session import cut, small, spread
 
 MAIN, NOTICE, FURNITURE = range(3)
 #: How many labelled pages the model is trained on, in how many steps.
 TRAIN_PAGES, STEPS, BITS = 1000, 100, 14
 
-#: Labelled blocks by language: menu words, furniture lines, list headings, site notices.
+#: Labelled blocks by language, as sites of authorities commonly have them: menu words, furniture lines, list headings, site notices.
 _WORDS = {
-    "zh": "首页 政务公开 办事服务 互动交流 数据开放 政策文件 通知公告 机构职能 专题专栏 领导信箱 网站地图 无障碍浏览 繁體版 登录 注册 搜索 返回顶部 点击收起 新闻中心 联系我们 English 移动版 订阅".split(),
-    "en": "Home|About|Notices|Consultations|Media|Data|Rulebook|Careers|Help|Contact|Search|Log in|Register|Menu|Accessibility|A–Z|Back to top|Show more|Skip to main content|News|Sign in|Site map|Subscribe|Share".split("|"),
-    "fr": "Accueil|Actualités|Textes|Données|Presse|Aide|Recherche|Connexion|Recrutement|Consultations|Contact|Haut de page|Aller au contenu|Plan du site|Menu".split("|"),
-    "de": "Start|Aktuelles|Regelwerk|Daten|Presse|Hilfe|Suche|Anmelden|Stellen|Kontakt|Nach oben|Zum Inhalt springen|Übersicht|Menü|Anhörungen".split("|"),
+    "zh": "首页 新闻 要闻 公告 通知 政策 法规 解读 服务 互动 数据 专题 图片 视频 机构 概况 领导 信息公开 在线服务 办事指南 咨询投诉 意见征集 下载专区 招聘 网站导航 搜索 登录 注册 退出 繁体 英文版 手机版 无障碍 返回首页 回到顶部 收藏本站 设为首页 上一页 下一页 更多 展开 关闭".split(),
+    "en": "Home|News|Publications|Services|About us|Contact us|Jobs|Events|Search|Sign in|Log in|Register|Menu|Help|FAQ|Topics|Statistics|Legislation|Guidance|Forms|Press|Archive|Accessibility|Site map|Site index|Back to top|Skip to content|Skip to navigation|Show all|See more|Print|Share|Subscribe|Close|Next|Previous|English".split("|"),
+    "fr": "Accueil|Actualités|Publications|Services|Qui sommes-nous|Nous contacter|Emploi|Agenda|Rechercher|Se connecter|S’inscrire|Menu|Aide|Thèmes|Statistiques|Textes officiels|Formulaires|Presse|Archives|Accessibilité|Plan du site|Retour en haut|Aller au contenu|Voir plus|Imprimer|Partager|Fermer|Suivant|Précédent".split("|"),
+    "de": "Startseite|Aktuelles|Veröffentlichungen|Service|Über uns|Kontakt|Karriere|Termine|Suche|Anmelden|Registrieren|Menü|Hilfe|Themen|Statistik|Gesetze|Formulare|Presse|Archiv|Barrierefreiheit|Inhaltsverzeichnis|Seitenanfang|Zum Inhalt|Mehr anzeigen|Drucken|Teilen|Schließen|Weiter|Zurück|Leichte Sprache".split("|"),
 }
 _LINES = {
-    "zh": ["网站标识码 1{n}　备案序号 {n}号", "关于我们 | 联系我们 | 使用帮助 | 隐私声明", "建议使用分辨率 1280 以上浏览", "今天是星期三　多云　18℃", "附件下载（{n}次）", "搜索　高级检索", "Cookie 设置：必要｜统计｜营销　全部接受", "版权所有 {org} 2019-2026　访问量 {n}", "主办：{org}　承办：{org}信息科", "上一篇：{title}", "下一篇：{title}", "本网站使用 Cookie，继续浏览即表示同意", "为改善体验，我们会保存访问记录。〔接受〕〔拒绝〕", "网站地图 | 站点帮助 | 免责声明", "京ICP备{n}号　公网安备{n}号", "您是第 {n} 位访客", "相关附件：{title}.pdf"],
-    "en": ["Privacy | Terms | Accessibility | Site map", "Follow us: feed, mail, video", "Registered office: see Contact. Company {n}", "Page id {n} – last built at 07:15", "We use cookies to remember your settings. Accept all | Reject | Manage", "Text size A A A", "Download ({n} kB)", "Your privacy choices: necessary, statistics, marketing", "{org} is a public body of the compact.", "Previous: {title}", "Next: {title}", "This site uses cookies. Accept | Decline", "Cookie policy | Legal | Imprint", "This site stores small files on your device to measure visits. You can change this at any time.", "Copyright 2019-2026 {org}. Visits {n}"],
-    "fr": ["Mentions légales | Plan du site | Accessibilité : partielle", "Nous suivre : flux, lettre, vidéo", "Nous déposons des témoins pour mesurer l’audience. Accepter | Refuser", "{org} – tous droits réservés, dossier {n}", "Télécharger ({n} ko)", "Gérer mes préférences de confidentialité", "Article précédent : {title}", "Article suivant : {title}", "Taille du texte A A A", "Ce site utilise des cookies. Accepter | Refuser"],
-    "de": ["Impressum | Datenschutz | Übersicht | Leichte Sprache", "Folgen Sie uns: Feed, Rundbrief", "Diese Seite setzt Cookies ein. Annehmen | Ablehnen | Einstellungen", "Herunterladen ({n} kB)", "Ihre Auswahl zum Datenschutz können Sie jederzeit ändern.", "{org} – Stand {n}", "Voriger Beitrag: {title}", "Nächster Beitrag: {title}", "Schriftgröße A A A", "Alle Rechte vorbehalten, {org}, Besucher {n}"],
+    "zh": ["ICP备案号：{n}", "网警备案 {n} 号", "网站编号：{n}", "版权归{org}所有 2001-2025", "Copyright © {org} 版权所有", "技术支持：某某科技公司　访问量：{n}", "管理单位：{org}　维护：信息中心", "今日天气：晴，{m}～{k}℃", "{m}月{k}日　星期五　小雨", "联系方式 | 法律声明 | 隐私政策 | 版权说明", "隐私条款｜使用条款｜联系站长", "推荐使用主流浏览器浏览本站，分辨率不低于 1024×768", "上一条：{title}", "下一条：{title}", "前一篇 {title}", "后一篇 {title}", "附件：{title}.doc", "文件下载：{title}.pdf（{n}KB）", "下载次数 {n}", "请选择语言：中文 / English", "站内搜索：请输入关键词", "热词：预算 统计 招标", "本站使用 Cookie 改善浏览体验。接受全部 / 仅限必要", "Cookie 偏好：功能类、统计类、广告类　保存选择", "我们使用 Cookie 记录访问情况［同意］［不同意］", "当前在线 {n} 人　累计访问 {m} 万次", "字号：小 中 大", "关注我们：微信 微博 客户端", "服务热线 {n}", "地图 | 帮助 | 订阅"],
+    "en": ["Privacy policy | Terms of use | Disclaimer | Contact", "Legal notice · Data protection · Sitemap", "© 2001-2025 {org}", "Copyright {org}. Site visitors: {n}", "Connect with us: Twitter, Facebook, RSS", "Follow: newsletter, feed, podcast", "Registered number {n}. Head office address on our contact page", "Last generated 11:42, record {n}", "Page reference {n}", "This website uses cookies to give you the best experience. Accept | Decline | Settings", "We place cookies on your computer. Allow all | Essential only", "Manage cookie preferences: functional, analytics, marketing", "Choose font size: small medium large", "Choose your language: English / Français / Deutsch", "Previous article: {title}", "Next article: {title}", "Previous {title}", "Next {title}", "Attachment: {title}.pdf", "Download this file ({n} KB)", "PDF, {n} KB", "{org} is an independent authority.", "Supported by {org}", "Enter keywords to search this site", "{n} people are viewing this site"],
+    "fr": ["Mentions légales | Confidentialité | Contact", "Données personnelles · Accessibilité · Aide", "© 2001-2025 {org}", "Suivez-nous : Twitter, Facebook, RSS", "Nous utilisons des cookies pour améliorer votre visite. Accepter tout | Refuser | Paramétrer", "Choix des cookies : fonctionnels, statistiques, publicité", "Taille des caractères : petite moyenne grande", "Page précédente : {title}", "Page suivante : {title}", "Pièce jointe : {title}.pdf", "Télécharger le fichier ({n} Ko)", "{org}, numéro d’identification {n}", "Nombre de visites : {n}", "Saisissez un mot-clé"],
+    "de": ["Impressum | Datenschutz | AGB | Kontakt", "Datenschutzerklärung · Barrierefreiheit · Hilfe", "© 2001-2025 {org}", "Folgen Sie uns auf Twitter, Facebook, RSS", "Wir verwenden Cookies, um die Seite zu verbessern. Alle zulassen | Nur notwendige | Auswahl", "Cookie-Auswahl: notwendig, Statistik, Werbung", "Schrift: klein mittel groß", "Vorheriger Artikel: {title}", "Nächster Artikel: {title}", "Anhang: {title}.pdf", "Datei laden ({n} KB)", "{org}, Registernummer {n}", "Bisherige Besuche: {n}", "Suchbegriff eingeben"],
 }
 #: Furniture of over 160 characters is laid out from several of these.
 _LONG = {
-    "zh": ["本网站使用 Cookie 保存您的浏览设置并统计访问量，继续浏览即表示您同意我们的隐私声明。", "您可以随时在浏览器中更改 Cookie 设置，拒绝统计类和营销类 Cookie 不影响必要功能的使用。", "版权所有 {org}，未经许可不得转载，网站地图、联系我们和免责声明见页面底部。", "主办：{org}　承办：{org}信息科　网站标识码 1{n}　京ICP备{n}号。", "建议使用分辨率 1280 以上的浏览器访问本网站，您是第 {n} 位访客。"],
-    "en": ["We use cookies to remember your settings, to measure visits and to improve this website.", "You can accept or reject cookies at any time in your browser or in our privacy settings.", "By continuing to browse this site you agree to our cookie policy, privacy notice and terms of use.", "Copyright 2019-2026 {org}. All rights reserved. Legal notice, imprint, accessibility and site map are linked below."],
+    "zh": ["本网站使用 Cookie 保存您的浏览设置并统计访问量，继续浏览即表示您同意我们的隐私声明。", "您可以随时在浏览器中更改 Cookie 设置，拒绝统计类和营销类 Cookie 不影响必要功能的使用。", "版权所有 {org}，未经许可不得转载，网站地图、联系我们和免责声明见页面底部。", "管理单位：{org}　网站编号 {n}　备案 {n} 号。", "建议使用分辨率较高的浏览器访问本网站，您是第 {n} 位访客。"],
+    "en": ["We use cookies to remember your settings, to measure visits and to improve this website.", "You can accept or reject cookies at any time in your browser or in our privacy settings.", "By continuing to browse this site you agree to our cookie policy, privacy notice and terms of use.", "Copyright 2001-2025 {org}. All rights reserved. Legal notice, imprint, accessibility and site map are linked below."],
     "fr": ["Ce site utilise des cookies pour mesurer l’audience et retenir vos préférences de navigation.", "Vous pouvez accepter ou refuser les cookies à tout moment dans les réglages de confidentialité.", "{org}, tous droits réservés, mentions légales, plan du site et accessibilité en bas de page."],
     "de": ["Diese Website verwendet Cookies, um Ihre Einstellungen zu speichern und Besuche zu zählen.", "Sie können Cookies jederzeit in den Einstellungen zum Datenschutz annehmen oder ablehnen.", "Alle Rechte vorbehalten, {org}, Impressum, Datenschutz und Übersicht finden Sie unten."],
 }
 _HEADS = {
-    "zh": "最新发布 本栏目推荐 热门文章 相关阅读 猜你想看 相关链接 推荐阅读 热点排行".split(),
-    "en": "Related items|Most read|Latest from this desk|In this section|You may also like|Related links|Popular now|More like this".split("|"),
-    "fr": "Les plus consultés|À lire aussi|Dans la même rubrique|Articles liés|Derniers avis".split("|"),
-    "de": "Meistgelesen|Auch interessant|In dieser Rubrik|Neueste Beiträge|Mehr zum Thema".split("|"),
+    "zh": "相关新闻 推荐阅读 热门文章 最新信息 最新动态 相关文档 相关链接 本周热点 点击排行 您可能感兴趣 栏目导航 同类文章".split(),
+    "en": "Related articles|Related documents|Most popular|Latest news|Recommended for you|See also|Trending|Recent publications|More on this topic|Quick links".split("|"),
+    "fr": "Articles récents|Sur le même sujet|Les plus lus|Voir aussi|Dernières publications|Liens utiles|À la une".split("|"),
+    "de": "Ähnliche Artikel|Zum selben Thema|Am häufigsten gelesen|Siehe auch|Neueste Meldungen|Nützliche Links|Das könnte Sie interessieren".split("|"),
 }
 _CRUMBS = {
-    "zh": ["您现在的位置：{a} / {b} / 正文", "当前位置：首页 > {a} > {b}", "首页»{a}»{b}", "首页 > {a} > {b} > 正文"],
-    "en": ["Home > {a} > {b}", "{a} › {b} › This page", "You are here: {a} / {b}", "Home » {a} » {b}"],
-    "fr": ["Accueil > {a} > {b}", "Vous êtes ici : {a} / {b}", "{a} › {b} › Cette page"],
-    "de": ["Start > {a} > {b}", "Sie sind hier: {a} / {b}", "{a} › {b} › Diese Seite"],
+    "zh": ["当前位置：首页 > {a} > {b}", "您所在的位置：{a} / {b} / 正文", "首页 » {a} » {b}", "首页 > {a} > 详情", "位置：{a}＞{b}"],
+    "en": ["Home > {a} > {b}", "You are here: {a} / {b}", "Home » {a} » {b}", "{a} › {b} › Current page", "Start / {a} / {b}"],
+    "fr": ["Accueil > {a} > {b}", "Vous êtes ici : {a} / {b}", "{a} › {b} › Page actuelle", "Accueil » {a} » {b}"],
+    "de": ["Startseite > {a} > {b}", "Sie befinden sich hier: {a} / {b}", "{a} › {b} › Aktuelle Seite", "Start » {a} » {b}"],
 }
 _NOTICES = {
-    "zh": ["来源：{org}　阅读：{n}次", "责任编辑：{org}编辑室{n}号", "（编辑{n}）校对：文稿组", "分享到：短讯　邮件　复制链接", "关注“{org}”公众服务号，获取更多政策", "【字体：大　中　小】　打印本页", "如发现页面错误，请点击此处反馈", "上述内容仅供参考，以正式文本为准。", "本文版权归{org}所有，未经许可不得转载。", "扫一扫在手机上打开{org}页面"],
-    "en": ["Read {n} times", "Print edition, page {n}", "Photo desk: none supplied", "Was this page useful? Yes / No", "This text is not legal advice.", "Filed by the web desk, item {n}", "Nothing here changes the text in force.", "Share this page: mail | print | copy link", "Sign up for alerts from {org}", "© {org}. All rights reserved.", "Report an error on this page"],
-    "fr": ["Lu {n} fois", "Rédaction en ligne, poste {n}", "Recevoir nos avis par courriel", "Signaler une erreur sur cette page", "Ce document n’a pas de valeur contractuelle.", "© {org} – reproduction interdite sans accord.", "Partager cette page : courriel | imprimer"],
-    "de": ["{n} Aufrufe", "Netzredaktion, Platz {n}", "Mitteilungen abonnieren", "Seite teilen: E-Mail | Drucken", "Fehler auf dieser Seite melden", "© {org}. Nachdruck nur mit Erlaubnis.", "Dieser Text ist keine Rechtsberatung."],
+    "zh": ["来源：{org}　浏览次数：{n}", "信息来源：{org}", "作者：本站　点击数：{n}", "责任编辑：{k}号", "编辑：文字组　审核：{org}", "（校对：{n}）", "分享至：微信 微博 邮件", "分享本页　收藏　打印", "扫描二维码关注{org}", "扫码在手机上阅读", "欢迎关注{org}公众号", "打印　字体：小 中 大", "发现错误？请向我们反馈", "以上信息仅供参考，请以原文为准。", "解释以发布机关的文本为准。", "转载请注明出处：{org}", "本文归{org}所有，请勿擅自转载。"],
+    "en": ["Viewed {n} times", "Views: {n}", "Page {n} of the printed issue", "Photo: archive", "Desk editor no. {n}", "Edited by the online team, ref {n}", "Did you find this helpful? Yes | No", "Tell us if something is wrong with this page", "This summary is for information only.", "The official text prevails.", "It does not constitute advice.", "Share this article: email | print | link", "Get updates from {org} by email", "© {org}. Reproduction requires permission."],
+    "fr": ["Vu {n} fois", "Consulté {n} fois", "Rédaction web no {n}", "Recevez nos lettres d’information", "Une erreur ? Écrivez-nous", "Document à titre d’information uniquement.", "Seul le texte officiel fait foi.", "© {org}. Toute reproduction est soumise à accord.", "Partager : courriel | imprimer | lien"],
+    "de": ["{n} mal gelesen", "Zugriffe: {n}", "Onlineredaktion Nr. {n}", "Newsletter bestellen", "Fehler gefunden? Schreiben Sie uns", "Nur zur Information.", "Maßgeblich ist der amtliche Text.", "© {org}. Vervielfältigung nur mit Genehmigung.", "Beitrag teilen: Mail | Drucken | Link"],
 }
-_ORGS = {"zh": "东岭市政务网 河湾区规章库 临江商务动态 青原县公告 南浦新区文件".split(), "en": ["Northbay register", "Larkfield Data Office guidance", "Harbour Council papers"], "fr": ["Office fluvial de Belmont, actes", "Agence de Courval"], "de": ["Amt Westmoor, Regeln", "Behörde Lindau, Mitteilungen"]}
+_ORGS = {"zh": "某某市人民政府网 省级政策信息网 开发区管委会网站 监管要闻 海关公告栏 市场动态 县政府公报".split(), "en": ["City Council bulletin", "National Audit Office", "Port Authority news", "Financial Services Agency", "Ministry gazette"], "fr": ["Préfecture de région, actualités", "Autorité de régulation", "Ministère, bulletin officiel"], "de": ["Landesamt, Mitteilungen", "Bundesanstalt, Aktuelles", "Ministerium, Amtsblatt"]}
 _TITLES = {
-    "zh": ["关于{x}若干措施的通知", "关于{x}有关事项的公告", "关于做好{x}报送工作的函", "{x}管理办法（试行）", "《{x}实施细则》政策解读", "关于调整{x}口径的说明", "关于征求{x}工作方案意见的通告", "企业参与{x}情况通报"],
-    "en": ["Rules for {x}", "Guidance on {x}", "Notice: {x}", "Consultation on {x}", "Findings on {x}, year {n}", "Update to the {x} format", "Statement on {x}: what a firm should expect"],
-    "fr": ["Avis concernant {x}", "Décision portant sur {x}", "Consultation : {x}", "Instruction relative à {x}"],
-    "de": ["Mitteilung über {x}", "Regelung für {x}", "Hinweise: {x}", "Anhörung: {x}"],
+    "zh": ["关于印发{x}工作规则的通知", "关于{x}有关问题的公告", "关于加强{x}管理的意见", "关于做好{x}工作的函", "{x}暂行办法", "{x}管理规定（试行）", "《{x}条例》解读", "关于{x}情况的通报", "关于公开征求{x}办法意见的通告", "关于{x}的说明", "关于发布{x}标准的决定"],
+    "en": ["Regulations on {x}", "Guidelines for {x}", "Notice on {x}", "Public consultation: {x}", "Report on {x}, {n}", "Changes to {x}", "Decision concerning {x}", "Policy statement: {x}", "How to comply with rules on {x}", "Order on {x}: what changes for firms"],
+    "fr": ["Avis relatif à {x}", "Décision concernant {x}", "Consultation publique : {x}", "Circulaire sur {x}", "Arrêté relatif à {x}", "Rapport sur {x}"],
+    "de": ["Verordnung über {x}", "Bekanntmachung zu {x}", "Öffentliche Anhörung: {x}", "Rundschreiben: {x}", "Beschluss über {x}", "Leitfaden für {x}"],
 }
-_TOPICS = {"zh": "港口仓储登记 跨境结算 绿色信贷 数据共享 设备租赁 风险排查 年度报表 合规材料".split(), "en": ["marine cover", "client money", "the annual return", "green lending and the audited ledger", "backup sites"], "fr": ["le stockage des grains", "la gestion des fonds", "l’état annuel"], "de": ["die Führung der Konten", "den Schutz der Daten", "die Jahresmeldung"]}
-_DOCNOS = {"zh": ["东财办〔2024〕{n}号", "河商规〔2023〕{n}号"], "en": ["Reference: NBR-ADM/2024/0{n}"], "fr": ["Référence : OFB-DC/2023/{n}"], "de": ["Aktenzeichen: AWM-KR/2025/{n}"]}
-_GREET = {"zh": ["各登记平台、财务审核局：", "各新设立的租赁企业、口岸办公室：", "各有关单位："], "en": ["To all licensed firms,", "Dear colleagues,"], "fr": ["À l’attention des opérateurs,"], "de": ["An alle Träger,"]}
-_SIGNS = {"zh": ["东岭市财务局　2024年{m}月{m}日", "河湾区商务局　2023年{m}月{m}日（印章）"], "en": ["Northbay register, Policy Bureau, {m} March 2024", "Larkfield Data Office guidance, Audit Wing, {m} July 2025"], "fr": ["Office fluvial de Belmont, Bureau des études, {m} mai 2024"], "de": ["Amt Westmoor, Rechtsreferat, {m}. Mai 2025"]}
+_TOPICS = {"zh": "危险货物运输 个人所得税申报 安全生产检查 城市供水 企业年度报告 食品经营许可 保险资金运用 出口退税 知识产权保护 环境影响评价 政府采购 会计信息质量".split(), "en": ["road transport of goods", "income tax returns", "food safety checks", "the supply of water", "annual accounts", "public procurement", "insurance brokers and their clients", "export licences", "patents", "data protection in banks"], "fr": ["le transport de marchandises", "la déclaration de revenus", "la sécurité alimentaire", "la distribution d’eau", "les marchés publics", "la protection des données"], "de": ["die Beförderung von Gütern", "die Steuererklärung", "die Lebensmittelsicherheit", "die Wasserversorgung", "die Vergabe von Aufträgen", "den Datenschutz"]}
+_DOCNOS = {"zh": ["国发〔2020〕{n}号", "税总函〔2019〕{k}号", "工信部规〔2022〕{n}号", "市府办〔2018〕{k}号"], "en": ["Reference: ABC/XY/2022/{n}", "Ref: FSA-21/{n}", "Reference: PA-DR/2020/{k}"], "fr": ["Référence : MIN-DG/2021/{n}", "Réf. : AR/2020/{k}"], "de": ["Aktenzeichen: BA-III/2021/{n}", "Az.: LA 4/{k}"]}
+_GREET = {"zh": ["各省、自治区、直辖市人民政府：", "各区县财政局、税务局：", "各有关企业：", "各直属机构、各会员单位：", "各商业银行、保险公司："], "en": ["To all member firms,", "Dear Sir or Madam,", "To the chief executives of insurers,", "Dear all,"], "fr": ["À l’attention des entreprises agréées,", "Mesdames, Messieurs,"], "de": ["An alle Mitgliedsunternehmen,", "Sehr geehrte Damen und Herren,"]}
+_SIGNS = {"zh": ["某某市财政局　2021年{m}月{k}日", "国家税务部门　2019年{m}月{k}日（盖章）", "自治区商务厅　2022年{m}月{k}日", "市场监督管理局　2020年{m}月{k}日"], "en": ["Port Authority, Legal Department, {k} May 2021", "Ministry of Transport, Safety Unit, {k} October 2019", "National Audit Office, Policy Team, {k} January 2022"], "fr": ["Ministère des transports, Service juridique, {k} mai 2021", "Autorité de régulation, Bureau des normes, {k} octobre 2020"], "de": ["Landesamt für Verkehr, Rechtsabteilung, {k}. Mai 2021", "Bundesanstalt, Grundsatzreferat, {k}. Oktober 2020"]}
 _CLAUSES = {
-    "zh": ["应当于2024年{m}月{m}日前提交{x}材料，逾期未交的，可以责令限期整改。", "开展{x}业务的，备案额度上限为{n}万元，超出部分分笔办理。", "{x}由专人定期复核，岗位人员每{m}个月轮换一次。", "评估指标包括{x}的完整度和办理时长，权重分别为{m}%和其余部分。", "本文件自2025年{m}月1日起施行，由发文单位负责解释。"],
-    "en": ["A firm must lodge its papers on {x} within {m} days, and the office may refuse the renewal.", "The annual envelope for {x} is {n} crowns; any balance may be carried over.", "Fees for {x} fall by {m}% until 4 August 2026, unless the outage lasts more than {m} hours.", "An error in {x} must be put right within {m} days."],
-    "fr": ["L’opérateur remet {x} au greffe sous {m} jours, sauf dérogation écrite.", "Les frais relatifs à {x} sont réduits de {m}% jusqu’au 3 mai 2025.", "La décision portant sur {x} est motivée."],
-    "de": ["Der Träger meldet {x} binnen {m} Tagen, sofern die Frist nicht verlängert wurde.", "Die Gebühren für {x} sinken bis zum 3. Mai 2026 um {m}%.", "Für {x} gilt § {m}; jeder Träger bewahrt die Akte mindestens {m} Jahre auf."],
+    "zh": ["从事{x}的单位应当在{m}月{k}日前报送有关材料，逾期不报的，依法处理。", "{x}的管理坚持公开、公平、公正的原则，任何单位和个人不得干预。", "主管部门应当自收到申请之日起{k}个工作日内作出决定，并书面告知理由。", "违反前款规定的，由主管部门责令改正，可以处{n}元以下罚款。", "用于{x}的资金不得超过年度预算的{k}%，结余资金应当上缴。", "本规定自2021年{m}月1日起施行，由发布机关负责解释。", "企业对{x}的真实性负责，相关档案保存不少于{m}年。"],
+    "en": ["An operator that carries out {x} must notify the authority within {m} days.", "The authority decides within {k} working days and gives reasons in writing.", "A fine of up to {n} may be imposed where the duty in the preceding paragraph is breached.", "Spending on {x} may not exceed {k}% of the annual budget.", "Records concerning {x} are kept for at least {m} years.", "These rules enter into force on 1 June 2022 and replace the earlier ones."],
+    "fr": ["L’exploitant déclare {x} à l’autorité dans un délai de {m} jours.", "L’autorité statue sous {k} jours ouvrables et motive sa décision.", "Les dépenses relatives à {x} ne dépassent pas {k}% du budget annuel.", "Le présent arrêté entre en vigueur le 1er juin 2022."],
+    "de": ["Der Betreiber zeigt {x} der Behörde binnen {m} Tagen an.", "Die Behörde entscheidet binnen {k} Werktagen und begründet ihre Entscheidung.", "Ausgaben für {x} dürfen {k}% des Jahreshaushalts nicht übersteigen.", "Diese Verordnung tritt am 1. Juni 2022 in Kraft; § {m} bleibt unberührt."],
 }
-_WRONG = [("utf-8", "latin-1"), ("utf-8", "cp1252"), ("gb18030", "latin-1"), ("utf-8", "gb18030"), ("gb18030", "big5"), ("gb18030", "cp949"), ("gb18030", "utf-8"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("utf-8", "cp1251")]
-_RESIDUE = ["{{title}}", "${body}", "页面不存在", "系统繁忙，请稍后再试", "【正文】", "【主送单位】：", "undefined", "null", "服务器内部错误", "Page not found", "Loading… please wait", "Ticket 8a7f21", "Gateway error", "标题文字标题文字", "测试测试测试", "Erreur interne, code 12", "Interner Fehler, Kennung 4", "[object Object]", "%%TITLE%%", "Body copy goes here"]
+#: Ancestor tags (the last two) in which sites put each part; the first layout is a text whose tags are gone.
+_LAYOUTS = [
+    {},
+    {"menu": "nav ul", "crumb": "nav p", "title": "main h1", "body": "main p", "side": "aside ul", "foot": "footer p", "notice": "main p"},
+    {"menu": "div ul", "crumb": "div div", "title": "div h1", "body": "div p", "side": "div ul", "foot": "div p", "notice": "div p"},
+    {"menu": "header ul", "crumb": "header p", "title": "article h2", "body": "article p", "side": "section ul", "foot": "footer div", "notice": "article p"},
+    {"menu": "nav", "crumb": "nav ol", "title": "section h1", "body": "section p", "side": "aside div", "foot": "footer", "notice": "section div"},
+    {"menu": "tr td", "crumb": "tr td", "title": "td h3", "body": "td p", "side": "tr td", "foot": "tr td", "notice": "td p"},
+]
 _MARKS = {"zh": ["第{c}条　", "{c}、", "（{c}）", ""], "en": ["({l}) ", "{k}. ", "Article {k} – ", ""], "fr": ["({l}) ", "{k}. ", "Article {k} – ", ""], "de": ["§ {k} ", "{k}. ", "({l}) ", ""]}
 
 _CLAUSE = re.compile(r"第[一二三四五六七八九十百]+[条章]|[一二三四五六七八九十]{1,3}、|（[一二三四五六七八九十]{1,3}）|\([a-z0-9]{1,3}\)|[0-9]{1,3}[.)] |§ ?[0-9]|Article [0-9]|Art\. [0-9]")
@@ -179,18 +189,25 @@ def features(blocks: list[tuple[str, str]]) -> list[tuple[int, ...]]:
     return out
 
 
-def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[str], list[int]]]:
-    """Pages laid out from the labelled blocks; about half hold no furniture."""
+Page = tuple[list[tuple[str, str]], list[int]]
+
+
+def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[Page]:
+    """(ancestor tags, text) of the blocks of pages laid out from the labelled blocks, and their labels; about half hold no furniture."""
+    from evidentia.llm.encodings import CHAINS, garble
+    from evidentia.llm.residue import CLEAN, EXEMPLARS
+
     rng = random.Random(seed)
-    pages = []
+    pages: list[Page] = []
     for i in range(n):
         lang = ("zh", "en", "fr", "de")[rng.choice((0, 0, 1, 1, 2, 3))]
+        layout = _LAYOUTS[0] if rng.random() < 0.6 else rng.choice(_LAYOUTS[1:])
 
         def fill(text: str, lang: str = lang) -> str:
             title = rng.choice(_TITLES[lang]) if "{title}" in text else ""
             text = text.replace("{title}", title)
             a, b = rng.sample(_WORDS[lang], 2)
-            return text.format(n=rng.randint(2, 99_999), m=rng.randint(1, 12), x=rng.choice(_TOPICS[lang]), org=rng.choice(_ORGS[lang]), a=a, b=b, c=rng.choice("一二三四五六七八九"), l=rng.choice("abcdefg"), k=rng.randint(1, 15))
+            return text.format(n=rng.randint(2, 99_999), m=rng.randint(1, 12), x=rng.choice(_TOPICS[lang]), org=rng.choice(_ORGS[lang]), a=a, b=b, c=rng.choice("一二三四五六七八九"), l=rng.choice("abcdefg"), k=rng.randint(1, 28))
 
         def menu(lang: str = lang) -> list[str]:
             words = rng.sample(_WORDS[lang], min(len(_WORDS[lang]), rng.randint(3, 9)))
@@ -208,55 +225,65 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[str]
                 text += ("" if lang == "zh" or not text else " ") + fill(rng.choice(_LONG[lang]))
             return [text]
 
-        def furniture(lang: str = lang) -> list[str]:
+        def furniture(part: str, lang: str = lang) -> tuple[str, list[str]]:
             if rng.random() < 0.08:
-                return long()
-            return rng.choice([menu, listing, *[lambda: [fill(rng.choice(_LINES[lang]))]] * 4, lambda: [fill(rng.choice(_CRUMBS[lang]))], lambda: [rng.choice(_WORDS[lang])]])()
-
-        lines: list[tuple[str, int]] = []
-        add = lambda texts, label: lines.extend((x, label) for x in texts)
-        notice = lambda p: add([fill(rng.choice(_NOTICES[lang]))], NOTICE) if rng.random() < p else None
+                return "foot", long()
+            pick = rng.randrange(8)
+            if pick == 0:
+                return "menu", menu()
+            if pick == 1:
+                return "side", listing()
+            if pick == 2:
+                return "crumb", [fill(rng.choice(_CRUMBS[lang]))]
+            if pick == 3:
+                return "menu", [rng.choice(_WORDS[lang])]
+            return part, [fill(rng.choice(_LINES[lang]))]
+
+        blocks: list[tuple[str, str, int]] = []
+        add = lambda part, texts, label: blocks.extend((layout.get(part, ""), x, label) for x in texts)
+        notice = lambda p: add("notice", [fill(rng.choice(_NOTICES[lang]))], NOTICE) if rng.random() < p else None
         whole = i % 2 == 0
         if whole:
             for _ in range(rng.randint(0, 4)):
-                add(furniture(), FURNITURE)
+                add(*furniture("menu"), FURNITURE)
             if rng.random() < 0.6:
-                add([fill(rng.choice(_CRUMBS[lang]))], FURNITURE)
+                add("crumb", [fill(rng.choice(_CRUMBS[lang]))], FURNITURE)
             if rng.random() < 0.2:
-                add(furniture(), FURNITURE)
-        add([fill(rng.choice(_TITLES[lang]))], MAIN)
+                add(*furniture("menu"), FURNITURE)
+        add("title", [fill(rng.choice(_TITLES[lang]))], MAIN)
         notice(0.4)
         if rng.random() < 0.55:
-            add([fill(rng.choice(_DOCNOS[lang]))], MAIN)
+            add("body", [fill(rng.choice(_DOCNOS[lang]))], MAIN)
         notice(0.15)
         if rng.random() < (0.75 if lang == "zh" else 0.1):
-            add([rng.choice(_GREET[lang])], MAIN)
+            add("body", [rng.choice(_GREET[lang])], MAIN)
         mark, clauses = rng.choice(_MARKS[lang]), rng.choice((1, 3, 5, 7, 9))
         inside = rng.randrange(clauses) if whole and rng.random() < 0.5 else -1
         for j in range(clauses):
             text = " ".join(fill(rng.choice(_CLAUSES[lang])) for _ in range(rng.randint(1, 3)))
-            add([fill(mark) + (text.replace(" ", "") if lang == "zh" else text)], MAIN)
+            add("body", [fill(mark) + (text.replace(" ", "") if lang == "zh" else text)], MAIN)
             if j == inside and j < clauses - 1:
-                add(rng.choice([listing, listing, furniture])(), FURNITURE)
+                add(*(("side", listing()) if rng.random() < 0.67 else furniture("side")), FURNITURE)
             elif rng.random() < 0.05:
                 notice(1)
         if rng.random() < 0.85:
-            add([fill(rng.choice(_SIGNS[lang]))], MAIN)
+            add("body", [fill(rng.choice(_SIGNS[lang]))], MAIN)
         notice(0.5)
         notice(0.3)
         if whole:
             for _ in range(rng.randint(1, 6)):
-                add(furniture(), FURNITURE)
+                add(*furniture("foot"), FURNITURE)
                 notice(0.05)
-        texts = [x for x, _ in lines]
+        texts = [x for _, x, _ in blocks]
         if rng.random() < 0.2:  # wholly or partly read in the wrong encoding: its shapes are lost, its labels are not
-            wrong = rng.choice(_WRONG)
+            chain = rng.choice(CHAINS)
             a, b = sorted(rng.sample(range(len(texts) + 1), 2)) if rng.random() < 0.5 else (0, len(texts))
-            texts[a:b] = [x.encode(wrong[0], "replace").decode(wrong[1], "replace") for x in texts[a:b]]
-        pages.append((texts, [y for _, y in lines]))
+            texts[a:b] = [garble(x, chain) or x for x in texts[a:b]]
+        pages.append(([(tags, x.replace("\n", " ")) for (tags, _, _), x in zip(blocks, texts, strict=True)], [y for _, _, y in blocks]))
+    residue = [x for kind, own in EXEMPLARS.items() if kind != CLEAN for x in own] + ["{{title}}", "${body}", "undefined", "null", "[object Object]"]
     for _ in range(n // 12):  # whole texts of template residue or error messages are no pages
-        residue = rng.sample(_RESIDUE, rng.randint(1, 4))
-        pages.append((residue, [MAIN] * len(residue)))
+        some = rng.sample(residue, rng.randint(1, 4))
+        pages.append(([("", x) for x in some], [MAIN] * len(some)))
     return pages
 
 
@@ -328,7 +355,7 @@ def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], steps: int = STE
 
 @functools.lru_cache(1)
 def model() -> Crf:
-    return train([(features([("", x.strip()) for x in lines]), labels) for lines, labels in labelled_pages()])
+    return train([(features([(tags, x.strip()) for tags, x in blocks]), labels) for blocks, labels in labelled_pages()])
 
 
 def label_lines(text: str, crf: Crf) -> list[int]:
@@ -344,54 +371,85 @@ def label_lines(text: str, crf: Crf) -> list[int]:
 
 def label_html(page: str, crf: Crf) -> list[tuple[str, int]]:
     """The text and label of each leaf block of an HTML page; its ancestor tags are features."""
-    from evidentia.llm.markup import _Page
+    from evidentia.llm.markup import _HIDDEN, _Page
 
     parser = _Page()
     parser.feed(page)
     parser.finish()
-    blocks = [(" ".join(x.split(".")[0] for x in path[-2:]), " ".join(text.split())) for path, _, text in parser.blocks]
+    blocks = [(" ".join(x.split(".")[0] for x in path[-2:]), " ".join(text.split())) for path, kind, text in parser.blocks if kind not in _HIDDEN]
+    blocks = [x for x in blocks if x[1]]
     return [(text, y) for (_, text), y in zip(blocks, crf.decode(features(blocks)), strict=True)] if blocks else []
 
 
-def _whole(text: str, labels: list[int], least: int) -> bool:
-    """Whether a text has legible furniture, and a body that it goes with."""
+def _judged(text: str, crf: Crf, notices: set[str], least: int) -> list[int] | None:
+    """The labels of the lines of a text that holds a whole page; None for other texts. Lines of `notices` are no main body, but
+    no sign of a page either."""
+    labels = label_lines(text, crf)
+    lines = text.split("\n")
+    if notices:
+        labels = [NOTICE if y == NOTICE or line_key(x) in notices else y for x, y in zip(lines, labels, strict=True)]
     body, found = False, 0
-    for line, y in zip(text.split("\n"), labels, strict=True):
+    for line, y in zip(lines, labels, strict=True):
         line = line.strip()
         if y == FURNITURE and line and len(_ODD.findall(line)) * 4 < len(line) and not _GARBLED.search(line):
             found += 1
         elif y == MAIN and not body:
             body = coarse(line) in ("clause", "long", "sentence")
-    return body and found >= least
+    return labels if body and found >= least else None
+
 
+def _with_notices(df: DataFrame, key: str, text: str, source: str | None, notices: DataFrame | None) -> DataFrame:
+    """k, t and the site's own repeated lines (notices: source, line) as an array."""
+    picked = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("s"))
+    if notices is None or source is None:
+        return spread(picked).select("k", "t", F.array().cast("array<string>").alias("own"))
+    own = cut(notices.select(F.col(source).cast("string").alias("s"), "line").groupBy("s").agg(F.collect_set("line").alias("own")))
+    return spread(picked).join(small(own), "s", "left").select("k", "t", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
 
-def furniture_lines(df: DataFrame, key: str = "article_id", text: str = "text", least: int = 2) -> DataFrame:
-    """key and line number (from 1) of the lines that are not main body, in texts that hold a whole page."""
-    docs = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t <> ''"))
+
+def furniture_lines(df: DataFrame, key: str = "article_id", text: str = "text", least: int = 2, source: str | None = None, notices: DataFrame | None = None) -> DataFrame:
+    """key and line number (from 1) of the lines that are not main body, in texts that hold a whole page.
+
+    notices are lines (source, line) that each source repeats, as repeated_lines() gives them: where these are all that a text
+    has besides its body, it holds no whole page.
+    """
+    docs = _with_notices(df, key, text, source, notices).where("k is not null and t <> ''")
     crf = model()
 
     def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
-            for k, t in zip(b["k"], b["t"], strict=True):
-                labels = label_lines(t, crf)
-                if _whole(t, labels, least):
-                    for i, y in enumerate(labels, 1):
-                        if y != MAIN:
-                            yield k, i
+            for k, t, own in zip(b["k"], b["t"], b["own"], strict=True):
+                for i, y in enumerate(_judged(t, crf, set(own), least) or (), 1):
+                    if y != MAIN:
+                        yield k, i
 
     return map_rows(docs, run, f"`{key}` {dict(docs.dtypes)['k']}, line_no long").distinct()
 
 
-def main_bodies(df: DataFrame, key: str = "arrival", text: str = "text", least: int = 2) -> DataFrame:
+def main_bodies(df: DataFrame, key: str = "arrival", text: str = "text", least: int = 2, source: str | None = None, notices: DataFrame | None = None) -> DataFrame:
     """key and text; of a whole page only the main body."""
-    docs = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    docs = _with_notices(df, key, text, source, notices)
     crf = model()
 
     def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
-            for k, t in zip(b["k"], b["t"], strict=True):
-                if t and _whole(t, labels := label_lines(t, crf), least):
+            for k, t, own in zip(b["k"], b["t"], b["own"], strict=True):
+                if t and (labels := _judged(t, crf, set(own), least)):
                     t = "\n".join(x for x, y in zip(t.split("\n"), labels, strict=True) if y == MAIN)
                 yield k, t
 
     return map_rows(docs, run, f"`{key}` {dict(docs.dtypes)['k']}, `{text}` string")
+
+
+def html_bodies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, the main body of an HTML page by its leaf blocks and their ancestor tags, and the blocks left out."""
+    docs = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    crf = model()
+
+    def run(batches: Iterator[Columns]) -> Iterator[tuple]:
+        for b in batches:
+            for k, t in zip(b["k"], b["t"], strict=True):
+                blocks = label_html(t, crf) if t else []
+                yield k, None if t is None else "\n".join(x for x, y in blocks if y == MAIN), sum(y != MAIN for _, y in blocks)
+
+    return map_rows(docs, run, f"`{key}` {dict(docs.dtypes)['k']}, body string, left_out int")
