@@ -40,14 +40,14 @@ def _prune(counts: dict[str, int], k: int) -> int:
 
 
 def summaries(docs: DataFrame, k: int = 4096) -> DataFrame:
-    """Per task and source: counters (kind 0), the error of the summary (kind 1), the documents seen (kind 2)."""
+    """Per task and source: counters (kind 0), the error of the summary (kind 1), the keys of the documents seen (kind 2)."""
 
     def run(batches: Iterator[Columns]) -> Iterator[tuple]:
         counts: dict[str, dict[str, int]] = {}
         errors: dict[str, int] = {}
         for b in batches:
             for key, source, text in zip(b["k"], b["s"], b["t"], strict=True):
-                yield 2, source, None, key
+                yield 2, source, None, 1, key
                 own = counts.setdefault(source, {})
                 for line in {line_key(x) for x in text.split("\n")}:
                     if line:
@@ -55,16 +55,16 @@ def summaries(docs: DataFrame, k: int = 4096) -> DataFrame:
                 if len(own) > 2 * k:
                     errors[source] = errors.get(source, 0) + _prune(own, k)
         for source, own in counts.items():
-            yield 1, source, None, errors.get(source, 0)
+            yield 1, source, None, errors.get(source, 0), None
             for line, n in own.items():
                 if n > 1 or len(own) <= k:
-                    yield 0, source, line, n
+                    yield 0, source, line, n, None
 
-    return map_rows(docs, run, "kind int, s string, line string, n long")
+    return map_rows(docs, run, f"kind int, s {dict(docs.dtypes)['s']}, line string, n long, k {dict(docs.dtypes)['k']}")
 
 
 def _docs(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    picked = df.select(F.col(key).cast("long").alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
+    picked = df.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
     return spread(picked.where("k is not null and s is not null and t is not null"))
 
 
@@ -72,7 +72,7 @@ def repeated_lines(df: DataFrame, key: str = "article_id", source: str = "source
     """source, line, documents that hold it, documents of the source: lines in at least `share` and `least` of them."""
     docs = _docs(df, key, source, text)
     seen = cut(summaries(docs, k))
-    totals = seen.where("kind = 2").groupBy("s").agg(F.countDistinct("n").alias("total"))
+    totals = seen.where("kind = 2").groupBy("s").agg(F.countDistinct("k").alias("total"))
     totals = cut(totals.withColumn("need", F.greatest(F.lit(least), F.ceil(F.col("total") * share - 1e-9))))
     errors = seen.where("kind = 1").groupBy("s").agg(F.sum("n").alias("error"))
     # A count of one may have been left out by each task, hence the number of summaries that hold the source.
@@ -107,7 +107,7 @@ def _hits(docs: DataFrame, heavy: DataFrame) -> DataFrame:
                     for line in {line_key(x) for x in text.split("\n")} & own.get(source, set()):
                         yield source, line, key
 
-        return map_rows(docs, run, "s string, line string, k long")
+        return map_rows(docs, run, f"s {dict(docs.dtypes)['s']}, line string, k {dict(docs.dtypes)['k']}")
     return _all_lines(docs).join(heavy, ["s", "line"], "left_semi")
 
 
@@ -120,16 +120,16 @@ def _all_lines(docs: DataFrame) -> DataFrame:
                 for line in {line_key(x) for x in text.split("\n")} - {""}:
                     yield source, line, key
 
-    return map_rows(docs, lines, "s string, line string, k long")
+    return map_rows(docs, lines, f"s {dict(docs.dtypes)['s']}, line string, k {dict(docs.dtypes)['k']}")
 
 
-#: Lines up to which the candidate or confirmed lines go to the tasks as sets; beyond it they are joined.
+#: Lines up to which the candidate or confirmed lines go to the tasks as sets; beyond it they are joined. A choice of plan: the results are equal.
 SET_LINES = 50_000
 
 
 def without_lines(df: DataFrame, lines: DataFrame, source: str = "source_key", text: str = "text", row: str = "arrival") -> DataFrame:
     """`row` and the text without the lines that repeated_lines() gave; `row` must tell the rows of df apart."""
-    picked = df.select(F.col(row).cast("long").alias("r"), F.col(source).alias("s"), F.col(text).alias("t"))
+    picked = df.select(F.col(row).alias("r"), F.col(source).alias("s"), F.col(text).alias("t"))
     found = lines.select(F.col(source).alias("s"), "line").groupBy("s").agg(F.collect_set("line").alias("out"))
     found = cut(found)
 
@@ -143,4 +143,4 @@ def without_lines(df: DataFrame, lines: DataFrame, source: str = "source_key", t
                     yield key, "\n".join(x for x in text_.split("\n") if line_key(x) not in gone)
 
     joined = spread(picked.join(small(found, 10_000), "s", "left").select("r", "t", "out"))
-    return map_rows(joined, run, f"`{row}` long, `{text}` string")
+    return map_rows(joined, run, f"`{row}` {dict(joined.dtypes)['r']}, `{text}` string")
