@@ -319,7 +319,9 @@ def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int
                 same = (_matrix(b.column(2).to_pylist()) == _matrix(b.column(3).to_pylist())).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same >= least))
 
-    sig = lambda x: classes.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"))
+    ids = cut(close.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    wanted = cut(classes.select("c", "sig").join(small(ids), "c", "left_semi"))
+    sig = lambda x: wanted.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = close.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
     return cut(both.mapInArrow(agree, StructType.fromDDL("a long, b long")))
 

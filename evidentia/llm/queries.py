@@ -80,15 +80,26 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm.pages import furniture_lines
+    from evidentia.llm.repeated_lines import repeated_lines
 
-    return furniture_lines(table(spark, sf_dir, "article"))
+    articles = table(spark, sf_dir, "article")
+    return furniture_lines(articles, source="source_key", notices=repeated_lines(articles))
 
 
 def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts, of whole pages only the policy."""
     from evidentia.llm.pages import main_bodies
+    from evidentia.llm.repeated_lines import repeated_lines
+
+    articles = table(spark, sf_dir, "article")
+    return main_bodies(articles, source="source_key", notices=repeated_lines(articles))
+
+
+def p5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main bodies of the HTML records by their DOM leaf blocks."""
+    from evidentia.llm.pages import html_bodies
 
-    return main_bodies(table(spark, sf_dir, "article"))
+    return html_bodies(table(spark, sf_dir, "nfra_detail").where("docclob like '%<%'"), "docid", "docclob")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +206,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p8_found": P8_SQL}
+    return {"p4_found": P4_SQL, "p4_cleaned": P4_CLEANED_SQL, "p7_found": P7_SQL, "p7_groups": P7_GROUPS_SQL, "p8_found": P8_SQL}
 
 
 P4_SQL = r"""
@@ -206,6 +217,36 @@ SELECT source_key, line FROM l JOIN n USING (source_key) WHERE line <> '' GROUP
 HAVING count(*) >= 5 AND count(*) >= 0.15 * total
 """
 
+_TRIMMED = r"regexp_replace(regexp_replace(x, '^[\s\p{Z}\x0b\x1c-\x1f\x{85}]+|[\s\p{Z}\x0b\x1c-\x1f\x{85}]+$', '', 'g'), '[0-9]+', '#', 'g')"
+P4_CLEANED_SQL = rf"""
+WITH lines AS ({P4_SQL}), gone AS (SELECT source_key, list(line) AS out FROM lines GROUP BY 1)
+SELECT arrival, CASE WHEN text IS NULL OR out IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(out, {_TRIMMED})), chr(10)), '') END AS text
+FROM article LEFT JOIN gone USING (source_key)
+"""
+
+#: The records long enough, their folded texts (t) and the pairs of different texts (x < y) that are near; shingles of all texts, exactly.
+_NEAR = r"""
+d AS (SELECT DISTINCT article_id AS k, lower(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', '', 'g')) AS t FROM article WHERE article_id IS NOT NULL AND length(text) >= 400),
+c AS (SELECT t, row_number() OVER (ORDER BY t) AS c FROM (SELECT DISTINCT t FROM d)),
+m AS (SELECT k, c FROM d JOIN c USING (t)),
+s AS (SELECT DISTINCT c, substr(t, p, 8) AS g FROM c, unnest(range(1, length(t) - 6)) AS r(p)),
+n AS (SELECT c, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.c AS x, b.c AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2),
+near AS (SELECT x, y FROM o JOIN n a ON a.c = x JOIN n b ON b.c = y WHERE both >= 0.7 * (a.n + b.n - both))
+"""
+P7_SQL = rf"""
+WITH {_NEAR}, pairs AS (SELECT a.k AS p, b.k AS q FROM near JOIN m a ON a.c = x JOIN m b ON b.c = y UNION ALL SELECT a.k, b.k FROM m a JOIN m b ON a.c = b.c)
+SELECT DISTINCT least(p, q) AS article_id_a, greatest(p, q) AS article_id_b FROM pairs WHERE p <> q
+"""
+P7_GROUPS_SQL = rf"""
+WITH RECURSIVE {_NEAR}, e AS (SELECT x AS u, y AS v FROM near UNION SELECT y, x FROM near UNION SELECT c, c FROM c),
+reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON e.u = r.v),
+root AS (SELECT u AS c, min(v) AS g FROM reach GROUP BY 1), l AS (SELECT u AS c, count(*) AS links FROM e WHERE u <> v GROUP BY 1),
+per AS (SELECT k, g, CAST(sum(coalesce(links, 0)) AS BIGINT) AS links FROM m JOIN root USING (c) LEFT JOIN l USING (c) GROUP BY 1, 2),
+z AS (SELECT g, min(k) AS first, count(*) AS n FROM per GROUP BY 1 HAVING count(*) > 1)
+SELECT k AS article_id, first AS group_id, n AS group_size, links FROM per JOIN z USING (g)
+"""
+
 P8_SQL = r"""
 WITH i AS (SELECT item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t FROM eval_item),
 d AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents WHERE text IS NOT NULL),

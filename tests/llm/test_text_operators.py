@@ -131,8 +131,8 @@ def test_crf_on_held_out_pages():
     from evidentia.llm.pages import features, labelled_pages, model
 
     crf, right, n = model(), 0, 0
-    for lines, labels in labelled_pages(100, seed=5):
-        got = crf.decode(features([("", x.strip()) for x in lines]))
+    for blocks, labels in labelled_pages(100, seed=5):
+        got = crf.decode(features([(tags, x.strip()) for tags, x in blocks]))
         right += sum(a == b for a, b in zip(got, labels, strict=True))
         n += len(labels)
     assert right / n > 0.96
@@ -290,3 +290,98 @@ def test_long_furniture_inside_the_body():
     cookies = "Our website stores cookies on your device to remember settings and to measure visits. You may accept or reject these cookies in the privacy settings of your browser. Read our cookie policy, imprint and terms of use for more."
     lines = ["Home | About | Notices | Contact", "Home > News > Notices", "Rules for client money", f"1. {clause}", f"2. {long.strip()}", cookies, f"3. {clause}", f"4. {clause}", "Privacy | Terms | Accessibility | Site map"]
     assert label_lines("\n".join(lines), model()) == [FURNITURE] * 2 + [MAIN] * 3 + [FURNITURE] + [MAIN] * 2 + [FURNITURE]
+
+
+def test_html_bodies_by_dom_blocks(spark):
+    """Pages whose words and layouts are not those of the training blocks: the tags must tell."""
+    from evidentia.llm.pages import html_bodies
+
+    clauses = ["Every ferry operator lists its vessels with the harbour office before the season starts.", "The harbour office may inspect a vessel at any time and bills the operator for it.", "Lists that are not up to date are sent back within ten days."]
+    body = "".join(f"<p>{i}. {x}</p>" for i, x in enumerate(clauses, 1))
+    head, foot = "<ul><li>Harbour</li><li>Vessels</li><li>Tides</li></ul>", "<p>Quay 4, Old Town</p><p>Opening hours</p>"
+    pages = [
+        f"<html><body><nav>{head}</nav><main><h1>Ferry lists</h1>{body}</main><aside><ul><li>Tide tables 2024</li><li>Crane hire</li></ul></aside><footer>{foot}</footer></body></html>",
+        f"<header>{head}</header><article><h2>Ferry lists</h2>{body}</article><footer><div>Quay 4, Old Town</div><div>Opening hours</div></footer>",
+        None,
+        "",
+    ]
+    rows = {r.id: r for r in html_bodies(spark.createDataFrame(list(enumerate(pages)), "id long, page string"), "id", "page").collect()}
+    for i in (0, 1):
+        assert all(x in rows[i].body for x in clauses) and not any(x in rows[i].body for x in ("Tides", "Opening hours", "Crane hire"))
+    assert rows[2].body is None and rows[3].body == ""
+
+
+def test_notices_alone_are_no_page(spark):
+    from evidentia.llm.pages import furniture_lines
+
+    clause = "从事危险货物运输的单位应当在3月1日前报送有关材料，逾期不报的，依法处理。"
+    plain = "\n".join(["关于加强港口管理的意见", f"一、{clause}", f"二、{clause}", "某某市财政局　2021年3月1日", "来源：港口网　浏览次数：7", "扫描二维码关注港口网"])
+    page = "首页 | 新闻 | 公告 | 搜索\n首页 > 新闻 > 公告\n" + plain + "\n联系方式 | 法律声明 | 隐私政策\nICP备案号：77"
+    rows = spark.createDataFrame([(1, "s", plain), (2, "s", page), (3, None, page)], "article_id long, source_key string, text string")
+    notices = spark.createDataFrame([("s", "来源：港口网　浏览次数：#"), ("s", "扫描二维码关注港口网")], "source_key string, line string")
+    found = {(r.article_id, r.line_no) for r in furniture_lines(rows, source="source_key", notices=notices).collect()}
+    assert found == {(2, i) for i in (1, 2, 7, 8, 9, 10)} | {(3, i) for i in (1, 2, 7, 8, 9, 10)}
+
+
+def test_the_exponent_is_the_largest_that_serves():
+    """Against a search over a fine grid: shares, caps and budgets at random."""
+    import warnings
+
+    from evidentia.llm.mixing import plan, tempered
+
+    rng = random.Random(12)
+    for _ in range(100):
+        tokens, given = {s: rng.randint(10, 2000) for s in "abcd"}, {s: rng.random() for s in "abcd"}
+        caps, budget = {s: rng.randint(1, 4) for s in "abcd"}, rng.uniform(0.2, 1.2) * 4000
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            weights, total = plan(tokens, given, caps, budget=budget)
+        serves = [e / 1000 for e in range(1001) if all(w * budget <= caps[s] * tokens[s] for s, w in tempered(given, e / 1000).items())]
+        if serves:
+            best = tempered(given, max(serves))
+            assert abs(total - budget) < 1e-3 * budget and max(abs(best[s] - weights[s]) for s in best) < 5e-3
+        else:
+            assert total < budget
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("我叫陈伟，住在这里。", ["陈伟"]),
+        ("Mein Name ist Hans Müller.", ["Hans Müller"]),
+        ("Yours sincerely, Tomasz Kowalski", ["Tomasz Kowalski"]),
+        ("He lives at 14 Elmhurst Rise, Leeds LS6 2AB now.", ["14 Elmhurst Rise, Leeds LS6 2AB"]),
+        ("地址：北京市海淀区建国路88号院3号楼1201", ["北京市海淀区建国路88号院3号楼1201"]),
+        ("本人提交的材料于3月送达。", []),
+        ("Rule 14 Elmhurst Rise applies to Leeds.", []),
+    ],
+)
+def test_contexts_of_names_and_addresses(text, found):
+    from evidentia.llm.pii import find
+
+    assert [text[a:b] for a, b, _ in find(text)] == found
+
+
+def test_birth_dates_and_insurance_keys_stay_valid():
+    import datetime
+
+    from evidentia.llm.pii import births_permuted, pseudonym
+
+    key = b"k" * 32
+    out = births_permuted("出生日期：1980年3月12日；born on 12 March 1980; geboren am 12.03.1980; issued on 12 March 1980", key)
+    m = re.fullmatch(r"出生日期：(\d{4})年(\d+)月(\d+)日；born on (\d+) (\w+) (\d{4}); geboren am (\d\d)\.(\d\d)\.(\d{4}); issued on 12 March 1980", out)
+    assert m and datetime.date(int(m[1]), int(m[2]), int(m[3])) == datetime.date(int(m[9]), int(m[8]), int(m[7])) != datetime.date(1980, 3, 12) and m[1] == m[6] and m[3] == m[4]
+    nir = pseudonym("1 80 03 75 123 456 05", "id_number", key).replace(" ", "")
+    assert int(nir[13:]) == 97 - int(nir[:13]) % 97 and nir[0] == "1"
+
+
+def test_a_letter_beyond_the_table_reaches_the_vocabulary(spark):
+    from evidentia.llm.lookalikes import canonical, consistent, Trie
+
+    plain = [(i, "annual settlement report") for i in range(4)]
+    df = spark.createDataFrame([*plain, (9, "annual settleжent report"), (10, "2 μm and Δt")], "id long, text string")
+    out = {r.id: r.text for r in consistent(df, "id", "text").collect()}
+    assert out[9] == "annual settlement report" and out[10] == "2 μm and Δt"
+    trie = Trie()
+    trie.add("settlement", 3)
+    assert canonical("settleжent", trie) == "settlement" and canonical("sжttleжent", trie) == "sжttleжent"
