@@ -1,15 +1,14 @@
-"""Bytes that came over the wire: sniffing, tolerant decoding, and the text layer of PDF files."""
+"""Bytes that came over the wire: sniffing, tolerant decoding, and the text of PDF files as columns."""
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.functions.pdf import pdf_text
+
 
 def is_pdf(content: Column) -> Column:
     return F.contains(F.substring(content, 1, 1024), F.unhex(F.lit("255044462D")))
@@ -34,43 +33,6 @@ def decoded(content: Column, declared: Column) -> Column:
     return run(content, declared)
 
 
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T\*|'|\bT[dD]\b|\bET\b")
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        data = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2, "0"))
-    else:
-        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
-
-
-def pdf_text(data: bytes) -> tuple[str, str]:
-    """Text and method: pypdf-like verdicts full, partial, scanned or failed. Reads plain text operators only, no font maps."""
-    if data is None or b"%PDF-" not in data[:1024]:
-        return "", "failed"
-    pages, images, empty = [], len(re.findall(rb"/Subtype\s*/Image", data)), 0
-    for head, body in _STREAM.findall(data):
-        if b"/Image" in head:
-            continue
-        if b"/FlateDecode" in head:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error:
-                continue
-        if b"BT" not in body:
-            empty += b"Do" in body
-            continue
-        parts = ["\n" if t in (b"T*", b"'", b"Td", b"TD", b"ET") else _string(t) for t in _SHOWN.findall(body)]
-        pages.append("\n".join(x for x in (y.strip() for y in "".join(parts).split("\n")) if x))
-    text = "\n".join(x for x in pages if x)
-    if not text:
-        return "", "scanned" if images else "failed"
-    return text, "partial" if empty and images or len(text) < 100 else "full"
-
-
 _PDF = T.StructType([T.StructField("text", T.StringType()), T.StructField("method", T.StringType())])
 
 

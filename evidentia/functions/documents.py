@@ -43,6 +43,14 @@ TOOLBARS = [r"(?i)Wayback Machine", rf"(?i)[0-9]+{WS}+captures?\b", r"(?i)About
 UNKNOWN = ["", "无", "无文号", "未标明", "无/未标明", "未确认", "未知", "不适用", "未提供", "待确认", "none", "null", "unknown", "n/a", "na", "-", "--"]
 
 
+#: What PDF texts write in full width, and what numbers are searched in.
+HALVED, HALVES = "０１２３４５６７８９（）〔〕［］", "0123456789()[][]"
+
+
+def halved(text: Column) -> Column:
+    return F.translate(text, HALVED, HALVES)
+
+
 def docno(text: Column, declared: Column | None = None) -> Column:
     """The declared number (80 characters), else the first form found in the first 6000 characters, else empty."""
     head = F.left(text, F.lit(6000))

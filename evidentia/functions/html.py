@@ -102,13 +102,17 @@ def _fits(node: Node, simple: str) -> bool:
 def select(root: Node, selector: str) -> list[Node]:
     """Nodes by a subset of CSS: tag, .class, #id, [attr op value], descendants, > children, commas. Others raise."""
     out = []
-    groups = [re.sub(r"\s*>\s*", " > ", g).split() for g in re.split(r",(?![^\[]*\])", selector)]
+    groups = _groups(selector)
     for node in root.walk():
         if node.parent is not None and any(_chain(node, g) for g in groups):
             out.append(node)
     return out
 
 
+def _groups(selector: str) -> list[list[str]]:
+    return [re.sub(r"\s*>\s*", " > ", g).split() for g in re.split(r",(?![^\[]*\])", selector)]
+
+
 def _chain(node: Node, steps: list[str]) -> bool:
     if not steps or not _fits(node, steps[-1]):
         return False
@@ -137,34 +141,53 @@ def links_of(page: str, selector: str | None = None) -> list[tuple[str, str, int
 
 
 def title_of(root: Node, selector: str | None = None) -> str:
-    """By the declared selector, the first h1, a title class, og:title, or the page title up to its first separator."""
-    for pick in [*([selector] if selector else []), "h1", ".article-title, .title"]:
-        for node in select(root, pick):
-            if text := node.text().replace("\n", " ").strip():
-                return text[:200]
-    for node in root.walk():
-        if node.tag == "meta" and node.attrs.get("property") == "og:title" and node.attrs.get("content", "").strip():
-            return node.attrs["content"].strip()[:200]
+    """By the declared selector, the first h1, an element of just a title class, og:title, or the page title without the site's name."""
+    for pick in [*([selector] if selector else []), "h1", '[class="article-title"]', '[class="title"]']:
+        if text := next((x.text().replace("\n", " ").strip() for x in select(root, pick)), ""):
+            return text[:200]
+    named = {"og": "", "title": ""}
     for node in root.walk():
-        if node.tag == "title":
-            return re.split(r"[-_|—–]", node.text())[0].strip()[:200]
-    return ""
+        if node.tag == "meta" and node.attrs.get("property") == "og:title":
+            named["og"] = named["og"] or node.attrs.get("content", "").strip()
+        elif node.tag == "title":
+            named["title"] = named["title"] or re.split(r"\s*[|\-–—]\s*", node.text().replace("\n", " "))[0].strip()
+    return (named["og"] or named["title"])[:200]
 
 
 def body_of(root: Node, selectors: tuple[str, ...] = (), least: int = 200) -> tuple[str, str]:
-    """The body and how it was found: selector, heuristic or fallback."""
-    for pick in [*selectors, *CONTAINERS]:
-        for node in select(root, pick):
-            hint = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-            if (pick in selectors or not JUNK.search(hint)) and len(text := node.text()) >= least:
-                return text, f"selector:{pick}"
-    best = ""
+    """The body and how it was found: selector, heuristic or fallback.
+
+    One walk: the element of the best-ranked selector wins, of equals the first; else the longest block. Junk never counts,
+    whoever declared it.
+    """
+    ranked = [(pick, _groups(pick)) for pick in dict.fromkeys([*selectors, *CONTAINERS]) if not JUNK.search(pick)]
+    at, found, longest = len(ranked), "", ""
     for node in root.walk():
-        if node.tag in ("div", "article", "section", "td") and not JUNK.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"):
-            text = node.text()
-            if least <= len(text) <= 60_000 and len(text) > len(best):
-                best = text
-    return (best, "heuristic") if best else (root.text(), "fallback")
+        if node.parent is None or JUNK.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"):
+            continue
+        rank = next((i for i, (_, groups) in enumerate(ranked[:at]) if any(_chain(node, g) for g in groups)), None)
+        block = at == len(ranked) and node.tag in ("div", "article", "section", "td")
+        if rank is None and not block:
+            continue
+        text = node.text()
+        if rank is not None and len(text) >= least:
+            at, found = rank, text
+        elif block and least <= len(text) <= 60_000 and len(text) > len(longest):
+            longest = text
+    if found:
+        return found, f"selector:{ranked[at][0]}"
+    return (longest, "heuristic") if longest else (root.text(), "fallback")
+
+
+def plain_body(page: str) -> str:
+    """The text of a plain-text body that may come wrapped: what its <pre> elements hold, else the text of the page."""
+    head = page[:2000].lower()
+    if "<pre" in head or "<html" in head:
+        root = tree(page)
+        pres = [x for x in root.walk() if x.tag == "pre"]
+        if text := "\n".join(x.text() for x in pres) if pres else root.text():
+            return text
+    return re.sub(r"<[^>]+>", " ", page)
 
 
 _LINKS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType()), T.StructField("pos", T.IntegerType())]))
@@ -191,3 +214,13 @@ def extracted(page: Column, selectors: tuple[str, ...] = (), least: int = 200) -
         return pd.DataFrame(rows, columns=["title", "text", "how"])
 
     return run(page)
+
+
+def plain(page: Column) -> Column:
+    """plain_body() of each page."""
+
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: None if x is None else plain_body(x))
+
+    return run(page)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -24,9 +25,18 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), rf"(?:{WS}|[\x{{200b}}\x{{feff}}])+", "")
 
 
+_BLANK = re.compile(r"[\s\u200b\ufeff]+")
+
+
+def folded(text: str) -> str:
+    """fold() for a text in the driver, such as a report."""
+    return _BLANK.sub("", unicodedata.normalize("NFKC", text or ""))
+
+
 def content_hash(text: Column) -> Column:
-    """The first 16 hex digits of SHA-256 over the folded text."""
-    return F.left(F.sha2(fold(text), 256), F.lit(16))
+    """The first 16 hex digits of SHA-256 over the folded text; empty for a text that folds to nothing."""
+    bare = fold(text)
+    return F.when(bare == "", F.lit("")).otherwise(F.left(F.sha2(bare, 256), F.lit(16)))
 
 
 def snapshot_id(url: Column, text: Column) -> Column:

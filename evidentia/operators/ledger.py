@@ -25,19 +25,25 @@ def index_entry(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", "arrival", "url", snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"), content_hash(F.col("text")).alias("content_hash"), title_key(F.col("title")).alias("title_key"))
 
 
+#: What the history keeps of a row that a newer acquisition replaced, oldest first.
+HISTORY = "array<struct<snapshot_id:string,snapshot_path:string,fetch_status:string,content_hash:string,fetched_at:timestamp>>"
+_KEPT = ("snapshot_id", "snapshot_path", "fetch_status", "content_hash", "fetched_at")
+
+
 def upserted(ledger: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
-    """The ledger after a batch: new rows win, the earliest first_seen stays, a changed snapshot pushes the old one on the history.
+    """The ledger after a batch: new rows win, the earliest first_seen stays, another snapshot pushes the old row on the history.
 
-    Both sides have key, snapshot_id, fetch_status, first_seen, fetched_at and history (array of structs). One full outer join
-    on the key; bucket both by it to save the shuffle.
+    Both sides have key, snapshot_id, snapshot_path, fetch_status, content_hash, first_seen, fetched_at and history. A snapshot path
+    names one acquisition, so a changed status counts even where the body is the same. One full outer join on the key;
+    bucket both by it to save the shuffle.
     """
     old, new = ledger.alias("o"), batch.alias("n")
-    changed = F.col("o.snapshot_id").isNotNull() & (F.col("o.snapshot_id") != F.col("n.snapshot_id"))
-    past = F.coalesce("o.history", F.array().cast(ledger.schema["history"].dataType))
-    pushed = F.array_append(past, F.struct(F.col("o.snapshot_id").alias("snapshot_id"), F.col("o.fetch_status").alias("fetch_status"), F.col("o.fetched_at").alias("fetched_at")))
+    changed = F.col("o.snapshot_path").isNotNull() & (F.col("o.snapshot_path") != F.col("n.snapshot_path"))
+    past = F.coalesce("o.history", F.array().cast(HISTORY))
+    pushed = F.array_append(past, F.struct(*[F.col(f"o.{c}").alias(c) for c in _KEPT]))
     pick = lambda c: F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(
-        F.coalesce(f"n.{key}", f"o.{key}").alias(key), pick("snapshot_id"), pick("fetch_status"), F.least("o.first_seen", "n.first_seen").alias("first_seen"), pick("fetched_at"),
+        F.coalesce(f"n.{key}", f"o.{key}").alias(key), *[pick(c) for c in _KEPT[:4]], F.least("o.first_seen", "n.first_seen").alias("first_seen"), pick("fetched_at"),
         F.when(F.col(f"n.{key}").isNotNull() & changed, pushed).otherwise(past).alias("history"),
     )
 
@@ -45,16 +51,16 @@ def upserted(ledger: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame
 def folded(rows: DataFrame, key: str = "url", order: str = "arrival") -> DataFrame:
     """The ledger after all rows were upserted one by one in their order, by one ordered pass per key.
 
-    rows have key, order, snapshot_id, fetch_status, first_seen and fetched_at; the result is that of upserted().
+    rows have key, order and the columns of upserted() but history; the result is that of upserted().
     """
     by = Window.partitionBy(key).orderBy(order)
     before = lambda c: F.lag(c).over(by)
-    changed = before("snapshot_id").isNotNull() & (before("snapshot_id") != F.col("snapshot_id"))
-    past = F.struct(F.col(order).alias("at"), before("snapshot_id").alias("snapshot_id"), before("fetch_status").alias("fetch_status"), before("fetched_at").alias("fetched_at"))
+    changed = before("snapshot_path").isNotNull() & (before("snapshot_path") != F.col("snapshot_path"))
+    past = F.struct(F.col(order).alias("at"), *[before(c).alias(c) for c in _KEPT])
     each = rows.select("*", F.when(changed, past).alias("_past"))
     last = lambda c: F.max_by(c, order).alias(c)
     history = F.transform(F.array_sort(F.collect_list("_past")), lambda x: x.dropFields("at")).alias("history")
-    return each.groupBy(key).agg(last("snapshot_id"), last("fetch_status"), F.min("first_seen").alias("first_seen"), last("fetched_at"), history)
+    return each.groupBy(key).agg(*[last(c) for c in _KEPT[:4]], F.min("first_seen").alias("first_seen"), last("fetched_at"), history)
 
 
 def version_chain(articles: DataFrame) -> DataFrame:
@@ -63,10 +69,21 @@ def version_chain(articles: DataFrame) -> DataFrame:
     return articles.where("url <> ''").select("url", "arrival", "fetched_at", F.row_number().over(order).alias("version"), F.lag("arrival").over(order).alias("before"))
 
 
-def source_counters(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row a source, also for sources without items: kept items and items by status."""
+def source_counters(articles: DataFrame, sources: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """One row a source, also for sources without items: kept items and items by status, and what was listed where that is given."""
     counts = articles.groupBy("source_key").agg(F.count("*").alias("kept"), *[F.count_if(F.col("fetch_status") == s).alias(s) for s in STATUSES])
-    return sources.select("source_key").join(counts, "source_key", "left").na.fill(0)
+    out = sources.select("source_key").join(counts, "source_key", "left")
+    if listed is not None:
+        out = out.join(listed.groupBy("source_key").agg(F.count("*").alias("listed")), "source_key", "left")
+    return out.na.fill(0)
+
+
+def summary(kept: DataFrame, listed: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row on a run: listed, kept and full items, its rate of full texts, and the rate over the whole ledger."""
+    run = kept.agg(F.count("*").alias("kept"), F.count_if(F.col("fetch_status") == "full").alias("full"), full_text_rate(F.col("fetch_status")).alias("run_full_text_rate"), F.sort_array(F.collect_set("source_key")).alias("sources"))
+    known = entries.agg(F.count("*").alias("total"), full_text_rate(F.col("fetch_status")).alias("full_text_rate"))
+    one = lambda df: df.withColumn("_", F.lit(1))
+    return one(run).join(one(listed.agg(F.count("*").alias("listed"))), "_").join(one(known), "_").drop("_")
 
 
 def full_text_rate(status: Column) -> Column:

@@ -49,13 +49,13 @@ def from_html(captured: DataFrame, selectors: tuple[str, ...] = (), payload: str
 
 def from_text(captured: DataFrame, payload: str = "payload") -> DataFrame:
     none = F.lit(None).cast("string")
-    return captured.select("article_id", F.lit("text").alias("tier"), F.lit("").alias("page"), fragment_text(F.col(payload)).alias("text"), none.alias("title"), none.alias("date"), none.alias("docno"), F.lit("text").alias("method"))
+    return captured.select("article_id", F.lit("text").alias("tier"), F.lit("").alias("page"), text.normalized(html.plain(F.col(payload))).alias("text"), none.alias("title"), none.alias("date"), none.alias("docno"), F.lit("text").alias("method"))
 
 
 def from_pdf(captured: DataFrame, content: str = "content") -> DataFrame:
     none = F.lit(None).cast("string")
     rows = captured.withColumn("x", pdf_extracted(F.col(content)))
-    return rows.select("article_id", F.lit("pdf").alias("tier"), F.lit("").alias("page"), F.col("x.text").alias("text"), none.alias("title"), none.alias("date"), none.alias("docno"), F.concat(F.lit("pdf:"), "x.method").alias("method"))
+    return rows.select("article_id", F.lit("pdf").alias("tier"), F.lit("").alias("page"), documents.halved(F.col("x.text")).alias("text"), none.alias("title"), none.alias("date"), none.alias("docno"), F.concat(F.lit("pdf:"), "x.method").alias("method"))
 
 
 def judged(candidates: DataFrame, least: int = 200, most: int = 0) -> DataFrame:
@@ -75,19 +75,38 @@ def best(outcomes: DataFrame) -> DataFrame:
     worth = F.create_map(*[F.lit(x) for pair in WORTH.items() for x in pair])[F.col("status")]
     order = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     row = F.struct(*[c for c in outcomes.columns if c != "article_id"])
-    picked = counted.groupBy("article_id").agg(F.max_by(row, worth * 10 - order).alias("b"))
+    picked = counted.groupBy("article_id").agg(F.max_by(row, F.struct((worth * 10 - order).alias("w"), F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("b"))
     return picked.select("article_id", "b.*")
 
 
-def upgraded(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Articles with what the best outcome found: its value where there is one, else the old; without any, blocked."""
+#: Notes on articles without a full body.
+BLOCKED_NOTE, NONE_NOTE = "the source is declared as not retrievable", "no tier got a body"
+
+
+def upgraded(articles: DataFrame, outcomes: DataFrame, blocked: dict[str, str] | None = None) -> DataFrame:
+    """Articles with what the best outcome found: its value where there is one, else the old; without any, blocked.
+
+    blocked: source keys that are declared as not retrievable, with the reason; their outcomes don't count. The note tells why a
+    body is not full; the note of a full one stays as it was.
+    """
     found = best(outcomes).select("article_id", *[F.col(c).alias(f"_{c}") for c in ("text", "status", "method", "title", "pub_date", "docno", "issuer", "effective_date")])
     joined = articles.join(found, "article_id", "left")
-    new = {c: F.coalesce(F.col(f"_{c}") if c in ("pub_date", "effective_date") else text.or_none(F.col(f"_{c}")), F.col(c)) for c in ("title", "pub_date", "docno", "issuer", "effective_date")}
-    new |= {"text": F.coalesce("_text", "text"), "fetch_status": F.coalesce("_status", F.lit("blocked")), "fetch_method": F.coalesce("_method", F.lit("none"))}
+    names = list(blocked or {})
+    shut = F.coalesce(F.col("source_key").isin(names), F.lit(False)) if names else F.lit(False)
+    held = lambda c: F.when(~shut, F.col(f"_{c}"))
+    new = {c: F.coalesce(held(c) if c in ("pub_date", "effective_date") else text.or_none(held(c)), F.col(c)) for c in ("title", "pub_date", "docno", "issuer", "effective_date")}
+    reason = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in (blocked or {}).items() for x in (k, v or BLOCKED_NOTE)]), F.col("source_key")), F.lit(BLOCKED_NOTE)) if names else F.lit(BLOCKED_NOTE)
+    note = F.when(shut, reason).when(F.col("_status").isNull(), F.lit(NONE_NOTE)).when(F.col("_status") != "full", F.concat(F.lit("best body is "), "_status", F.lit(" by "), "_method")).otherwise(F.col("notes"))
+    new |= {"text": F.coalesce(held("text"), "text"), "fetch_status": F.when(shut, "blocked").otherwise(F.coalesce("_status", F.lit("blocked"))), "fetch_method": F.when(shut, "blocked").otherwise(F.coalesce("_method", F.lit("none")))}
+    if "notes" in articles.columns:
+        new["notes"] = note
     return joined.withColumns(new).select(*articles.columns)
 
 
 def open_articles(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Articles that no tier has fully got yet."""
     return articles.join(outcomes.where("status = 'full'").select("article_id"), "article_id", "left_anti")
+
+
+#: How captured details of each tier become candidates; a mapping that others may add to.
+READERS = {"api": from_api, "text": from_text, "html": from_html}

@@ -36,12 +36,6 @@ def _q(pattern: str) -> str:
 # Scans, filters, projections
 
 
-@query("src01_registry", "SELECT source_key, name, layer, source_type, coalesce(min_body_chars, 200) AS min_body_chars, CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END AS max_items FROM source_registry")
-def src01(spark, d):
-    most = F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20))
-    return table(spark, d, "source_registry").select("source_key", "name", "layer", "source_type", F.coalesce("min_body_chars", F.lit(200)).alias("min_body_chars"), most.alias("max_items"))
-
-
 @query("src03_json_records", "SELECT docid, nullif(doctitle, '') AS title, nullif(documentno, '') AS docno, try_cast(left(publishdate, 10) AS DATE) AS pub_date FROM nfra_detail WHERE code = 200")
 def src03(spark, d):
     from evidentia.sources.records import records
@@ -63,16 +57,6 @@ def flt03(spark, d):
     return table(spark, d, "article").where(listing.keywords_pass(F.col("title"), F.col("summary"), ["保险", "custody", "Prämien"], ["试行"])).select("arrival")
 
 
-@query("flt04_title_length", "SELECT arrival, length(title) AS n FROM article WHERE length(title) >= 8 AND NOT ends_with(title, '>>')")
-def flt04(spark, d):
-    return table(spark, d, "article").where("length(title) >= 8 and not endswith(title, '>>')").select("arrival", F.length("title").alias("n"))
-
-
-@query("flt05_link_pattern", r"SELECT arrival, url FROM article WHERE regexp_matches(url, '/(?:doc|policy)/[0-9]+')")
-def flt05(spark, d):
-    return table(spark, d, "article").where(F.col("url").rlike("/(?:doc|policy)/[0-9]+")).select("arrival", "url")
-
-
 _HAY = "left(coalesce(text, ''), 2000)"
 _BLOCKED = "coalesce(" + ", ".join(f"nullif(regexp_extract({_HAY}, {_q(p)}, 0), '')" for p in documents.BLOCKED) + ")"
 
@@ -89,11 +73,6 @@ _MARKS = " + ".join(f"regexp_matches(left(regexp_replace(coalesce(text, ''), {_T
 _NAV = f"((len({_LINES}) >= 12 AND len(list_filter({_LINES}, lambda x: length(x) <= 12)) >= 0.8 * len({_LINES})) OR ({_MARKS} >= 2 AND length(regexp_replace(coalesce(text, ''), {_TRIM})) < 500))"
 
 
-@query("flt10_navigation", f"SELECT arrival FROM article WHERE {_NAV}")
-def flt10(spark, d):
-    return spread(table(spark, d, "article")).where(documents.is_navigation(F.coalesce("text", F.lit("")))).select("arrival")
-
-
 @query("cls01_status", f"SELECT arrival, CASE WHEN {_BLOCKED} IS NOT NULL THEN 'blocked' WHEN length(coalesce(text, '')) < coalesce(min_body_chars, 200) THEN 'listing_only' WHEN {_NAV} THEN 'listing_only' ELSE 'full' END AS status FROM article JOIN source_registry USING (source_key)")
 def cls01(spark, d):
     sources = table(spark, d, "source_registry").select("source_key", F.coalesce("min_body_chars", F.lit(200)).alias("least"))
@@ -103,21 +82,6 @@ def cls01(spark, d):
     return rows.select("arrival", verdict.when(documents.is_navigation(body), "listing_only").otherwise("full").alias("status"))
 
 
-@query("flt13_conclusions", "SELECT arrival, fetch_status = 'full' AS core, fetch_status IN ('full', 'partial') AS some FROM article")
-def flt13(spark, d):
-    return table(spark, d, "article").select("arrival", (F.col("fetch_status") == "full").alias("core"), F.col("fetch_status").isin("full", "partial").alias("some"))
-
-
-@query("flt15_selection", "SELECT source_key FROM source_registry WHERE enabled AND layer IN ('L1', 'L2')")
-def flt15(spark, d):
-    return table(spark, d, "source_registry").where("enabled and layer in ('L1', 'L2')").select("source_key")
-
-
-@query("prj02_first_given", "SELECT arrival, coalesce(nullif(docno, ''), nullif(title, ''), nullif(url, '')) AS label FROM article")
-def prj02(spark, d):
-    return table(spark, d, "article").select("arrival", F.coalesce(*[text.or_none(F.col(c)) for c in ("docno", "title", "url")]).alias("label"))
-
-
 @query("prj03_template", "SELECT arrival, concat('https://', coalesce(source_key, ''), '/', coalesce(params['docId'], ''), '.html') AS link FROM article")
 def prj03(spark, d):
     from evidentia.sources.templates import filled
@@ -137,18 +101,6 @@ def prj08(spark, d):
     return spread(table(spark, d, "article")).select("arrival", head.alias("head"), tail.alias("tail"))
 
 
-@query("prj10_page_targets", "SELECT source_key, page, (page - 1) * 20 AS start FROM source_registry, range(1, 4) r(page)")
-def prj10(spark, d):
-    return table(spark, d, "source_registry").select("source_key", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("page")).withColumn("start", (F.col("page") - 1) * 20)
-
-
-@query("prj12_upgrade", "SELECT a.arrival, coalesce(nullif(n.doctitle, ''), a.title) AS title, coalesce(nullif(n.documentno, ''), a.docno) AS docno FROM article a JOIN (SELECT docid, max(doctitle) AS doctitle, max(documentno) AS documentno FROM nfra_detail GROUP BY docid) n ON a.article_id = n.docid - 5000000")
-def prj12(spark, d):
-    details = table(spark, d, "nfra_detail").groupBy((F.col("docid") - 5000000).alias("article_id")).agg(F.max("doctitle").alias("t"), F.max("documentno").alias("n"))
-    rows = table(spark, d, "article").join(details, "article_id")
-    return rows.select("arrival", F.coalesce(text.or_none(F.col("t")), "title").alias("title"), F.coalesce(text.or_none(F.col("n")), "docno").alias("docno"))
-
-
 # Text, dates, numbers, hashes
 
 
@@ -180,11 +132,6 @@ def str09(spark, d):
     return table(spark, d, "article").where("url <> ''").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("str11_quotes", r"""SELECT DISTINCT claim_id, unnest(regexp_extract_all(text, '「[^」]+」|“[^”]+”|"[^"\n]+"')) AS quote FROM claim""")
-def str11(spark, d):
-    return table(spark, d, "claim").select("claim_id", F.explode(F.regexp_extract_all("text", F.lit(r"「[^」]+」|“[^”]+”|\"[^\"\n]+\""), 0)).alias("quote")).distinct()
-
-
 def _sql_date(hay: str, pattern: str, order=(1, 2, 3), named=False) -> str:
     y, m, d = (f"regexp_extract({hay}, {_q(pattern)}, {i})" for i in order)
     if named:
@@ -242,27 +189,9 @@ def hsh02(spark, d):
     return spread(table(spark, d, "article")).select("arrival", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"))
 
 
-@query("map01_params", "SELECT arrival, params['docId'] AS doc_id, lower(coalesce(params['lang'], '')) AS lang, cardinality(params) AS n FROM article WHERE params IS NOT NULL")
-def map01(spark, d):
-    get = lambda k: F.try_element_at("params", F.lit(k))
-    return table(spark, d, "article").where("params is not null").select("arrival", get("docId").alias("doc_id"), F.lower(F.coalesce(get("lang"), F.lit(""))).alias("lang"), F.size("params").cast("long").alias("n"))
-
-
 # Joins
 
 
-@query("jn01_article_source", "SELECT a.arrival, s.name, s.layer FROM article a JOIN source_registry s USING (source_key)")
-def jn01(spark, d):
-    return table(spark, d, "article").join(table(spark, d, "source_registry").select("source_key", "name", "layer"), "source_key").select("arrival", "name", "layer")
-
-
-@query("jn02_first_seen", "SELECT a.arrival, least(a.first_seen, l.seen) AS first_seen FROM article a LEFT JOIN (SELECT url, min(first_seen) AS seen FROM article WHERE url <> '' GROUP BY url) l USING (url)")
-def jn02(spark, d):
-    rows = table(spark, d, "article")
-    known = rows.where("url <> ''").groupBy("url").agg(F.min("first_seen").alias("seen"))
-    return rows.join(known, "url", "left").select("arrival", F.least("first_seen", "seen").alias("first_seen"))
-
-
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, arrival DESC) AS k FROM article WHERE url <> '') WHERE k = 1)"
 _CITED = "(SELECT DISTINCT claim_id, kind, importance, text AS claim_text, unnest(evidence) AS url FROM claim)"
 
@@ -291,34 +220,6 @@ def agg02(spark, d):
     return table(spark, d, "article").groupBy("source_key").agg(F.round(ledger.full_text_rate(F.col("fetch_status")), 4).alias("rate"), F.count("*").alias("n"))
 
 
-@query("agg04_evidence_counts", "SELECT coalesce(fetch_status, 'invalid') AS fetch_status, count(*) AS n FROM article GROUP BY 1")
-def agg04(spark, d):
-    return table(spark, d, "article").groupBy(F.coalesce("fetch_status", F.lit("invalid")).alias("fetch_status")).agg(F.count("*").alias("n"))
-
-
-@query("agg05_coverage", "SELECT array_to_string(list_sort(list_distinct(list(region))), ',') AS regions, array_to_string(list_sort(list_distinct(list(layer))), ',') AS layers FROM source_registry WHERE enabled")
-def agg05(spark, d):
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return table(spark, d, "source_registry").where("enabled").agg(joined("region").alias("regions"), joined("layer").alias("layers"))
-
-
-@query("agg06_citations", "SELECT count(DISTINCT url) AS cited, count(DISTINCT CASE WHEN known THEN url END) AS known FROM (SELECT c.url, EXISTS (SELECT 1 FROM article a WHERE a.url = c.url) AS known FROM (SELECT unnest(evidence) AS url FROM claim) c)")
-def agg06(spark, d):
-    cited = table(spark, d, "claim").select(F.explode("evidence").alias("url")).distinct()
-    known = table(spark, d, "article").select("url", F.lit(True).alias("known")).distinct()
-    return cited.join(known, "url", "left").agg(F.count("*").alias("cited"), F.count_if("known").alias("known"))
-
-
-@query("agg08_claims", "SELECT kind, importance, count(DISTINCT claim_id) AS n FROM claim GROUP BY ALL")
-def agg08(spark, d):
-    return table(spark, d, "claim").groupBy("kind", "importance").agg(F.count_distinct("claim_id").alias("n"))
-
-
-@query("agg09_any_full", "SELECT source_key, bool_or(fetch_status = 'full') AS any_full, bool_and(fetch_status <> 'blocked') AS none_blocked FROM article GROUP BY 1")
-def agg09(spark, d):
-    return table(spark, d, "article").groupBy("source_key").agg(F.bool_or(F.col("fetch_status") == "full").alias("any_full"), F.bool_and(F.col("fetch_status") != "blocked").alias("none_blocked"))
-
-
 @query("agg10_blocked_samples", "SELECT source_key, string_agg(url, '; ' ORDER BY arrival) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY arrival) AS k FROM article WHERE fetch_status IN ('blocked', 'scanned_pdf')) WHERE k <= 5 GROUP BY 1")
 def agg10(spark, d):
     rows = listing.cap(table(spark, d, "article").where("fetch_status in ('blocked', 'scanned_pdf')"), "source_key", 5)
@@ -338,11 +239,6 @@ def agg13(spark, d):
     return audit.core_coverage(table(spark, d, "claim"), table(spark, d, "article"))
 
 
-@query("agg14_verifiability", "SELECT avg((url <> '' AND fetched_at IS NOT NULL AND text <> '')::INT) AS share FROM article")
-def agg14(spark, d):
-    return table(spark, d, "article").agg(F.avg(F.expr("url <> '' and fetched_at is not null and text <> ''").cast("double")).alias("share"))
-
-
 # Windows, order, limits
 
 
@@ -367,13 +263,6 @@ def win05(spark, d):
     return ledger.version_chain(table(spark, d, "article")).withColumn("version", F.col("version").cast("long"))
 
 
-@query("win06_first_seen", "SELECT arrival, min(CAST(fetched_at AS DATE)) OVER (PARTITION BY url) AS first_fetched FROM article")
-def win06(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "article").select("arrival", F.min(F.to_date("fetched_at")).over(Window.partitionBy("url")).alias("first_fetched"))
-
-
 @query("lim01_source_cap", "SELECT arrival FROM (SELECT a.arrival, row_number() OVER (PARTITION BY source_key ORDER BY arrival) AS k, CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END AS most FROM article a JOIN source_registry USING (source_key)) WHERE k <= most")
 def lim01(spark, d):
     most = table(spark, d, "source_registry").select("source_key", F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20)).alias("most"))
@@ -409,57 +298,12 @@ def set05(spark, d):
 # Audit
 
 
-@query("aud_c4_strength", f"SELECT claim_id, url, CASE WHEN message <> 'weak' THEN 'error' WHEN coalesce(importance = 'core' AND kind IN ('fact', 'inference'), false) THEN 'error' ELSE 'warn' END AS level, message FROM (SELECT c.*, CASE WHEN a.article_id IS NULL THEN 'missing' WHEN coalesce(a.text, '') = '' THEN 'unreadable' WHEN NOT coalesce(a.fetch_status = 'full' AND a.evidence_layer IN ('L1', 'L2'), false) THEN 'weak' END AS message FROM {_CITED} c LEFT JOIN {_LATEST} a USING (url)) WHERE message IS NOT NULL")
-def aud_c4(spark, d):
-    return audit.strength(table(spark, d, "claim"), table(spark, d, "article"))
-
-
-@query("aud_c2_quotes")
-def aud_c2(spark, d):
-    return audit.unsupported_quotes(table(spark, d, "claim"), table(spark, d, "article"))
-
-
-@query("aud_c3_tokens")
-def aud_c3(spark, d):
-    return audit.unsupported_tokens(table(spark, d, "claim"), table(spark, d, "article"))
-
-
-@query("aud_c4_no_evidence", "SELECT DISTINCT claim_id, CASE WHEN importance = 'core' THEN 'error' ELSE 'warn' END AS level FROM claim WHERE kind IN ('fact', 'inference') AND coalesce(len(evidence), 0) = 0")
-def aud_c4_none(spark, d):
-    bare = table(spark, d, "claim").where("kind in ('fact', 'inference') and coalesce(size(evidence), 0) <= 0")
-    return bare.select("claim_id", F.when(F.col("importance") == "core", "error").otherwise("warn").alias("level")).distinct()
-
-
 # Validation
 
 
-@query("val01_registry", "SELECT source_key, 'layer' AS rule FROM source_registry WHERE layer NOT IN ('L1', 'L2', 'L3', 'L4', 'L5') UNION ALL SELECT source_key, 'min_body_chars' FROM source_registry WHERE min_body_chars < 1 UNION ALL SELECT source_key, 'repeated' FROM source_registry GROUP BY 1 HAVING count(*) > 1")
-def val01(spark, d):
-    rows = table(spark, d, "source_registry")
-    broken = lambda rule, cond: rows.where(cond).select("source_key", F.lit(rule).alias("rule"))
-    repeated = rows.groupBy("source_key").count().where("count > 1").select("source_key", F.lit("repeated").alias("rule"))
-    return broken("layer", "layer not in ('L1', 'L2', 'L3', 'L4', 'L5')").unionByName(broken("min_body_chars", "min_body_chars < 1")).unionByName(repeated)
-
-
-@query("val02_claims", "SELECT DISTINCT claim_id, 'importance' AS rule FROM claim WHERE importance IS NULL OR importance NOT IN ('core', 'supporting') UNION ALL SELECT DISTINCT claim_id, 'kind' FROM claim WHERE kind IS NULL OR kind NOT IN ('fact', 'inference', 'assumption', 'company') UNION ALL SELECT claim_id, 'repeated' FROM claim GROUP BY 1 HAVING count(*) > 1")
-def val02(spark, d):
-    rows = table(spark, d, "claim")
-    broken = lambda rule, cond: rows.where(cond).select("claim_id", F.lit(rule).alias("rule")).distinct()
-    repeated = rows.groupBy("claim_id").count().where("count > 1").select("claim_id", F.lit("repeated").alias("rule"))
-    one = broken("importance", "importance is null or importance not in ('core', 'supporting')")
-    return one.unionByName(broken("kind", "kind is null or kind not in ('fact', 'inference', 'assumption', 'company')")).unionByName(repeated)
-
-
 # State across runs; windows over a stream are an extension of our own
 
 
-@query("snk04_upsert", "WITH v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrival) AS k FROM article WHERE url <> ''), o AS (SELECT * FROM v WHERE k = 1), n AS (SELECT * FROM v WHERE k = 2), h AS (SELECT *, left(sha256(concat(url, chr(10), coalesce(text, ''))), 16) AS sid FROM v) SELECT o.url, coalesce(n.fetch_status, o.fetch_status) AS fetch_status, least(o.first_seen, n.first_seen) AS first_seen, CASE WHEN n.url IS NOT NULL AND a.sid <> b.sid THEN 1 ELSE 0 END AS n_history FROM o LEFT JOIN n USING (url) JOIN h a ON a.url = o.url AND a.k = 1 LEFT JOIN h b ON b.url = o.url AND b.k = 2")
-def snk04(spark, d):
-    rows = table(spark, d, "article").where("url <> ''").select("url", "arrival", text.snapshot_id(F.col("url"), F.col("text")).alias("snapshot_id"), "fetch_status", "first_seen", "fetched_at")
-    after = ledger.folded(rows)
-    return after.select("url", "fetch_status", "first_seen", F.size("history").alias("n_history"))
-
-
 @query("stm_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM (SELECT DISTINCT * FROM events) GROUP BY 1, 2")
 def stm_windows(spark, d):
     from evidentia.streaming.windows import hourly
@@ -496,7 +340,10 @@ def src06(spark, d):
     return sitemap(captured, pattern="/[a-z]+/", since=SINCE).select("arrival", "link", "date")
 
 
-@query("src04_html_listing", "SELECT arrival, url AS link FROM article WHERE url <> '' AND length(docno) >= 8 AND regexp_matches(docno, '^[A-Za-z0-9〔〕/\\x{4e00}-\\x{9fff}-]+$')")
+_LINK_TEXT = f"trim(regexp_replace(regexp_replace(docno, '[\\x{{200b}}\\x{{feff}}]', '', 'g'), '{text.WS}+', ' ', 'g'))"
+
+
+@query("src04_html_listing", f"SELECT arrival, url AS link FROM article WHERE url <> '' AND length({_LINK_TEXT}) >= 8 AND NOT ends_with({_LINK_TEXT}, '>>')")
 def src04(spark, d):
     from evidentia.sources.listings import html_links
 
@@ -505,13 +352,6 @@ def src04(spark, d):
     return html_links(rows.select("arrival", F.concat("url", F.lit("#"), F.col("arrival").cast("string")).alias("url"), page.alias("payload"))).select("arrival", "link")
 
 
-@query("src12_decoded", "SELECT arrival, title FROM article WHERE title IS NOT NULL")
-def src12(spark, d):
-    from evidentia.functions.bytes import decoded
-
-    return table(spark, d, "article").where("title is not null").select("arrival", decoded(F.encode("title", "UTF-8"), F.lit(None).cast("string")).alias("title"))
-
-
 @query("htm05_bodies")
 def htm05(spark, d):
     from evidentia.functions.html import extracted
@@ -533,12 +373,6 @@ def prj14(spark, d):
     return table(spark, d, "article").join(per, "article_id", "left").select("arrival", F.coalesce("n", F.lit(0)).alias("tries"))
 
 
-@query("doc07_version_changes", "SELECT url, count(*) AS versions, count(DISTINCT text) AS bodies FROM article WHERE url <> '' GROUP BY 1 HAVING count(*) > 1")
-def doc07(spark, d):
-    per = table(spark, d, "article").where("url <> ''").groupBy("url").agg(F.count("*").alias("versions"), F.count_distinct("text").alias("bodies"))
-    return per.where("versions > 1")
-
-
 @query("stm05_first_deliveries", "SELECT DISTINCT attempt_id, article_id FROM attempt")
 def stm05(spark, d):
     return table(spark, d, "attempt").select("attempt_id", "article_id").dropDuplicates(["attempt_id"])
@@ -548,12 +382,13 @@ def stm05(spark, d):
 
 
 def _outcomes(spark, d):
+    """Judged candidates of the captured details: API records from nfra_detail, pages from article. All versions are candidates."""
     from evidentia.operators import tiers
 
-    details = table(spark, d, "nfra_detail").where("code = 200").dropDuplicates(["docid"])
+    details = table(spark, d, "nfra_detail").where("code = 200").distinct()
     payload = F.to_json(F.struct(F.struct(F.col("doctitle").alias("docTitle"), F.col("documentno").alias("documentNo"), F.col("publishdate").alias("publishDate"), F.col("docclob").alias("docClob")).alias("data")))
     captured = details.select((F.col("docid") - 5000000).alias("article_id"), payload.alias("payload"))
-    articles = table(spark, d, "article").where("text <> ''").dropDuplicates(["article_id"]).select("article_id", F.col("text").alias("payload"))
+    articles = spread(table(spark, d, "article").where("text <> ''").select("article_id", F.col("text").alias("payload"))).distinct()
     return tiers.judged(tiers.from_api(captured)).unionByName(tiers.judged(tiers.from_html(articles)))
 
 
@@ -577,58 +412,14 @@ def run_collect(spark, d):
     return run.counters
 
 
-@query("pln_requests", "SELECT layer, source_type, count(*) AS sources, CAST(sum(CASE WHEN coalesce(max_items, 0) = 0 THEN 20 ELSE max_items END) AS BIGINT) AS most_items FROM source_registry WHERE enabled GROUP BY 1, 2")
-def pln(spark, d):
-    most = F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(20))
-    return table(spark, d, "source_registry").where("enabled").groupBy("layer", "source_type").agg(F.count("*").alias("sources"), F.sum(most).alias("most_items"))
-
-
-@query("str10_urls", "SELECT DISTINCT claim_id, unnest(evidence) AS url FROM claim")
-def str10(spark, d):
-    return table(spark, d, "claim").select("claim_id", F.explode("evidence").alias("url")).distinct()
-
-
-@query("num03_amounts", r"SELECT arrival, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)')) AS n FROM article WHERE text IS NOT NULL")
-def num03(spark, d):
-    return spread(table(spark, d, "article")).where("text is not null").select("arrival", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?(?:%|亿元|万元)"), 0)).cast("long").alias("n"))
-
-
-@query("num01_plain_numbers", "SELECT arrival, md5(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g')) AS digest FROM article WHERE text IS NOT NULL AND NOT regexp_matches(text, '[0-9],[0-9],')")
-def num01(spark, d):
-    return spread(table(spark, d, "article")).where("text is not null").select("arrival", F.md5(F.regexp_replace("text", "(?<=[0-9]),(?=[0-9])", "")).alias("digest"))
-
-
-@query("lim05_newest_first", "SELECT arrival, row_number() OVER (ORDER BY pub_date DESC NULLS LAST, arrival) AS place FROM (SELECT * FROM article ORDER BY pub_date DESC NULLS LAST, arrival LIMIT 50)")
-def lim05(spark, d):
-    from pyspark.sql import Window
-
-    top = table(spark, d, "article").select("arrival", "pub_date").orderBy(F.col("pub_date").desc_nulls_last(), "arrival").limit(50)
-    return top.select("arrival", F.row_number().over(Window.orderBy(F.col("pub_date").desc_nulls_last(), "arrival")).cast("long").alias("place"))
-
-
 # Further columns and aggregates
 
 
-@query("agg03_ledger_rate", "SELECT count(*) AS total, count(DISTINCT url) AS urls, round(avg((fetch_status = 'full')::INT), 4) AS rate FROM article")
-def agg03(spark, d):
-    return table(spark, d, "article").agg(F.count("*").alias("total"), F.count_distinct("url").alias("urls"), F.round(F.avg((F.col("fetch_status") == "full").cast("double")), 4).alias("rate"))
-
-
-@query("agg07_quotes", "SELECT kind, CAST(sum(len(regexp_extract_all(text, '「[^」]+」|“[^”]+”'))) AS BIGINT) AS quotes FROM claim GROUP BY 1")
-def agg07(spark, d):
-    return table(spark, d, "claim").groupBy("kind").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit("「[^」]+」|“[^”]+”"), 0))).alias("quotes"))
-
-
 @query("agg11_duplicates_by_kept")
 def agg11(spark, d):
     return identity.dropped(table(spark, d, "article")).groupBy("kept_row", "kept_url").agg(F.count("*").alias("n"))
 
 
-@query("str04_halved", "SELECT arrival, translate(docno, '０１２３４５６７８９（）〔〕【】', '0123456789()[][]') AS docno FROM article WHERE docno <> ''")
-def str04(spark, d):
-    return table(spark, d, "article").where("docno <> ''").select("arrival", F.translate("docno", "０１２３４５６７８９（）〔〕【】", "0123456789()[][]").alias("docno"))
-
-
 @query("str05_fragments")
 def str05(spark, d):
     from evidentia.operators.tiers import fragment_text
@@ -637,47 +428,14 @@ def str05(spark, d):
     return rows.select("docid", F.length(fragment_text(F.col("docclob"))).alias("chars"))
 
 
-@query("str13_paragraphs", r"SELECT doc_id, len(regexp_split_to_array(text, '\n\s*\n')) AS paragraphs, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL")
-def str13(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.split("text", r"\n\s*\n")).cast("long").alias("paragraphs"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
-
-
-@query("str15_source_dirs", "SELECT DISTINCT source_key, left(regexp_replace(source_key, '[^A-Za-z0-9_-]+', '_', 'g'), 40) AS dir FROM article")
-def str15(spark, d):
-    return table(spark, d, "article").select("source_key", F.left(F.regexp_replace("source_key", "[^A-Za-z0-9_-]+", "_"), F.lit(40)).alias("dir")).distinct()
-
-
-_TOKENS = r"[\x{4e00}-\x{9fa5}]{1,12}(?:发|办|函|公告|令|规|字|号)?[〔\[（(【]20[0-9]{2}[〕\]）)】][0-9]{1,4}号"
-
-
-@query("tok02_docno_tokens", f"SELECT DISTINCT claim_id, unnest(regexp_extract_all(text, {_q(_TOKENS)})) AS token FROM claim")
-def tok02(spark, d):
-    return table(spark, d, "claim").select("claim_id", F.explode(F.regexp_extract_all("text", F.lit(_TOKENS), 0)).alias("token")).distinct()
-
-
-@query("hsh03_version_hash", "SELECT arrival, left(sha256(concat_ws('|', coalesce(title, ''), coalesce(docno, ''), coalesce(issuer, ''), coalesce(CAST(pub_date AS VARCHAR), ''), coalesce(policy_status, ''), coalesce(fetch_status, ''), coalesce(fetch_method, ''), coalesce(evidence_layer, ''), coalesce(notes, ''))), 12) AS version FROM article")
-def hsh03(spark, d):
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "docno", "issuer", "pub_date", "policy_status", "fetch_status", "fetch_method", "evidence_layer", "notes")]
-    return table(spark, d, "article").select("arrival", F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(12)).alias("version"))
-
-
-@query("jn10_foreign_evidence", "SELECT a.claim_id, count(*) AS n FROM (SELECT DISTINCT claim_id, unnest(evidence) AS url FROM claim) a WHERE NOT EXISTS (SELECT 1 FROM article b WHERE b.url = a.url AND b.fetch_status = 'full') GROUP BY 1")
-def jn10(spark, d):
-    cited = table(spark, d, "claim").select("claim_id", F.explode("evidence").alias("url")).distinct()
-    full = table(spark, d, "article").where("fetch_status = 'full'").select("url").distinct()
-    return cited.join(full, "url", "left_anti").groupBy("claim_id").agg(F.count("*").alias("n"))
-
-
 @query("flt11_pdf_links", "SELECT attempt_id, url FROM (SELECT DISTINCT * FROM attempt) WHERE ends_with(lower(url), '.pdf') OR contains(lower(url), '.pdf?') OR contains(lower(url), '/resource/file?') OR tier = 'pdf'")
 def flt11(spark, d):
     return table(spark, d, "attempt").distinct().where(urls.is_pdf(F.col("url")) | (F.col("tier") == "pdf")).select("attempt_id", "url")
 
 
-@query("lim09_short_errors", "SELECT attempt_id, left(error, 200) AS error FROM (SELECT DISTINCT * FROM attempt) WHERE error <> ''")
-def lim09(spark, d):
-    return table(spark, d, "attempt").distinct().where("error <> ''").select("attempt_id", F.left("error", F.lit(200)).alias("error"))
-
-
 @query("agg16_latency", "SELECT source_key, min(elapsed_ms) AS least, max(elapsed_ms) AS most, CAST(sum(elapsed_ms) AS BIGINT) AS total FROM (SELECT DISTINCT * FROM attempt) GROUP BY 1")
 def agg16(spark, d):
     return table(spark, d, "attempt").distinct().groupBy("source_key").agg(F.min("elapsed_ms").alias("least"), F.max("elapsed_ms").alias("most"), F.sum("elapsed_ms").alias("total"))
+
+
+from evidentia.plans import audits, connectors, figures  # noqa: E402, F401  they register theirs

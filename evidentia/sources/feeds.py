@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +79,13 @@ def feed(captured: DataFrame, payload: str = "payload", base: str = "url") -> Da
 
 
 def sitemap(captured: DataFrame, payload: str = "payload", pattern: str | None = None, since: str | None = None) -> DataFrame:
-    """One row a URL block; the last step of the path stands for the title. Unknown dates pass `since`."""
+    """One row a URL block; the last step of the path stands for the title. Unknown dates pass `since`. `rank` orders each sitemap:
+    newest first, unknown dates last, as listed among equals."""
     rows = captured.withColumn("_item", F.explode(_array(F.col(payload), sitemap_urls))).drop(payload)
     rows = rows.withColumns({"link": F.col("_item.link"), "date": dates.listed_date(F.col("_item.date")), "pos": F.col("_item.pos")}).drop("_item")
     rows = rows.where(F.col("link").rlike(pattern)) if pattern else rows
     rows = rows.where(F.col("date").isNull() | (F.col("date") >= F.lit(since).cast("date"))) if since else rows
+    newest = Window.partitionBy(*[c for c in rows.columns if c not in ("link", "date", "pos")]).orderBy(F.col("date").desc_nulls_last(), "pos")
+    rows = rows.withColumn("rank", F.row_number().over(newest))
     slug = F.trim(F.replace(F.regexp_extract(F.try_parse_url("link", F.lit("PATH")), "([^/]*)/*$", 1), F.lit("-"), F.lit(" ")))
     return rows.withColumn("title", F.left(F.coalesce(F.nullif(slug, F.lit("")), "link"), F.lit(300)))

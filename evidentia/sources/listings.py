@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import dates, html, urls
+from evidentia.functions.text import WS
 from evidentia.sources import feeds, records
 from evidentia.sources.templates import filled
 
@@ -23,7 +24,8 @@ def html_links(captured: DataFrame, payload: str = "payload", base: str = "url",
 
 def json_items(captured: DataFrame, spec: dict[str, str], path: str, template: str | None = None, payload: str = "payload") -> DataFrame:
     """Records mapped by `spec`, with titles of 6 characters; the link is a field or a template over the fields."""
-    rows = records.records(captured, payload, path, spec).where("length(title) >= 6")
+    rows = records.records(captured, payload, path, spec).withColumn("title", F.regexp_replace(F.regexp_replace("title", rf"^{WS}+|{WS}+$", ""), "\n", " "))
+    rows = rows.where("length(title) >= 6").withColumn("title", F.left("title", F.lit(300)))
     link = filled(template, rows.columns) if template else F.col("link")
     rows = rows.withColumn("link", urls.cleaned(link)).where("link <> ''")
     return rows.withColumn("date", dates.listed_date(F.col("date"))) if "date" in rows.columns else rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 #: Layers, kinds of source and tiers that the registry may name.
 LAYERS = ("L1", "L2", "L3", "L4", "L5")
@@ -81,3 +82,25 @@ def plan(spark, sources: list[dict], budget: int = 40):
     """One row a source: its requests, tiers and caps. What a run would ask for, without asking."""
     rows = [(s["key"], s.get("layer", "L1"), s.get("type", "html_list"), [u for u, _ in page_targets(s)], list((s.get("detail") or {}).get("tiers") or ("api", "text", "html", "pdf")), int(s.get("max_items") or 20), budget) for s in sources]
     return spark.createDataFrame(rows, "source_key string, layer string, type string, requests array<string>, tiers array<string>, max_items int, budget int")
+
+
+def contact_problem(contact: str | None) -> str | None:
+    """Why a contact can't be sent along with requests: a template's placeholder, or characters beyond ASCII; None if it can."""
+    if not contact:
+        return None
+    if not contact.isascii():
+        return "the contact must be ASCII"
+    return "the contact is a placeholder" if re.search(r"example\.(?:com|org|net)|your[-_ ]?(?:name|mail|email|org)|<[^<>]+>|\{[^{}]+\}", contact, re.I) else None
+
+
+def table(spark, sources: list[dict]):
+    """The registry as a table, with its defaults: layer L1, type html_list, 200 characters, 20 items."""
+    rows = [(s["key"], s.get("name", s["key"]), s.get("region", ""), s.get("layer", "L1"), s.get("type", "html_list"), bool(s.get("enabled", True)), int(s.get("min_body_chars") or 200), int(s.get("max_items") or 20)) for s in sources]
+    return spark.createDataFrame(rows, "source_key string, name string, region string, layer string, source_type string, enabled boolean, min_body_chars int, max_items int")
+
+
+def read_table(rows) -> dict:
+    """The registry that a table of sources stands for, as read() gives it; a registry has few sources."""
+    named = [r.asDict() for r in rows.collect()]
+    keep = {"source_key": "key", "name": "name", "region": "region", "layer": "layer", "source_type": "type", "enabled": "enabled", "min_body_chars": "min_body_chars", "max_items": "max_items"}
+    return {"sources": [{to: r[c] for c, to in keep.items() if r[c] is not None} | {"listing": {"url": f"https://{r['host']}/list/{{page}}?s={{start}}", "pages": 3}} for r in named]}

@@ -97,12 +97,16 @@ def test_listing_operators(spark):
 
 
 def test_ledger_upsert_keeps_history(spark):
-    schema = "url string, snapshot_id string, fetch_status string, first_seen date, fetched_at timestamp, history array<struct<snapshot_id:string,fetch_status:string,fetched_at:timestamp>>"
+    schema = "url string, snapshot_id string, snapshot_path string, fetch_status string, content_hash string, first_seen date, fetched_at timestamp, history " + ledger.HISTORY
     day, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1)
-    old = spark.createDataFrame([("a", "1", "partial", day, at, []), ("b", "1", "full", day, at, [])], schema)
-    new = spark.createDataFrame([("a", "2", "full", dt.date(2024, 2, 1), at, []), ("c", "9", "full", day, at, [])], schema)
-    got = {r.url: (r.snapshot_id, r.first_seen, len(r.history)) for r in ledger.upserted(old, new).collect()}
-    assert got == {"a": ("2", day, 1), "b": ("1", day, 0), "c": ("9", day, 0)}
+    old = spark.createDataFrame([("a", "1", "p1", "partial", "h", day, at, []), ("b", "1", "p2", "full", "h", day, at, []), ("d", "5", "p3", "partial", "h", day, at, [])], schema)
+    new = spark.createDataFrame([("a", "2", "p4", "full", "h2", dt.date(2024, 2, 1), at, []), ("c", "9", "p5", "full", "h", day, at, []), ("d", "5", "p6", "full", "h", day, at, [])], schema)
+    after = ledger.upserted(old, new)
+    got = {r.url: (r.snapshot_id, r.fetch_status, r.first_seen, [tuple(h) for h in r.history]) for r in after.collect()}
+    # The same body with another status (d) is another acquisition: the old one is kept, with all its five fields.
+    assert got == {"a": ("2", "full", day, [("1", "p1", "partial", "h", at)]), "b": ("1", "full", day, []), "c": ("9", "full", day, []), "d": ("5", "full", day, [("5", "p3", "partial", "h", at)])}
+    again = {r.url: len(r.history) for r in ledger.upserted(after, new).collect()}
+    assert again == {"a": 1, "b": 0, "c": 0, "d": 1}
 
 
 def test_attempts(spark):
@@ -127,8 +131,8 @@ def evidence(spark):
 
 def test_audit(spark):
     claims, articles = evidence(spark)
-    assert {(r.claim_id, r.label, r.token) for r in audit.unsupported_tokens(claims, articles).collect()} == {(2, "amount", "500万元"), (2, "number", "500")}
-    assert [(r.claim_id, r.quote) for r in audit.unsupported_quotes(claims, articles).collect()] == [(3, "从未说过的话")]
+    assert {(r.claim_id, r.label, r.token) for r in audit.unsupported_tokens(claims, audit.bodies(claims, articles)).collect()} == {(2, "amount", "500万元"), (2, "number", "500")}
+    assert [(r.claim_id, r.quote) for r in audit.unsupported_quotes(claims, audit.bodies(claims, articles)).collect()] == [(3, "从未说过的话")]
     assert {(r.claim_id, r.level, r.message) for r in audit.strength(claims, articles).collect()} == {(3, "warn", "weak"), (4, "error", "missing")}
     assert tuple(audit.core_coverage(claims, articles).first()) == (4, 2, 0.5)
 
@@ -137,11 +141,89 @@ def test_report(spark):
     claims, articles = evidence(spark)
     body = "限额为1500万元，2026/1/2起，根据东财办〔2024〕12号，“应当逐级复核”。[来源][A] http://a.example/1\n\n另见 http://a.example/ 与 http://made.example/up 。\n\n> 限额为1,500万元。自2026年\n\n「这是一句编造的引文」\n\n[A]: http://a.example/2"
     assert [r.url for r in report.unknown_links(spark, body, articles).collect()] == ["http://made.example/up"]
-    assert {r.quote for r in report.unfound_quotes(spark, body, articles).collect()} == {"这是一句编造的引文", "这是一句编造的引文」"}
+    # A date is compared as a whole, so a quotation that breaks off inside one is not found.
+    assert {r.quote for r in report.unfound_quotes(spark, body, articles).collect()} == {"这是一句编造的引文", "这是一句编造的引文」", "限额为1,500万元。自2026年"}
     assert [(r.claim_id, r.url) for r in report.foreign_citations(spark, body, claims).collect()] == [(1, "http://a.example/2")]
     assert {r.claim_id for r in report.uncovered_claims(spark, body, claims).collect()} == {2, 3, 4, 5}
-    found = report.findings(spark, body, claims, articles)
-    assert report.verdict(found).first().ok is False and {r.check for r in found.collect()} == {"C1", "C2", "C3", "C4", "C5"}
+    found = report.findings(spark, body, claims, *report.index_of(articles))
+    verdict = report.verdict(found).first()
+    assert verdict.ok is False and not verdict.strict_passed and {r.check for r in found.collect()} == {"audit", "C1", "C2", "C3", "C4", "C5"}
+    stats = report.statistics(spark, body, claims, *report.index_of(articles), found).first()
+    assert (stats.cited_urls, stats.known_urls, stats.claims_total, stats.core_claims) == (4, 2, 5, 4) and stats.evidence_counts == {"full": 1, "partial": 1} and stats.full_text_rate == 0.5
+    legacy = report.legacy_findings(spark, body, articles, "warn")
+    assert {(r.check, r.level) for r in legacy.collect()} == {("audit", "warn"), ("C1", "warn"), ("C2", "error"), ("C3", "error")}  # the number with the word before it
+
+
+URL_A, URL_B = "https://example.gov/a", "https://example.gov/b"
+
+
+def audited(spark, text, bodies, evidence=(URL_A,), report_text=None, kind="fact", importance="core", change=None):
+    """The checks that find something in one claim; bodies by URL; change alters index or snapshots."""
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, i, u, "s", None, None, t, "full", "L1", at) for i, (u, t) in enumerate(bodies.items())], ARTICLE)
+    claims = spark.createDataFrame([(1, text, kind, importance, list(evidence))], "claim_id long, text string, kind string, importance string, evidence array<string>")
+    index, snapshots_ = report.index_of(rows)
+    if change:
+        index, snapshots_ = change(index, snapshots_)
+    found = report.findings(spark, text if report_text is None else report_text, claims, index, snapshots_)
+    return {(r.check, r.level) for r in found.where("check <> 'audit'").collect()}
+
+
+def test_report_quotes_are_audited_against_the_claim(spark):
+    bodies = {URL_A: "企业应当提交年度报告。", URL_B: "企业可以延期提交材料。"}
+    text = "企业可以延期提交材料。"
+    for marked in ("> " + text, "“" + text + "”", '"' + text + '"'):
+        assert ("C2", "error") in audited(spark, text, bodies, report_text=marked)
+        assert audited(spark, text, bodies, (URL_B,), report_text=marked) == set()
+    two = "第一行内容如下\n第二行内容如下"
+    assert audited(spark, "如下：\n> " + two.replace("\n", "\n> "), {URL_A: two}) == set()
+
+
+def test_quotes_compare_dates_in_one_spelling(spark):
+    assert audited(spark, "规定“自2026年1月2日起施行”。", {URL_A: "本办法自2026-01-02起施行。"}) == set()
+
+
+def test_fingerprints_must_match_the_body(spark):
+    bodies = {URL_A: "企业应当提交年度报告。", URL_B: "另一篇。"}
+    text = "企业应当提交年度报告。"
+    set_ = lambda c, v: lambda df: df.withColumn(c, F.lit(v).cast(df.schema[c].dataType))
+    assert audited(spark, text, bodies) == set()
+    for alter in (lambda i, s: (set_("content_hash", "x")(i), s), lambda i, s: (set_("snapshot_id", "x")(i), s), lambda i, s: (i, set_("snapshot_id", "x")(s)), lambda i, s: (i, set_("text", "改过的")(s))):
+        assert ("C4", "error") in audited(spark, text, bodies, change=alter)
+    for alter in (lambda i, s: (i, set_("fetch_status", "partial")(s)), lambda i, s: (i, set_("evidence_layer", "L3")(s)), lambda i, s: (set_("fetch_status", "partial")(i), s), lambda i, s: (set_("layer", "L3")(i), s)):
+        assert audited(spark, text, bodies, change=alter) == {("C4", "error")}
+        assert audited(spark, text, bodies, change=alter, importance="supporting") == {("C4", "warn")}
+    # Paths that lead out, no snapshot, and a snapshot of another URL.
+    assert ("C4", "error") in audited(spark, text, bodies, change=lambda i, s: (set_("snapshot_path", "../outside")(i), s))
+    assert ("C4", "error") in audited(spark, text, bodies, change=lambda i, s: (i, s.limit(0)))
+    assert ("C1", "error") in audited(spark, text, bodies, change=lambda i, s: (set_("snapshot_path", "snapshots/z")(i), set_("snapshot_path", "snapshots/z")(s.where(F.col("url") == URL_B))))
+    # An index that says full doesn't make an empty body readable; nor is a missing hash a match.
+    assert ("C4", "error") in audited(spark, text, {URL_A: "\n\u200b "})
+
+
+def test_evidence_must_be_cited(spark):
+    bodies = {URL_A: "补贴500万元。", URL_B: "另一篇。"}
+    text = "补贴500万元。"
+    assert audited(spark, text, bodies, report_text=f"{text}[原文]({URL_A})") == set()
+    assert audited(spark, text, bodies, report_text=f"{text}\n\n来源库：{URL_B}") == {("C5", "error")}
+    assert ("C5", "error") in audited(spark, text, bodies, report_text=f"{text}[原文][wrong]\n\n[wrong]: {URL_B}\n\n来源库：{URL_A}")
+
+
+def test_legacy_checks(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, 1, URL_A, "s", None, None, "补贴上限为500万元，自2026年11月1日起施行。", "full", "L1", at), (2, 2, URL_B, "s", None, None, "", "blocked", "L1", at)], ARTICLE)
+    body = f"补贴500万元，2026-11-01 起，依据东财办〔2031〕9号，访问日期：2027-01-01，见 2027-01-01 与 2028-02-02，共计9999元。{URL_A}"
+    assert {tuple(r) for r in report.unfound_tokens(spark, body, rows).collect()} == {("docno", "依据东财办〔2031〕9号"), ("amount", "9999元"), ("amount", "补贴500万元"), ("date", "2028-02-02")}
+    assert [(r.level, r.detail) for r in report.evidence_strength(rows).collect()] == [("warn", f"1 without a body: None:{URL_B}")]
+    assert [r.level for r in report.evidence_strength(rows.limit(0)).collect()] == ["error"]
+    assert {r.level for r in report.evidence_strength(rows.where("fetch_status = 'blocked'")).collect()} == {"warn", "error"}
+
+
+def test_claims_added_revised_withdrawn(spark):
+    schema = "claim_id long, text string, kind string, importance string, evidence array<string>"
+    old = spark.createDataFrame([(1, "甲", "fact", "core", ["u"]), (2, "乙", "fact", "core", ["u"]), (3, "丙", "fact", "core", ["v", "u"])], schema)
+    new = spark.createDataFrame([(2, "乙改", "fact", "core", ["u"]), (3, "丙 ", "fact", "core", ["u", "v"]), (4, "丁", "fact", "core", [])], schema)
+    assert {tuple(r) for r in audit.revisions(old, new).collect()} == {(1, "withdrawn"), (2, "revised"), (4, "added")}
 
 
 def test_sources(spark):
@@ -175,22 +257,81 @@ def test_html_and_pdf():
     assert html.title_of(root) == "页名" and html.body_of(root) == ("正文。" * 100, "selector:div.detail_content")
     with pytest.raises(ValueError, match="selector"):
         html.select(root, "div:hover")
-    stream = zlib.compress(b"BT (" + b"Policy text " * 12 + b") Tj ET")
-    pdf = b"%PDF-1.4\n1 0 obj << /Length 9 /Filter /FlateDecode >> stream\n" + stream + b"\nendstream endobj"
-    assert raw.pdf_text(pdf)[1] == "full" and raw.pdf_text(b"%PDF-1.4 /Subtype /Image") == ("", "scanned") and raw.pdf_text(b"x") == ("", "failed")
     assert raw.decode("政策".encode("gb18030")) == "政策" and raw.decode("é".encode("latin-1"), "latin-1") == "é"
 
 
+def test_titles_and_junk():
+    assert html.title_of(html.tree("<title>Rule_12 notice | Site</title>")) == "Rule_12 notice"
+    assert html.title_of(html.tree("<p class='title big'>no</p><p class='title'>yes</p><title>page</title>")) == "yes"
+    body = "正文。" * 100
+    page = html.tree(f"<div class='share-box'>{body}x</div><div class='pages_content'>{body}</div>")
+    assert html.body_of(page, ("div.share-box",)) == (body, "selector:div.pages_content")
+    assert html.plain_body("<html><body><p>x</p><pre>a  b\nc</pre></body></html>") == "a b\nc" and html.plain_body("a <b>c") == "a  c"
+
+
+def make_pdf(pages):
+    """A file of text pages and image pages (None), with a font map for texts beyond Latin."""
+    objects, last = {}, 2
+
+    def add(body):
+        nonlocal last
+        last += 1
+        objects[last] = body
+        return last
+
+    def stream(body, head=b""):
+        packed = zlib.compress(body)
+        return b"<< /Length %d /Filter /FlateDecode %s >>\nstream\n" % (len(packed), head) + packed + b"\nendstream"
+
+    kids = []
+    for text in pages:
+        if text is None:
+            image = add(b"<< /Type /XObject /Subtype /Image /Width 1 /Height 1 /Length 3 >>\nstream\n\0\0\0\nendstream")
+            own, content = b"<< /XObject << /Im1 %d 0 R >> >>" % image, b"q 400 0 0 600 72 72 cm /Im1 Do Q"
+        elif text.isascii():
+            font = add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")
+            own, content = b"<< /Font << /F1 %d 0 R >> >>" % font, b"BT /F1 12 Tf 72 720 Td (" + text.encode().replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj ET"
+        else:
+            codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(text))}
+            cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange %d beginbfchar " % len(codes) + b" ".join(b"<%04X> <%s>" % (i, c.encode("utf-16-be").hex().encode()) for c, i in codes.items()) + b" endbfchar"
+            font = add(b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode %d 0 R >>" % add(stream(cmap)))
+            own, content = b"<< /Font << /F1 %d 0 R >> >>" % font, b"BT /F1 12 Tf [<" + b"".join(b"%04X" % codes[c] for c in text) + b">] TJ ET"
+        kids.append(add(b"<< /Type /Page /Parent 2 0 R /Resources " + own + b" /Contents %d 0 R >>" % add(stream(content))))
+    objects[1], objects[2] = b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % k for k in kids) + b"] >>"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % n + x + b"\nendobj\n" for n, x in objects.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf():
+    from evidentia.functions.pdf import pdf_text
+
+    text = "Policy (approved) requires records and quarterly reporting. " * 4
+    assert pdf_text(make_pdf([text])) == (text.strip(), "full") and pdf_text(make_pdf(["政策文件" * 30])) == ("政策文件" * 30, "full")
+    assert pdf_text(make_pdf([None, None])) == ("", "scanned") and pdf_text(make_pdf([""])) == ("", "failed")
+    assert [pdf_text(make_pdf(x))[1] for x in ([text, None], [None, text])] == ["partial", "partial"]
+    assert [pdf_text(make_pdf(["x" * n]))[1] for n in (1, 99, 100, 101)] == ["partial", "partial", "full", "full"]
+    fake = b"%PDF-1.4\n1 0 obj\n<< /Subtype /Image >>\nstream\nBT (" + b"False policy text. " * 20 + b") Tj ET\nendstream\nendobj\n%%EOF\n"
+    assert all(pdf_text(x) == ("", "failed") for x in (fake, make_pdf([text])[:200], b"%PDF-1.4 /Subtype /Image", b"<html>", None))
+
+
 def test_snapshots(spark, tmp_path):
     rows = spark.createDataFrame([(1, "u", "s", "a/b c", "t", "正文", dt.date(2024, 3, 1), None, "full")], "arrival long, url string, source string, source_key string, title string, text string, pub_date date, first_seen date, fetch_status string")
     for _ in range(2):
         snapshots.append(rows, str(tmp_path))
     kept = spark.read.parquet(str(tmp_path / "snapshots"))
-    assert kept.count() == 2 and kept.select("snapshot_id").distinct().count() == 1 and kept.first().source_dir == "a_b_c"
+    # The same acquisition gets the same path, whichever task writes it; another arrival another one.
+    assert kept.count() == 2 and kept.select("snapshot_path").distinct().count() == 1 and kept.first().source_dir == "a_b_c"
+    assert snapshots.with_paths(rows.withColumn("arrival", F.lit(2))).first().snapshot_path != kept.first().snapshot_path
+    assert ledger.index_entry(rows.withColumn("text", F.lit("\u200b ")).withColumn("article_id", F.lit(1))).first().content_hash == ""
     index = rows.select("url", "title")
     assert snapshots.load_index(spark, str(tmp_path), index.schema).count() == 0
     snapshots.swap_index(index, str(tmp_path))
     assert snapshots.load_index(spark, str(tmp_path), index.schema).count() == 1
+    with pytest.raises(ValueError, match="more than one"):
+        snapshots.swap_index(index.union(index), str(tmp_path))
+    assert snapshots.load_index(spark, str(tmp_path), index.schema).count() == 1
+    (tmp_path / "index.json").write_text("{broken")
+    with pytest.raises(ValueError, match="broken"):
+        snapshots.swap_index(index, str(tmp_path))
     assert snapshots.is_contained("snapshots/x", str(tmp_path)) and not any(snapshots.is_contained(p, str(tmp_path)) for p in ("/etc", "..\\x", "a/../../x", "C:\\x", ""))
 
 
@@ -262,15 +403,16 @@ def test_claims_file(tmp_path):
 def test_ledger_stream(spark, tmp_path):
     from evidentia.streaming import ledger as kept
 
-    schema = "article_id long, arrival long, url string, text string, fetch_status string, first_seen date, fetched_at timestamp"
+    schema = "article_id long, arrival long, url string, source string, source_key string, pub_date date, text string, fetch_status string, first_seen date, fetched_at timestamp"
     for day, body in ((1, "甲"), (2, "乙"), (3, "乙")):
-        spark.createDataFrame([(1, day, "u", body, "full", dt.date(2024, 1, day), dt.datetime(2024, 1, day))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([(1, day, "u", "s", "s", None, body, "full", dt.date(2024, 1, day), dt.datetime(2024, 1, day))], schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         q = kept.keep(stream, str(tmp_path), str(tmp_path / "ck"))
         q.processAllAvailable()
         q.stop()
-    row = snapshots.load_index(spark, str(tmp_path), kept.SCHEMA).first()
-    assert row.first_seen == dt.date(2024, 1, 1) and len(row.history) == 1 and row.fetched_at == dt.datetime(2024, 1, 3)
+    row = kept.read(spark, str(tmp_path)).first()
+    assert row.first_seen == dt.date(2024, 1, 1) and len(row.history) == 2 and row.fetched_at == dt.datetime(2024, 1, 3)
+    assert len(list((tmp_path / "ledger").glob("part=*/version=*"))) == 1  # only the partition that was touched, only its last version
 
 
 def _articles(spark, tmp_path, rows, schema):
@@ -297,15 +439,49 @@ def test_upsert_folds_every_version(spark, tmp_path):
     from evidentia.plans.queries import QUERIES
 
     day = lambda n: dt.date(2025, 1, n)
-    rows = [(i, "http://h.example/a", x, s, day(9 - i), dt.datetime(2025, 1, i + 1)) for i, (x, s) in enumerate([("x", "partial"), ("x", "full"), ("y", "blocked"), ("x", "full"), ("z", "partial")])]
-    rows.append((9, "http://h.example/b", "q", "full", day(3), dt.datetime(2025, 1, 1)))
-    schema = "arrival long, url string, text string, fetch_status string, first_seen date, fetched_at timestamp"
+    rows = [(i, "http://h.example/a", "s", "s", None, x, s, day(9 - i), dt.datetime(2025, 1, i + 1)) for i, (x, s) in enumerate([("x", "partial"), ("x", "full"), ("y", "blocked"), ("x", "full"), ("z", "partial")])]
+    rows.append((9, "http://h.example/b", "s", "s", None, "q", "full", day(3), dt.datetime(2025, 1, 1)))
+    schema = "arrival long, url string, source string, source_key string, pub_date date, text string, fetch_status string, first_seen date, fetched_at timestamp"
     d = _articles(spark, tmp_path, rows, schema)
     got = {(r.url[-1], r.fetch_status, r.first_seen, r.n_history) for r in QUERIES["snk04_upsert"](spark, d).collect()}
-    assert got == {("a", "partial", day(5), 3), ("b", "full", day(3), 0)}
-    one = spark.createDataFrame(rows, schema).withColumnRenamed("text", "snapshot_id")
-    batches = one.withColumn("history", F.array().cast("array<struct<snapshot_id:string,fetch_status:string,fetched_at:timestamp>>"))
+    assert got == {("a", "partial", day(5), 4), ("b", "full", day(3), 0)}
+    one = snapshots.with_paths(spark.createDataFrame(rows, schema)).select("arrival", "url", "snapshot_id", "snapshot_path", "fetch_status", "content_hash", "first_seen", "fetched_at")
+    batches = one.withColumn("history", F.array().cast(ledger.HISTORY))
     want = batches.where("arrival = 9").drop("arrival")
     for i in range(5):
         want = ledger.upserted(want, batches.where(F.col("arrival") == i).drop("arrival"))
     assert sorted(map(tuple, ledger.folded(one).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_run_over_captures(spark, tmp_path, capsys):
+    """Registry, listing, details, identity, ledger, archive and summary in one call, twice."""
+    import hashlib
+    import json
+
+    from evidentia.__main__ import main
+
+    url = lambda i: f"https://h.example/doc/{i}.html"
+    name = lambda i: hashlib.sha256(url(i).encode()).hexdigest()[:16]
+    body = "<p>" + "第一条　应当报送材料。" * 30 + "</p>"
+    files = {
+        "a/listing/1.html": "".join(f"<a href='{url(i)}'>关于事项{i}的通知全文</a>" for i in (1, 2, 3)),
+        "b/listing/1.json": json.dumps({"rows": [{"t": "另一个来源的通知", "u": "https://b.example/doc/9"}]}),
+        f"a/detail/html/{name(1)}": f"<div class='article'>{body}</div>",
+        f"a/detail/api/{name(2)}": json.dumps({"data": {"docTitle": "关于事项2的通知全文", "docClob": body.replace("报送", "提交")}}),
+    }
+    for path, text in files.items():
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text(text, encoding="utf-8")
+    config = {"sources": [{"key": "a", "listing": {"url": "https://h.example/"}}, {"key": "b", "type": "json_get", "listing": {"url": "https://b.example/"}, "extract": {"records_path": "rows", "title_field": "t", "link_field": "u"}, "detail": {"mode": "blocked", "blocked_reason": "closed"}}]}
+    (tmp_path / "c.json").write_text(json.dumps(config), encoding="utf-8")
+    told = []
+    for _ in range(2):
+        assert main(["collect", "--config", str(tmp_path / "c.json"), "--captured", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--json"]) == 0
+        told.append(json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    assert (told[0]["listed"], told[0]["kept"], told[0]["full"], told[0]["total"]) == (4, 4, 2, 4) and told[1]["total"] == 4
+    from evidentia.streaming.ledger import SCHEMA
+
+    rows = {r.url: r for r in snapshots.load_index(spark, str(tmp_path / "out"), SCHEMA).collect()}
+    assert rows[url(1)].fetch_status == rows[url(2)].fetch_status == "full" and rows["https://b.example/doc/9"].fetch_status == rows[url(3)].fetch_status == "blocked"
+    assert all(len(r.history) == 1 for r in rows.values()) and spark.read.parquet(str(tmp_path / "out" / "snapshots")).count() == 8
+    assert main(["plan", "--config", str(tmp_path / "c.json"), "--contact", "you@example.com"]) == 2 and main(["doctor", "--config", str(tmp_path / "c.json")]) == 0
