@@ -109,6 +109,7 @@ _TITLE = re.compile(r"^(?!.{2,6}：)(?:(?:关于|《).{4,60}|.{6,60}(?:通知|
 _ODD = re.compile(r"[\x80-\x9f¡-¶¸-ÆÈ-ßð÷ø-ÿĀ-˿Ѐ-ӿ─-▟가-힣\ue000-\uf8ff\ufffd]")
 #: What stands where text was decoded wrongly: pairs of Western characters, lost, private, circled and phonetic ones.
 _GARBLED = re.compile(r"[ÃÂÐÑГВ├┬√‚][^\sA-Za-z0-9]|â€|[�\ue000-\uf8ff①-⓿ㄅ-ㄯ]")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[一-鿿]+")
 
@@ -155,12 +156,12 @@ def _short(line: str, tags: str) -> tuple[str, tuple[int, ...]]:
 
 def _features(line: str, tags: str) -> tuple[str, tuple[int, ...]]:
     shape = coarse(line)
-    out = [f"c={shape}", f"t={tags}", f"l={min(9, len(line) // 12)}", f"e={line[-1:] if line[-1:] in '。.：:；;）)℃次' else ''}", f"s={min(4, len(_SEPARATOR.findall(line)))}", f"d={min(4, sum(c.isdigit() for c in line) // 3)}", f"g={min(4, len(_ODD.findall(line)) * 8 // len(line))}"]
+    out = [f"c={shape}", f"t={tags}", f"l={min(9, len(line) // 12)}", f"e={line[-1:] if line[-1:] in '。.：:；;）)℃次' else ''}", f"s={min(4, len(_SEPARATOR.findall(line)))}", f"d={min(4, len(_DIGIT.findall(line)) // 3)}", f"g={min(4, len(_ODD.findall(line)) * 8 // len(line))}"]
     # Words and bigrams of the whole block, each once.
     seen = {f"w={w}" for w in _WORD.findall(line.lower()) if not _HAN.match(w)}
     for run in _HAN.findall(line):
         seen.update(f"b={run[i : i + 2]}" for i in range(len(run) - 1))
-    out += sorted(seen)
+    out += seen
     out += [f"f={line[:2]}", f"x={line}" if len(line) < 24 else "x"]
     return shape, tuple(map(_id, out))
 
