@@ -56,8 +56,8 @@ EXEMPLARS: dict[str, list[str]] = {
         "java.lang.NullPointerException at", "Warning: Undefined variable in on line", "Exception: connection timed out in module, step, trace",
         "The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.",
         "This site is down for maintenance until", "We will be back soon, the site is undergoing scheduled maintenance.",
-        "The gateway did not receive a timely response from the upstream server", "Gateway did not answer in time",
-        "The connection has timed out. The server took too long to respond.",
+        "The gateway did not receive a timely response from the upstream server", 
+        "The connection has timed out. The server took too long to respond.", "The gateway had no answer in time from upstream",
         "Access denied. You do not have permission to access this page or view this folder on this server.", "You are not authorized to view this page.",
         "Your session has expired. Please log in again. Please sign in again to continue.", "Please log in to view this content.",
         "Too many requests from your network address. Please slow down and retry after seconds.", "Checking your browser before accessing",
@@ -65,8 +65,8 @@ EXEMPLARS: dict[str, list[str]] = {
         "Please complete the security check to continue. Ray ID", "Loading, please wait", "The attachment could not be loaded: file or resource missing",
         "The document failed to load. File not found.", "您要查看的页面或内容不存在或已被删除", "抱歉，您要访问的页面找不到了", "您访问的网页地址有误，或已被移除、更名",
         "您访问的地址不存在，可能已被删除或更名，秒后自动返回首页", "秒后自动跳转到首页", "无法找到该页", "系统繁忙，请稍后再试", "系统异常，错误代码", "服务器内部错误", "服务器开小差了，请稍后重试", "网络异常，请刷新重试", "数据库连接超时，请联系管理员",
-        "请求超时，请重试", "网关超时，后端服务无响应", "后端服务器无响应，跟踪号", "服务暂不可用", "节点异常", "您没有权限访问该页面", "您无权访问该资源", "网页无法访问，请检查地址是否有误", "抱歉，您没有权限查看该栏目", "访问过于频繁，请稍后再试", "请完成安全验证后继续访问", "请完成滑块验证", "请输入验证码",
-        "正在进行安全检查，请勿关闭窗口", "登录已过期，请重新登录", "登录状态已失效，请重新登录后查看", "网站正在升级维护中，预计时恢复，请稍后访问", "系统维护升级中，暂停服务", "加载中，请稍候", "正文加载中", "数据加载失败，请重试", "附件加载失败：文件未找到",
+        "请求超时，请重试", "网关超时，后端服务无响应", "后端服务器无响应，跟踪号", "服务暂不可用", "节点异常", "您没有权限访问该页面", "您无权访问该资源", "网页无法访问，请检查地址是否有误", "对不起，当前账号没有权限查看此栏目", "访问过于频繁，请稍后再试", "请完成安全验证后继续访问", "请拖动滑块完成验证", "请输入验证码",
+        "正在进行安全检查，请勿关闭窗口", "登录已过期，请重新登录", "登录状态失效，需要重新登录后才能查看", "网站正在升级维护中，预计时恢复，请稍后访问", "系统维护升级中，暂停服务", "加载中，请稍候", "内容加载中，请稍候", "数据加载失败，请重试", "附件加载失败：文件未找到",
         "资源未找到，代码", "La page que vous cherchez est introuvable", "La page demandée n’existe pas ou a été déplacée. L’adresse ne correspond à aucun document.", "Erreur interne du serveur, code",
         "Service momentanément indisponible, veuillez réessayer plus tard", "Votre session a expiré, veuillez vous reconnecter",
         "Accès refusé. Vous n’avez pas l’autorisation de consulter cette page.", "Site en maintenance jusqu’à", "Chargement en cours, veuillez patienter",
@@ -80,22 +80,22 @@ EXEMPLARS: dict[str, list[str]] = {
         "Please enable JavaScript to view this page", "You need to enable JavaScript to run this app.", "JavaScript is required to view this site",
         "This site requires JavaScript. Your browser does not support scripts or has scripting switched off.",
         "JavaScript is disabled in your browser. Please turn on scripting and reload the page.", "Enable JavaScript and cookies to continue",
-        "Enable scripts to see the content below.", "This site needs script support.", "本网站需要启用 JavaScript 后才能继续浏览", "请在浏览器设置中启用脚本后刷新页面", "请打开浏览器的脚本支持功能后重新加载本页", "检测到您的浏览器已禁用脚本，请开启浏览器脚本功能", "您的浏览器不支持或已禁用脚本，部分内容无法显示",
-        "您的浏览器已禁用JavaScript，请启用后刷新", "本页面需要启用浏览器脚本才能查看附件内容", "事件编号", "Veuillez activer JavaScript pour afficher cette page",
-        "Activez les scripts dans votre navigateur pour lire le contenu", "Veuillez autoriser les scripts dans votre navigateur",
+        "Enable scripts to see the content below.", "This website needs JavaScript to work properly.", "本网站需要启用 JavaScript 后才能继续浏览", "请在浏览器设置中启用脚本后刷新页面", "请打开浏览器的脚本支持功能后重新加载本页", "检测到您的浏览器已禁用脚本，请开启浏览器脚本功能", "您的浏览器不支持脚本或脚本已被禁用，页面无法正常显示",
+        "您的浏览器已禁用JavaScript，请启用后刷新", "本页面需要启用浏览器脚本才能查看附件内容", "事件 ID，参考编号", "Veuillez activer JavaScript pour afficher cette page",
+        "Activez les scripts dans votre navigateur pour lire le contenu", "Merci d’autoriser l’exécution des scripts par votre navigateur",
         "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen", "Diese Seite benötigt JavaScript", "Schalten Sie Skripte in Ihrem Browser ein, um den Inhalt anzuzeigen",
     ],
     "clean": [
-        "In this section", "You are here: Home, News", "Vous êtes ici : Accueil", "Sie sind hier: Start", "当前位置：首页", "Was this page useful?", "You may also like", "The online form works only in a browser that has scripts enabled.", "À lire aussi", "Auch interessant", "Les plus consultés", "Ce texte n’a pas de valeur contractuelle", "Report an error on this page", "Share this page", "Print this page", "Related pages", "Back to top", "Skip to main content",
-        "This text is not legal advice", "This page was last updated", "See the section below", "Sign up for updates", 
+        "In this section", "You are here: Home, News", "Vous êtes ici : Accueil", "Sie sind hier: Start", "当前位置：首页", "Did you find this page helpful?", "You may also like", "The online form works only in a browser that has scripts enabled.", "À lire aussi", "Auch interessant", "Les plus consultés", "Ce texte n’a pas de valeur contractuelle", "Report an error on this page", "Share this page", "Print this page", "Related pages", "Back to top", "Skip to main content",
+        "This guidance does not constitute legal advice", "This page was last updated", "See the section below", "Sign up for updates", 
         "Cookie settings", "Where a portal shows the message page not found, the operator must repair the link within days.",
         "Firms must report an internal server error to the office within hours.", "Forms must not contain sample text or placeholders when they are filed.",
         "A site that requires scripts must offer an accessible version.", "An error in the return must be corrected.",
         "If two returns are late the office may appoint a reviewer.", "If the service is unavailable for more than hours, the firm must notify users.",
-        "The system will be down for maintenance on the date notified by the operator.", "Signaler une erreur sur cette page", 
+        "The system will be down for maintenance on the date notified by the operator.", "Une erreur sur cette page ? Signalez-la", 
         "Cette page vous a-t-elle été utile ?", "Toute erreur relevée est corrigée sous jours.", "Si le portail affiche page introuvable, l’opérateur corrige le lien.",
-        "Fehler auf dieser Seite melden", "Seite drucken", "War diese Seite hilfreich?",
-        "Zeigt das Portal Seite nicht gefunden an, behebt der Betreiber den Fehler.", "如发现页面错误，请点击此处反馈", "本页内容是否有帮助", "打印本页", 
+        "Haben Sie einen Fehler auf dieser Seite gefunden?", "Seite drucken", "War diese Seite hilfreich?",
+        "Zeigt das Portal Seite nicht gefunden an, behebt der Betreiber den Fehler.", "发现本页内容有误，请反馈给我们", "本页内容是否有帮助", "打印本页", 
         "门户提示页面不存在的，运营单位应当及时修复。", "系统中断超过小时的，应当报告。", "系统出现服务器内部错误的，应当在日内书面说明。", "登录系统后填写申请表。", "不得以示例文字代替正文。", "网站要求启用脚本的，应当提供替代方式。", "本网站使用 Cookie，继续浏览即表示同意", 
         "请登录系统提交材料", 
     ],
