@@ -48,7 +48,16 @@ def interleaved(df: DataFrame, by: str = "source_key", order: str = "arrival") -
 
 
 def queue(df: DataFrame, budget: int, by: str = "source_key", order: str = "arrival", eligible: Column | None = None) -> DataFrame:
-    """The first `budget` eligible items in turn; only eligible items use the budget up."""
-    rows = interleaved(df, by, order)
-    rows = rows.where(eligible) if eligible is not None else rows
-    return rows.orderBy("turn", by, order).limit(budget)
+    """The first `budget` eligible items in turn; only eligible items use the budget up.
+
+    No source can give more than its first `budget` eligible items, which a group limit finds before the shuffle; turns are counted
+    only up to the last of them.
+    """
+    from evidentia.session import small
+
+    if eligible is None:
+        rows = interleaved(cap(df, by, budget, order), by, order)
+        return rows.orderBy("turn", by, order).limit(budget)
+    last = cap(df.where(eligible), by, budget, order).groupBy(F.col(by).alias("_by")).agg(F.max(order).alias("_last"))
+    early = df.join(small(last), F.col(by) == F.col("_by")).where(F.col(order) <= F.col("_last")).drop("_by", "_last")
+    return interleaved(early, by, order).where(eligible).orderBy("turn", by, order).limit(budget)

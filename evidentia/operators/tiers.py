@@ -58,6 +58,35 @@ def from_pdf(captured: DataFrame, content: str = "content") -> DataFrame:
     return rows.select("article_id", F.lit("pdf").alias("tier"), F.lit("").alias("page"), documents.halved(F.col("x.text")).alias("text"), none.alias("title"), none.alias("date"), none.alias("docno"), F.concat(F.lit("pdf:"), "x.method").alias("method"))
 
 
+def from_render(urls: DataFrame, command: list[str], timeout: int = 90) -> DataFrame:
+    """Pages (article_id, url) that an external renderer writes for a URL; off unless a command is given.
+
+    The command gets the URL as its last argument and answers on its standard output; one that fails or takes too long gives no row.
+    """
+    import subprocess
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pages = [], []
+            for i, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not str(url).startswith(("http://", "https://")):
+                    continue
+                try:
+                    done = subprocess.run([*command, url], capture_output=True, timeout=timeout, check=True)
+                except (OSError, subprocess.SubprocessError):
+                    continue
+                ids.append(i)
+                pages.append(done.stdout.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(pages, pa.string())], names=["article_id", "payload"])
+
+    kind = urls.schema["article_id"].dataType.simpleString()
+    rows = from_html(urls.select("article_id", "url").mapInArrow(run, f"article_id {kind}, payload string"))
+    return rows.withColumns({"tier": F.lit("render"), "method": F.lit("render")})
+
+
 def judged(candidates: DataFrame, least: int = 200, most: int = 0) -> DataFrame:
     """Adds status and the parts found in the text. Heuristic bodies are at best partial; scanned and failed PDF files say so."""
     candidates = candidates.withColumn("_status", documents.status(F.col("page"), F.col("text"), least, most))

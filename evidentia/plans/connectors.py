@@ -181,3 +181,53 @@ def str06(spark, d):
     rows = table(spark, d, "article").where("docno <> ''").where(~F.col("docno").rlike("[<&]")).where(F.regexp_replace("docno", edges, "") != "")
     page = F.concat(F.lit("<html><body><pre>"), "docno", F.lit("</pre><p>x</p></body></html>"))
     return rows.select("arrival", html.plain(page).alias("body"))
+
+
+# Requests against a tape that the log of attempts stands for: its tries by route and number
+
+_TRIES = """(SELECT *, sum(CASE WHEN coalesce(status IN (200, 403, 404, 410), false) THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM (
+SELECT concat(article_id, '/', request_id) AS request_id, attempt_id, status, chars, row_number() OVER (PARTITION BY article_id, request_id ORDER BY attempt_id) AS place FROM (SELECT DISTINCT attempt_id, article_id, request_id, status, chars FROM attempt WHERE article_id IS NOT NULL AND request_id IS NOT NULL)) WHERE place <= 6)"""
+
+
+def _taped(spark, d):
+    from pyspark.sql import Window
+
+    from evidentia.operators import requests
+
+    rows = table(spark, d, "attempt").where("article_id is not null and request_id is not null").select("attempt_id", "article_id", F.col("request_id").alias("r"), "status", "chars", "error", "elapsed_ms").distinct()
+    own = F.concat_ws("/", F.col("article_id").cast("string"), F.col("r").cast("string"))
+    place = F.row_number().over(Window.partitionBy("article_id", "r").orderBy("attempt_id")) - 1
+    tape = rows.dropDuplicates(["attempt_id"]).withColumns({"url": own, "_p": place}).where("_p < 6").select("url", F.when(F.col("_p") < 3, "proxy").otherwise("direct").alias("route"), (F.col("_p") % 3).alias("try_no"), "status", "chars", "error", "elapsed_ms")
+    asked = tape.select("url").distinct().select(F.col("url").alias("request_id"), "url", F.lit("html").alias("tier"))
+    return requests.tries(asked, tape, limit=1 << 40)
+
+
+@query("src09_tries", f"SELECT request_id, CAST(place AS BIGINT) AS place, status FROM {_TRIES} WHERE coalesce(done, 0) = 0")
+def src09(spark, d):
+    return _taped(spark, d).select("request_id", F.col("place").cast("long").alias("place"), "status")
+
+
+@query("src09_outcomes", f"SELECT request_id, max(CASE WHEN status IN (200, 403, 404, 410) THEN status END) AS status, count(*) AS tries FROM {_TRIES} WHERE coalesce(done, 0) = 0 GROUP BY 1")
+def src09_outcomes(spark, d):
+    from evidentia.operators import requests
+
+    return requests.outcomes(_taped(spark, d)).select("request_id", "status", "tries")
+
+
+@query("src07_kinds", "SELECT url, CASE WHEN max(fetch_status) = 'scanned_pdf' THEN 'pdf' WHEN max(fetch_status) IN ('full', 'partial') THEN 'json' ELSE 'text' END AS kind FROM article WHERE url <> '' GROUP BY 1")
+def src07(spark, d):
+    """Captures that are sniffed: PDF bytes, JSON and plain text, several of one URL."""
+    from evidentia.operators import attempts
+
+    rows = table(spark, d, "article").where("url <> ''").groupBy("url").agg(F.max("fetch_status").alias("s"))
+    body = F.when(F.col("s") == "scanned_pdf", F.lit("\n%PDF-1.4 x")).when(F.col("s").isin("full", "partial"), F.to_json(F.struct("url"))).otherwise(F.lit("plain words"))
+    both = rows.select("url", F.lit("a").alias("path"), F.encode(body, "UTF-8").alias("content")).unionByName(rows.select("url", F.lit("b").alias("path"), F.encode(F.lit("later"), "UTF-8").alias("content")))
+    return attempts.documents(both).select("url", "kind")
+
+
+@query("flt16_listing_failures", "SELECT DISTINCT source_key, url, right(coalesce(error, ''), 500) AS error FROM attempt a WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM attempt g WHERE g.ok AND g.request_id = a.request_id AND g.article_id = a.article_id) UNION SELECT source_key, url, 'not JSON' FROM article WHERE fetch_status = 'blocked'")
+def flt16(spark, d):
+    from evidentia.operators import attempts
+
+    answers = table(spark, d, "article").select("source_key", "url", F.when(F.col("fetch_status") == "blocked", F.lit("<html>no</html>")).otherwise(F.to_json(F.struct("arrival"))).alias("payload"))
+    return attempts.listing_failures(table(spark, d, "attempt"), answers)

@@ -485,3 +485,50 @@ def test_a_run_over_captures(spark, tmp_path, capsys):
     assert rows[url(1)].fetch_status == rows[url(2)].fetch_status == "full" and rows["https://b.example/doc/9"].fetch_status == rows[url(3)].fetch_status == "blocked"
     assert all(len(r.history) == 1 for r in rows.values()) and spark.read.parquet(str(tmp_path / "out" / "snapshots")).count() == 8
     assert main(["plan", "--config", str(tmp_path / "c.json"), "--contact", "you@example.com"]) == 2 and main(["doctor", "--config", str(tmp_path / "c.json")]) == 0
+
+
+def test_requests_against_a_tape(spark):
+    from evidentia.operators import requests
+
+    tape = [("u1", "proxy", 0, 500, 10, ""), ("u1", "proxy", 1, None, None, "SSL handshake"), ("u1", "proxy", 2, 502, 0, ""), ("u1", "direct", 0, 200, 5, ""), ("u1", "direct", 1, 200, 5, ""), ("u2", "proxy", 0, 404, 3, ""), ("u2", "direct", 0, 200, 9, ""), ("u3", "proxy", 0, 200, 99, ""), ("u3", "direct", 0, 200, 9, ""), ("u4", "proxy", 0, None, None, "x" * 400), ("u4", "proxy", 3, 200, 9, "")]
+    tape = spark.createDataFrame([(*x, 100) for x in tape], "url string, route string, try_no int, status int, chars int, error string, elapsed_ms int")
+    asked = spark.createDataFrame([(i, f"u{i}", "html") for i in (1, 2, 3, 4)], "request_id int, url string, tier string")
+    log = requests.tries(asked, tape, limit=50)
+    rows = [(r.request_id, r.place, r.tier, r.ok, r.wait_ms) for r in log.orderBy("request_id", "place").collect()]
+    assert rows == [(1, 1, "html:proxy", False, 1200), (1, 2, "html:proxy", False, 2400), (1, 3, "html:proxy", False, 0), (1, 4, "html:direct", True, 0), (2, 1, "html:proxy", False, 0), (3, 1, "html:proxy", False, 0), (4, 1, "html:proxy", False, 1200)]
+    assert {r.request_id: (r.status, r.tries) for r in requests.outcomes(log).collect()} == {1: (200, 4), 2: (404, 1), 3: (None, 1), 4: (None, 1)}
+    assert {(r.request_id, r.note) for r in requests.transport_notes(log).collect()} == {(1, "TLS failed at the proxy"), (1, "direct after the proxy failed")}
+    starts = [r.starts_ms for r in requests.paced(log, F.lit("h")).orderBy("request_id", "place").collect()]
+    assert starts[:3] == [0, 1300, 3800] and all(b - a >= 800 for a, b in zip(starts, starts[1:], strict=False))
+    assert max(len(r.error or "") for r in log.collect()) == 300
+
+
+def test_renderer(spark):
+    from evidentia.operators import tiers
+
+    urls = spark.createDataFrame([(1, "https://h.example/1"), (2, "--flag")], "article_id long, url string")
+    rows = tiers.from_render(urls, ["echo", "<div class='article'>" + "正文。" * 100 + "</div>"]).collect()
+    assert [(r.article_id, r.tier) for r in rows] == [(1, "render")] and rows[0].text.startswith("正文。")
+    assert tiers.from_render(urls, ["/no/such/command"]).count() == 0
+
+
+def test_grading_of_a_submission(spark, tmp_path):
+    import json
+
+    from evidentia.operators import grading
+
+    (tmp_path / "spec.json").write_text(json.dumps({"evals": [{"id": 1, "kind": "analysis", "expectations": ["a", "b"]}, {"id": 2, "kind": "retrieval"}]}))
+    cases = grading.read_cases(spark, str(tmp_path / "spec.json"))
+    blank = grading.template(cases)
+    assert [(c["id"], len(c["reviews"])) for c in blank["cases"]] == [(1, 2)]
+    text = "补贴500万元。"
+    (tmp_path / "r.md").write_text(text, encoding="utf-8")
+    (tmp_path / "c.json").write_text(json.dumps({"schema_version": 1, "claims": [{"id": "a", "text": text, "kind": "fact", "importance": "core", "evidence": [URL_A]}]}), encoding="utf-8")
+    spark.createDataFrame([(1, 1, URL_A, "s", None, None, text, "full", "L1", dt.datetime(2024, 1, 1))], ARTICLE).write.parquet(str(tmp_path / "e.parquet"))
+    done = blank | {"producer": "Ann", "reviewer": "Bo"}
+    done["cases"][0] |= {"report": "r.md", "claims": "c.json", "evidence": "e.parquet", "reviews": [{"expectation": i, "pass": True, "rationale": "x"} for i in (1, 2)]}
+    (tmp_path / "s.json").write_text(json.dumps(done))
+    assert grading.grade(spark, cases, str(tmp_path / "s.json")) == {"ok": True, "completed": [1], "complaints": []}
+    done["cases"][0]["claims"] = "../c.json"
+    (tmp_path / "s.json").write_text(json.dumps(done))
+    assert grading.grade(spark, cases, str(tmp_path / "s.json"))["complaints"] == [(1, "claims lies outside")]

@@ -32,7 +32,7 @@ def test_plan(spark, name, holds, lacks):
 def test_no_cartesian_products(spark):
     from evidentia.plans.queries import QUERIES
 
-    lazy = ["jn01_article_source", "jn02_first_seen", "jn04_claim_evidence", "aud_c2_quotes", "aud_c3_tokens", "aud_c4_strength", "agg13_core_coverage", "set05_unknown_citations", "snk04_upsert", "win05_versions"]
+    lazy = ["jn01_article_source", "jn02_first_seen", "jn04_claim_evidence", "aud_c2_quotes", "aud_c3_tokens", "aud_c4_strength", "agg13_core_coverage", "set05_unknown_citations", "snk04_upsert", "win05_versions", "aud_c4_gates", "aud_c5a_uncovered", "aud_c5b_uncited", "aud_c5c_foreign", "jn03_unknown_links", "lim02_fetch_queue", "src09_tries", "prj12_upgrade", "win04_best_outcome", "agg08_claims", "doc07_claim_changes", "src17_snapshot_texts", "agg06_citations", "src03_first_list", "prj05_template_fields", "cls10_open"]
     for name in lazy:
         text = plan(QUERIES[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
