@@ -125,6 +125,8 @@ _PASSAGE = re.compile(r"(?:[^。！？!?；;\n.…]|\.(?=\S))+")
 _TERM = re.compile(r"[A-Za-zÀ-ɏ]+|[一-鿿]+")
 #: The longest unit whose repetition is looked for, and the characters that lost bytes repeat.
 _UNIT, _LOST = 12, frozenset("锟斤拷烫屯葺")
+#: What ends a passage around a repetition.
+_ENDS = "\n。！？!?；;…"
 
 
 def bare(text: str) -> str:
@@ -149,16 +151,20 @@ def terms(passage: str) -> set[str]:
     return out
 
 
-def repeats(text: str) -> bool:
-    """Whether a unit of 2 to _UNIT letters stands three times in a row."""
+def repeats(text: str, share: float = 0.5) -> bool:
+    """Whether a unit of 2 to _UNIT letters stands three times or more in a row and so fills at least `share` of its passage."""
     c = codes(text)
     for p in range(2, _UNIT + 1):
         breaks = np.flatnonzero(c[p:] != c[:-p])
         ends = np.concatenate([[-1], breaks, [max(0, len(c) - p)]])
         for i in np.flatnonzero(np.diff(ends) > 2 * p):
-            unit = text[ends[i] + 1 : ends[i] + 1 + p]
+            start, stop = int(ends[i]) + 1, int(ends[i + 1]) + p
+            unit = text[start : start + p]
             if unit.isalpha() and len(set(unit)) > 1 and _LOST.isdisjoint(unit):
-                return True
+                left = max(text.rfind(x, 0, start) for x in _ENDS) + 1
+                right = min((at for x in _ENDS if (at := text.find(x, stop)) >= 0), default=len(text))
+                if stop - start >= share * len(text[left:right].strip()):
+                    return True
     return False
 
 
