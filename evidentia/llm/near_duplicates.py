@@ -284,27 +284,49 @@ def _shared_probes(classes: DataFrame, parts: list[list[int]], thresholds: list[
     return rows.groupBy("probe").agg(F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"), F.sum(F.coalesce("n", F.lit(1))).alias("n")).where("n > 1")
 
 
+#: Words of 64 bits in the bit map that lets probes through which others share: 4 MB, whatever the corpus.
+WORDS = 1 << 19
+
+
+def _bit_map(probes: DataFrame) -> np.ndarray:
+    """A bit map of probes. It may let others through, which the join after it drops; it has a fixed size."""
+    word, bit = F.expr(f"cast(shiftrightunsigned(probe, 6) & {WORDS - 1} as int)"), F.expr("shiftleft(1L, cast(probe & 63 as int))")
+    out = np.zeros(WORDS, np.uint64)
+    for w, bits in probes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b")).collect():  # WORDS rows at most
+        out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
     """Pairs of classes that share a probe and whose sketches and signatures are close."""
     from pyspark.sql.types import StructType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0)], names=["probe", "c"])
+    def probes(wanted: DataFrame) -> DataFrame:
+        """probe, c of the wanted probes."""
+        passing = classes.sparkSession.sparkContext.broadcast(_bit_map(wanted))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = passing.value
+            for b in batches:
+                if b.num_rows:
+                    c = b.column(0).to_numpy()
+                    for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
+                        on = (bits[(h >> np.uint64(6)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+                        if on.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on])], names=["probe", "c"])
+
+        return classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, c long")).join(wanted, "probe", "left_semi")
 
-    probes = classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, c long"))
     shared = cut(_shared_probes(classes, parts, thresholds))
     # Nearly all shared probes have two classes: those are pairs already. The rest are looked up again.
     pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    many = shared.where(F.col("n").between(3, HOT)).select("probe")
+    many = cut(shared.where(F.col("n").between(3, HOT)).select("probe"))
     if not shared.where(F.col("n") > HOT).isEmpty():
         crowded = cut(shared.where(F.col("n") > HOT).select("probe"))
-        hot = cut(probes.join(small(crowded), "probe", "left_semi").select("c").distinct())
+        hot = cut(probes(crowded).select("c").distinct())
         pairs = pairs.unionByName(_hot_pairs(classes, hot, similarity, miss))
     if not many.isEmpty():
-        again = cut(probes.join(many, "probe", "left_semi"))
+        again = cut(probes(many))
         pairs = pairs.unionByName(again.alias("x").join(again.alias("y"), F.expr("x.probe = y.probe and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
     pairs = pairs.distinct()
     left = classes.select(F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))

@@ -231,8 +231,8 @@ c AS (SELECT t, row_number() OVER (ORDER BY t) AS c FROM (SELECT DISTINCT t FROM
 m AS (SELECT k, c FROM d JOIN c USING (t)),
 s AS (SELECT DISTINCT c, substr(t, p, 8) AS g FROM c, unnest(range(1, length(t) - 6)) AS r(p)),
 n AS (SELECT c, count(*) AS n FROM s GROUP BY 1),
-o AS (SELECT a.c AS x, b.c AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2),
-near AS (SELECT x, y FROM o JOIN n a ON a.c = x JOIN n b ON b.c = y WHERE both >= 0.7 * (a.n + b.n - both))
+o AS (SELECT a.c AS x, b.c AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2),
+near AS (SELECT x, y FROM o JOIN n a ON a.c = x JOIN n b ON b.c = y WHERE shared >= 0.7 * (a.n + b.n - shared))
 """
 P7_SQL = rf"""
 WITH {_NEAR}, pairs AS (SELECT a.k AS p, b.k AS q FROM near JOIN m a ON a.c = x JOIN m b ON b.c = y UNION ALL SELECT a.k, b.k FROM m a JOIN m b ON a.c = b.c)
