@@ -385,3 +385,27 @@ def test_a_letter_beyond_the_table_reaches_the_vocabulary(spark):
     trie = Trie()
     trie.add("settlement", 3)
     assert canonical("settleжent", trie) == "settlement" and canonical("sжttleжent", trie) == "sжttleжent"
+
+
+def test_paraphrased_leaks(spark):
+    """Labelled paraphrases: sentences in another order, one word in eight replaced, inside other text. Their recall is measured."""
+    from evidentia.llm.leakage import leaks
+
+    rng = random.Random(21)
+    items = [[sentence(rng, 14) for _ in range(4)] for _ in range(40)]
+
+    def reworded(text):
+        words = re.findall("|".join(WORDS), text)
+        return "".join(rng.choice(WORDS) if rng.random() < 0.125 else w for w in words) + "。"
+
+    docs = []
+    for i, parts in enumerate(items):
+        head = parts[:3]
+        rng.shuffle(head)
+        docs.append((i, "".join([sentence(rng, 30), *map(reworded, head), reworded(parts[3]), sentence(rng, 30)])))
+    docs += [(100 + i, "".join(sentence(rng, 14) for _ in range(6))) for i in range(100)]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, "".join(p)) for i, p in enumerate(items)], "item_id long, text string"), share=0.3)
+    pairs = {(r.doc_id, r.item_id) for r in found.collect()}
+    right = {(i, i) for i in range(40)}
+    print("paraphrases found", len(pairs & right), "of 40, wrong", len(pairs - right))
+    assert len(pairs & right) >= 32 and len(pairs - right) <= 2
