@@ -75,6 +75,12 @@ def blocked_by(html: Column, text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(hay, p, 0), F.lit("")) for p in BLOCKED])
 
 
+def is_blocked(html: Column, text: Column) -> Column:
+    """Whether anything marks the page as blocked: one scan; which mark it is, blocked_by() tells."""
+    hay = F.concat(F.left(html, F.lit(4000)), F.lit("\n"), F.left(text, F.lit(2000)))
+    return hay.rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in BLOCKED))
+
+
 def is_shell(html: Column, text: Column) -> Column:
     return (F.length(text) < 200) & F.left(html, F.lit(20_000)).rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in SHELLS))
 
@@ -100,7 +106,5 @@ def is_navigation(text: Column, least: int = 200) -> Column:
 def status(html: Column, text: Column, least: int = 200, most: int = 0) -> Column:
     """blocked, listing_only, partial or full, the only verdict on how complete a body is."""
     html, text = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
-    hay = F.concat(F.left(html, F.lit(4000)), F.lit("\n"), F.left(text, F.lit(2000)))
-    blocked = hay.rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in BLOCKED))  # the mark itself is blocked_by()
-    out = F.when(blocked | is_shell(html, text), "blocked").when(F.length(text) < least, "listing_only").when(is_navigation(text, least), "listing_only")
+    out = F.when(is_blocked(html, text) | is_shell(html, text), "blocked").when(F.length(text) < least, "listing_only").when(is_navigation(text, least), "listing_only")
     return (out.when(F.length(text) >= most, "partial") if most else out).otherwise("full")

@@ -78,7 +78,7 @@ def cls01(spark, d):
     sources = table(spark, d, "source_registry").select("source_key", F.coalesce("min_body_chars", F.lit(200)).alias("least"))
     rows = spread(table(spark, d, "article")).join(sources, "source_key")
     body = F.coalesce("text", F.lit(""))
-    verdict = F.when(documents.blocked_by(F.lit(""), body).isNotNull(), "blocked").when(F.length(body) < F.col("least"), "listing_only")
+    verdict = F.when(documents.is_blocked(F.lit(""), body), "blocked").when(F.length(body) < F.col("least"), "listing_only")
     return rows.select("arrival", verdict.when(documents.is_navigation(body), "listing_only").otherwise("full").alias("status"))
 
 
