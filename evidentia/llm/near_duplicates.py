@@ -9,8 +9,9 @@
    sketches. Dynamic programming picks thresholds with the fewest candidates and probes whose joint chance of missing a pair
    right at the similarity threshold stays under `miss`. By the pigeonhole principle a pair that differs in no more than
    sum(t + 1) - 1 positions is always found, and the chance of a miss falls fast above the threshold.
-4. Probes are all ways of leaving t symbols out. Pairs of classes that share a probe are compared by 128-bit sketches, then by their
-   whole signatures, and what is left, hardly more than the result, by the exact sets of substrings.
+4. Probes are all ways of leaving t symbols out; partitions go in rounds, so that only one round's probes are on disk. Pairs of
+   classes that share a probe are compared by 128-bit sketches where they meet, before they are written; then by a byte
+   of each symbol, and what is left, hardly more than the result, by the exact sets of substrings.
    Classes of probes that more than HOT share (boilerplate) are paired otherwise: two that agree on at least m of all symbols
    share one of their POSITIONS - m + 1 rarest, so only these are joined, and boilerplate symbols, being frequent, come last.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from evidentia.frames import Columns, map_rows
 from evidentia.llm.grams import grams, mix, squeezed
-from evidentia.session import cut, small, spread
+from evidentia.session import cut, drop, release, small, spread
 
 PARTITION, PARTITIONS = 7, 24
 POSITIONS = PARTITION * PARTITIONS
@@ -46,8 +47,9 @@ BITS, COUNTERS, PROBE_COST = 4, 1024, 0.15
 #: The 128-bit sketches may differ in this many bits: at similarity 0.7 they do in 19 on average, with deviation 4.
 SKETCH_BITS = 35
 
-#: Probes that one task counts, about.
+#: Probes that one task counts, about; probes of a round, and pairs whose symbols are compared at once, where there are more.
 PROBES_A_TASK = 500_000
+ROUND, PAIRS = 40_000_000, 4_000_000
 #: Classes that may share a probe before its pairs are sought by their rarest symbols instead.
 HOT = 1_000
 
@@ -95,10 +97,12 @@ def _signed_docs(df: DataFrame, key: str, text: str, n: int, least: int) -> tupl
                 yield k, c, sig.tobytes(), int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
 
     signed = cut(map_rows(docs, run, f"k {kind}, c long, sig binary, s1 long, s2 long"))
-    members = signed.select("k", "c").distinct()
+    members = cut(signed.select("k", "c").distinct())
     # Rows of a class have equal texts, so any row's signature is the class's.
-    classes = signed.groupBy("c").agg(F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    return members, cut(classes)
+    classes = cut(signed.groupBy("c").agg(F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    drop(signed)
+    release(df.sparkSession)
+    return members, classes
 
 
 def _matrix(sigs: list[bytes]) -> np.ndarray:
@@ -250,8 +254,14 @@ def _hot_pairs(classes: DataFrame, hot: DataFrame, similarity: float, miss: floa
     counts = symbols.groupBy("symbol").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("c").orderBy("n", "symbol")  # a group is one signature
     prefix = symbols.join(counts, "symbol").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= POSITIONS - least_agreement(similarity, miss) + 1)
-    shared = cut(prefix.where("n > 1").select("c", "symbol"))
-    return shared.alias("x").join(shared.alias("y"), F.expr("x.symbol = y.symbol and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    shared = cut(prefix.where("n > 1").select("c", "symbol").join(classes.select("c", "s1", "s2"), "c"))
+    return _met(shared, "symbol")
+
+
+def _met(rows: DataFrame, by: str) -> DataFrame:
+    """Pairs of rows (c, s1, s2) that have a column in common and whose sketches are close; no other pair leaves its task."""
+    near = F.expr(f"x.{by} = y.{by} and x.c < y.c and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {SKETCH_BITS}")
+    return rows.alias("x").join(rows.alias("y"), near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
 def _all_probes(salted: np.ndarray, parts: list[list[int]], thresholds: list[int]) -> Iterator[np.ndarray]:
@@ -261,27 +271,21 @@ def _all_probes(salted: np.ndarray, parts: list[list[int]], thresholds: list[int
 
 
 def _shared_probes(classes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """probe, lo, hi, n of the probes that more than one class has. A batch sends one row a probe, so a crowd meets pre-counted;
-    the tasks are as many as the probes need, whatever their number. hi and n are NULL in the many rows of one class."""
+    """probe, n of the probes that more than one class has. A batch sends one row a probe, so a crowd meets pre-counted;
+    the tasks are as many as the probes need, whatever their number. n is NULL in the many rows of one class."""
     from pyspark.sql.types import StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            c = b.column(0).to_numpy()
-            for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
-                h = h.view(np.int64)
-                order = np.lexsort((c, h))
-                g, own = h[order], c[order]
-                first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                n = np.diff(np.append(first, len(g)))
-                one = n == 1
-                yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(own[first]), pa.array(own[first + n - 1], mask=one), pa.array(n, mask=one)], names=["probe", "lo", "hi", "n"])
+            for h in _all_probes(_salted(_matrix(b.column(0).to_pylist())), parts, thresholds):
+                g, n = np.unique(h.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n, mask=n == 1)], names=["probe", "n"])
 
     tasks = max(1, -(-classes.count() * sum(comb(PARTITION, t) for t in thresholds if t >= 0) // PROBES_A_TASK))
-    rows = classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, lo long, hi long, n long")).repartition(tasks, "probe")
-    return rows.groupBy("probe").agg(F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"), F.sum(F.coalesce("n", F.lit(1))).alias("n")).where("n > 1")
+    rows = classes.select("sig").mapInArrow(run, StructType.fromDDL("probe long, n long")).repartition(tasks, "probe")
+    return rows.groupBy("probe").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n")).where("n > 1")
 
 
 #: Words of 64 bits in the bit map that lets probes through which others share: 4 MB, whatever the corpus.
@@ -297,55 +301,97 @@ def _bit_map(probes: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
-    """Pairs of classes that share a probe and whose sketches and signatures are close."""
+def _round(classes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of classes that share a probe of these partitions and whose sketches are close; classes of crowded probes, if any."""
     from pyspark.sql.types import StructType
 
     def probes(wanted: DataFrame) -> DataFrame:
-        """probe, c of the wanted probes."""
+        """probe, c and sketch of the wanted probes."""
         passing = classes.sparkSession.sparkContext.broadcast(_bit_map(wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = passing.value
             for b in batches:
                 if b.num_rows:
-                    c = b.column(0).to_numpy()
+                    own = [b.column(i).to_numpy() for i in (0, 2, 3)]
                     for h in _all_probes(_salted(_matrix(b.column(1).to_pylist())), parts, thresholds):
                         on = (bits[(h >> np.uint64(6)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
                         if on.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on])], names=["probe", "c"])
+                            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), *(pa.array(x[on]) for x in own)], names=["probe", "c", "s1", "s2"])
 
-        return classes.select("c", "sig").mapInArrow(run, StructType.fromDDL("probe long, c long")).join(wanted, "probe", "left_semi")
+        return classes.select("c", "sig", "s1", "s2").mapInArrow(run, StructType.fromDDL("probe long, c long, s1 long, s2 long")).join(wanted, "probe", "left_semi")
 
-    shared = cut(_shared_probes(classes, parts, thresholds))
-    # Nearly all shared probes have two classes: those are pairs already. The rest are looked up again.
-    pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    many = cut(shared.where(F.col("n").between(3, HOT)).select("probe"))
+    shared, hot = cut(_shared_probes(classes, parts, thresholds)), None
     if not shared.where(F.col("n") > HOT).isEmpty():
-        crowded = cut(shared.where(F.col("n") > HOT).select("probe"))
-        hot = cut(probes(crowded).select("c").distinct())
-        pairs = pairs.unionByName(_hot_pairs(classes, hot, similarity, miss))
-    if not many.isEmpty():
-        again = cut(probes(many))
-        pairs = pairs.unionByName(again.alias("x").join(again.alias("y"), F.expr("x.probe = y.probe and x.c < y.c")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
-    pairs = pairs.distinct()
-    left = classes.select(F.col("c").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = classes.select(F.col("c").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    near = F.expr(f"bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {SKETCH_BITS}")
-    close = cut(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+        hot = cut(probes(cut(shared.where(F.col("n") > HOT).select("probe"))).select("c").distinct())
+    again = cut(probes(cut(shared.where(F.col("n") <= HOT).select("probe"))))
+    close = cut(_met(again, "probe").distinct())
+    drop(shared, again)
+    release(classes.sparkSession)
+    return close, hot
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _candidates(classes: DataFrame, parts: list[list[int]], thresholds: list[int], similarity: float, miss: float) -> DataFrame:
+    """Pairs of classes that share a probe and whose sketches and symbols are close."""
+    from pyspark.sql.types import StructType
+
+    used = sorted(((t, part) for part, t in zip(parts, thresholds, strict=True) if t >= 0), reverse=True)
+    total = classes.count() * sum(comb(PARTITION, t) for t, _ in used)
+    rounds = max(1, min(len(used), -(-total // ROUND)))
+    each = [_round(classes, [part for _, part in used[i::rounds]], [t for t, _ in used[i::rounds]]) for i in range(rounds)]
+    near = [pairs for pairs, _ in each]
+    if hot := [c for _, c in each if c is not None]:
+        near.append(_hot_pairs(classes, cut(_union(hot).distinct()), similarity, miss))
+    close = cut(_union(near).distinct())
     least = least_agreement(similarity, miss / 10)
 
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                byte = (_matrix(b.column(1).to_pylist()) & np.uint32(0xFF)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in byte], pa.binary())], names=["c", "sig"])
+
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                same = (_matrix(b.column(2).to_pylist()) == _matrix(b.column(3).to_pylist())).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same >= least))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
+    # Equal symbols have equal bytes, so no pair is lost; one symbol in 256 agrees by chance.
     ids = cut(close.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    wanted = cut(classes.select("c", "sig").join(small(ids), "c", "left_semi"))
+    wanted = cut(classes.select("c", "sig").mapInArrow(low, StructType.fromDDL("c long, sig binary")).join(small(ids), "c", "left_semi"))
+    release(classes.sparkSession)
     sig = lambda x: wanted.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"))
-    both = close.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-    return cut(both.mapInArrow(agree, StructType.fromDDL("a long, b long")))
+    rounds, out = max(1, -(-close.count() // PAIRS)), []
+    for i in range(rounds):
+        own = close.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i)
+        both = own.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
+        out.append(cut(both.mapInArrow(agree, StructType.fromDDL("a long, b long"))))
+        del own, both
+        release(classes.sparkSession)
+    return _union(out)
+
+
+def _passing(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts (k, t) of the chosen keys (k); others are dropped by a bit map first, so that the join moves few of them."""
+    passing = texts.sparkSession.sparkContext.broadcast(_bit_map(chosen.select(F.xxhash64("k").alias("probe"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = passing.value
+        for b in batches:
+            if b.num_rows:
+                h = b.column(2).to_numpy().view(np.uint64)
+                on = (bits[(h >> np.uint64(6)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+                yield b.select(["k", "t"]).filter(pa.array(on))
+
+    return texts.withColumn("h", F.xxhash64("k")).mapInArrow(run, texts.schema).join(chosen, "k", "left_semi")
 
 
 def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text", n: int = 8, similarity: float = 0.7, least: int = 400, miss: float = 1e-3) -> tuple[DataFrame, DataFrame]:
@@ -355,7 +401,7 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
     estimates, count = candidate_estimates(classes, parts)
     pairs = _candidates(classes, parts, allocate(estimates, max(1, count), similarity, miss), similarity, miss)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    chosen = cut(members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")))
+    chosen = cut(members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")).select("k").distinct())
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").where(F.length("t") >= least)
 
     def fold(batches: Iterator[Columns]) -> Iterator[tuple]:
@@ -365,8 +411,9 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
                 yield int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True), bare
 
     # A key may have several versions: the class is taken anew from the text.
-    bodies = map_rows(texts.join(chosen.select("k").distinct(), "k", "left_semi").select("t"), fold, "c long, t string")
+    bodies = map_rows(_passing(texts, chosen).select("t"), fold, "c long, t string")
     bodies = cut(bodies.join(wanted, "c", "left_semi").dropDuplicates(["c"]))
+    release(df.sparkSession)
     both = pairs.join(bodies.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(bodies.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
 
     def verify(batches: Iterator[Columns]) -> Iterator[tuple]:
@@ -387,7 +434,6 @@ def similar_classes(df: DataFrame, key: str = "article_id", text: str = "text",
 def near_duplicate_pairs(df: DataFrame, key: str = "article_id", text: str = "text", **how) -> DataFrame:
     """key_a < key_b for every pair of different keys with near-duplicate texts, copies expanded."""
     members, pairs = similar_classes(df, key, text, **how)
-    members = cut(members)
     across = pairs.select("a", "b").join(members.select(F.col("c").alias("a"), F.col("k").alias("x")), "a").join(members.select(F.col("c").alias("b"), F.col("k").alias("y")), "b").select("x", "y")
     within = members.alias("m").join(members.alias("o"), F.expr("m.c = o.c and m.k < o.k")).select(F.col("m.k").alias("x"), F.col("o.k").alias("y"))
     both = across.where("x <> y").unionByName(within)
@@ -399,7 +445,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "article_id", text: str = "t
     from evidentia.operators.components import components
 
     members, pairs = similar_classes(df, key, text, **how)
-    members, pairs = cut(members), cut(pairs)
+    pairs = cut(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     roots = components(pairs, "a", "b").select(F.col("node").alias("c"), F.col("component").alias("g"))
     grouped = members.join(roots, "c", "left").join(links, "c", "left").select("k", F.coalesce("g", "c").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() has written and that nothing will read again."""
+    for df in tables:
+        own = f"{run_dir(df.sparkSession)}/table-"
+        for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+            path, fs = _hadoop(df.sparkSession, folder)
+            if path.toUri().getPath().startswith(_hadoop(df.sparkSession, own)[0].toUri().getPath()):
+                fs.delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run and are held no longer; else they stay until its memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
     """Whether df has at most so many rows and bytes; looks at no more rows than that."""
     n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()

@@ -409,3 +409,23 @@ def test_paraphrased_leaks(spark):
     right = {(i, i) for i in range(40)}
     print("paraphrases found", len(pairs & right), "of 40, wrong", len(pairs - right))
     assert len(pairs & right) >= 32 and len(pairs - right) <= 2
+
+
+def test_near_duplicates_in_rounds_leave_little_on_disk(spark, monkeypatch):
+    """Partitions and pairs in many rounds give the same pairs, and of the signatures one table stays."""
+    import os
+
+    from evidentia.llm import near_duplicates as nd
+    from evidentia.session import run_dir
+
+    rng = random.Random(11)
+    rows = [(i, "".join(sentence(rng, 14) for _ in range(28))) for i in range(1500)]
+    rows += [(2000 + i, "甲乙丙丁" + t[:-20]) for i, t in rows[:40]]
+    df = spark.createDataFrame(rows, "article_id long, text string")
+    size = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, files in os.walk(run_dir(spark)) for x in files)
+    before = size()
+    got = {tuple(r) for r in nd.near_duplicate_pairs(df).collect()}
+    assert got == {(i, 2000 + i) for i in range(40)} and size() - before < 1.7 * 4 * nd.POSITIONS * len(rows)
+    monkeypatch.setattr(nd, "ROUND", 80_000)
+    monkeypatch.setattr(nd, "PAIRS", 20)
+    assert {tuple(r) for r in nd.near_duplicate_pairs(df).collect()} == got
