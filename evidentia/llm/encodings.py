@@ -351,6 +351,19 @@ def _scan(line: str, odd: set[str], table: Table) -> tuple[list[tuple[int, int,
     return found, word or taken > 1 or any("�" in x for _, _, x in found)
 
 
+def _lookups(line: str, odd: set[str]) -> set[str]:
+    """Every token that _scan() may look up in a line."""
+    out: set[str] = set()
+    for m in _SPACED.finditer(line):
+        if odd.isdisjoint(m.group()):
+            continue
+        out.add(m.group())
+        for i in range(m.start(), m.end()):
+            if line[i] > "\x7f":
+                out.update(x for size in SIZES if len(x := line[i : i + size]) == size and not odd.isdisjoint(x))
+    return out
+
+
 def repair(text: str, odd: set[str], table: Table) -> tuple[str, bool, bool]:
     """The text with originals put back, whether it was garbled, and whether all came back."""
     lines, garbled, whole = text.split("\n"), False, True
@@ -407,7 +420,8 @@ def repaired(df: DataFrame, row: str = "arrival", fields: tuple[str, ...] = ("ti
     def own(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
             for r, f, t, odd in zip(b["r"], b["f"], b["t"], b["rare"], strict=True):
-                for g in set().union(*(_line_tokens(x) for x in t.split("\n") if not set(odd).isdisjoint(x))):
+                chars = set(odd)
+                for g in set().union(*(_lookups(x, chars) for x in t.split("\n") if not chars.isdisjoint(x))):
                     yield r, f, g
 
     tokens = map_rows(suspects, own, f"r {kind}, f int, g string").join(found, "g").groupBy("r", "f").agg(F.collect_list(F.struct("g", "w", "chain", "lossy")).alias("own"))
@@ -415,11 +429,12 @@ def repaired(df: DataFrame, row: str = "arrival", fields: tuple[str, ...] = ("ti
     def apply(batches: Iterator[Columns]) -> Iterator[tuple]:
         for b in batches:
             for r, f, t, odd, mine in zip(b["r"], b["f"], b["t"], b["rare"], b["own"], strict=True):
-                text, garbled, whole = repair(t, set(odd), {x["g"]: (x["w"], x["chain"], x["lossy"]) for x in mine})
+                text, garbled, whole = repair(t, set(odd), {x["g"]: (x["w"], x["chain"], x["lossy"]) for x in mine or ()})
                 if garbled:
                     yield r, names[f], text, whole
 
-    return map_rows(suspects.join(tokens, ["r", "f"]), apply, f"`{row}` {kind}, field_name string, restored string, complete boolean")
+    # Lines that a chain brings back, or with lost bytes, need no match: a value without any stays.
+    return map_rows(suspects.join(tokens, ["r", "f"], "left"), apply, f"`{row}` {kind}, field_name string, restored string, complete boolean")
 
 
 def garbled_values(df: DataFrame, key: str = "article_id", row: str = "arrival", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:

@@ -429,3 +429,33 @@ def test_near_duplicates_in_rounds_leave_little_on_disk(spark, monkeypatch):
     monkeypatch.setattr(nd, "ROUND", 80_000)
     monkeypatch.setattr(nd, "PAIRS", 20)
     assert {tuple(r) for r in nd.near_duplicate_pairs(df).collect()} == got
+
+
+def test_garbled_values_are_the_same_joined_or_by_table(spark, monkeypatch):
+    """A token known from another value is found inside a longer one; values whose lines need no match, or hold lost bytes, stay."""
+    from evidentia.llm import encodings
+    from evidentia.llm.encodings import repaired
+
+    rows = [(i, i, "Titre", f"note {i} aé‘b et à é‘ ici") for i in range(60)]
+    bad = "é‘".encode().decode("cp1252")
+    rows += [(100, 100, "Titre", f"voir {bad} ici"), (101, 101, "Titre", f"voir x{bad}yz ici"), (102, 102, "Titre", "L’été à Genève".encode().decode("cp1252")), (103, 103, "Titre", "L\ufffdt\ufffd")]
+    df = spark.createDataFrame(rows, "article_id long, arrival long, title string, text string")
+    monkeypatch.setattr(encodings, "TABLE", 1_000_000)
+    table = sorted(map(tuple, repaired(df).collect()))
+    monkeypatch.setattr(encodings, "TABLE", 0)
+    assert sorted(map(tuple, repaired(df).collect())) == table and {102, 103} <= {r[0] for r in table}
+
+
+def test_joined_values_look_up_what_the_scan_does():
+    from evidentia.llm.encodings import _lookups, _scan
+
+    class Asked(dict):
+        def __contains__(self, x):
+            asked.add(x)
+            return False
+
+    for line in ("xÃ©bÃ z-â€™Ã©tat d’été", "中Ã©a文b 银行Ã¤", "ÃaÃbÃcÃ"):
+        asked: set[str] = set()
+        odd = set("Ã©¤€")
+        _scan(line, odd, Asked())
+        assert {x for x in asked if not odd.isdisjoint(x)} <= _lookups(line, odd)
