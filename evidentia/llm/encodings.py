@@ -16,10 +16,12 @@ told apart by the row column; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -53,7 +55,8 @@ FORMS = 300_000
 #: Matched tokens up to which they go to the tasks as a table; beyond it each value is joined with its own.
 TABLE = 300_000
 
-_TOKEN = re.compile(r"[!-~¡-ʯͰ-֏Ḁ-⃏]*[¡-ʯͰ-֏Ḁ-⃏][!-~¡-ʯͰ-֏Ḁ-⃏]*")
+#: Words with accented letters are those of its matches that are not ASCII.
+_TOKEN = re.compile(r"[!-~¡-ʯͰ-֏Ḁ-⃏]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SPACED = re.compile(r"[^\s　]*[^\x00-\x7f\s　][^\s　]*")
 
@@ -116,15 +119,42 @@ def _plain() -> frozenset[str]:
 PLAIN = _plain()
 #: What only lost bytes leave behind, alone or read once more.
 _LOST = re.compile("[\x80-\x84\x86-\x9f\ue000-\uf8ff�]|锟斤拷|斤拷锟|ï¿½")
-_ALL = [chr(c) for c in range(0x80, 0x10000)]
 #: What each set can be read as, and the chains that end with it; what GBK gives, GB 18030 gives too.
-_BACK = [
-    (read, None if read in ("gb18030", "utf-8") else frozenset(c for c in _ALL if _encode(c, read) is not None), [i for i, c in enumerate(CHAINS) if c[-1][1] == read])
-    for read in dict.fromkeys(c[-1][1] for c in CHAINS)
-    if read != "gbk"
-]
+_BACK = [(read, [i for i, c in enumerate(CHAINS) if c[-1][1] == read]) for read in dict.fromkeys(c[-1][1] for c in CHAINS) if read != "gbk"]
+_EVERY = (1 << len(_BACK)) - 1
 
 
+class _Sets(dict[str, int]):
+    """By character, the sets of _BACK (a bit each) that can write it so that its bytes pass a test; worked out when first asked."""
+
+    def __init__(self, test: Callable[[bytes], bool]) -> None:
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, char: str) -> int:
+        out = 0
+        for k, (read, _) in enumerate(_BACK):
+            data = _encode(char, read)
+            if data is not None and self.test(data):
+                out |= 1 << k
+        self[char] = out
+        return out
+
+
+def _begins(data: bytes) -> bool:
+    """Whether UTF-8 text can begin with the bytes."""
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(data)
+    except UnicodeError:
+        return False
+    return True
+
+
+#: Sets that have a character; sets in which a run of UTF-8 bytes, read so, can begin and end with it.
+_KNOWN, _BEGIN, _END = _Sets(lambda data: True), _Sets(_begins), _Sets(lambda data: data[-1] < 0xC0)
+
+
+@lru_cache(1 << 15)  # lines repeat, and the same ones are asked for in each pass
 def unread(line: str) -> int | None:
     """The chain that left the line as it is, if its inverse gives plain text and the line is none; by the standards alone.
 
@@ -132,13 +162,25 @@ def unread(line: str) -> int | None:
     of these not plain: a word of look-alikes is none.
     """
     runs = _RUN.findall(line)
+    if not runs or len(runs) == 1 and len(runs[0]) < 2:
+        return None
+    utf8 = _EVERY
+    for run in runs:
+        utf8 &= _BEGIN[run[0]] & _END[run[-1]]
+        if not utf8:
+            break
+    # Lines that are not strange can only have been UTF-8.
     other = "".join(runs)
-    if len(other) < 2:
+    strange = len(other) * 2 >= len(line) and not PLAIN.issuperset(other) and max(map(len, runs)) >= 4 and sum(c not in PLAIN for c in other) * 4 >= len(other)
+    if not strange and not utf8:
         return None
-    chars = set(other)
-    strange = max(map(len, runs)) >= 4 and len(other) * 2 >= len(line) and not PLAIN.issuperset(chars) and sum(c not in PLAIN for c in other) * 4 >= len(other)
-    for read, known, chains in _BACK:
-        if not strange and read == "utf-8" or known is not None and not chars <= known:
+    sets = _EVERY if strange else utf8
+    for c in set(other):
+        sets &= _KNOWN[c]
+        if not sets:
+            return None
+    for k, (read, chains) in enumerate(_BACK):
+        if not sets >> k & 1 or not strange and read == "utf-8":
             continue
         data = _encode(line, read)
         if data is None:
@@ -153,6 +195,7 @@ def unread(line: str) -> int | None:
     return None
 
 
+@cache
 def telling(char: str) -> bool:
     """Whether a rare character may come from wrong decoding; spaces, marks and compatibility forms have other causes."""
     return char == "�" or unicodedata.category(char) not in ("Cf", "Zs", "Mn") and not ("⼀" <= char <= "⿟" or "豈" <= char <= "﫿" or "０" <= char <= "ｚ")
@@ -201,7 +244,7 @@ def vocabulary(values: DataFrame, n_fields: int) -> DataFrame:
             total += 1
             t = "\n".join(x for x in t.split("\n") if x.isascii() or not _LOST.search(x) and unread(x) is None)
             chars.update(set(t))
-            words.update(_TOKEN.findall(t))
+            words.update(x for x in _TOKEN.findall(t) if not x.isascii())
             held.append(t)
             size += len(t)
             if size > 1_000_000:

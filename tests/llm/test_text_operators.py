@@ -459,3 +459,13 @@ def test_joined_values_look_up_what_the_scan_does():
         odd = set("Ã©¤€")
         _scan(line, odd, Asked())
         assert {x for x in asked if not odd.isdisjoint(x)} <= _lookups(line, odd)
+
+
+def test_few_plain_lines_are_encoded(monkeypatch):
+    """Most lines are told from garbled ones by the ends of their runs, without a trial of the encodings."""
+    from evidentia.llm import encodings
+
+    rng, whole, encode = random.Random(12), [], encodings._encode
+    lines = [f"{i} {sentence(rng)}" for i in range(400)]
+    monkeypatch.setattr(encodings, "_encode", lambda text, name: whole.append(text) if len(text) > 1 and text in lines else encode(text, name))
+    assert not any(encodings.unread(x) is not None for x in lines) and len(whole) < len(lines) / 2
